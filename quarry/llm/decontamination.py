@@ -67,6 +67,8 @@ class Index:
         seeds = np.unique(np.concatenate([grams(w, SEED_WORDS) for w in self.items])) if keep else np.zeros(0, np.uint64)
         self.seeds, self.table = seeds, np.zeros(1 << TABLE_BITS, bool)
         self.table[seeds >> np.uint64(64 - TABLE_BITS)] = True
+        #: Bit c of a seed: an item of class c has it. Whether some item repeats a sequence at once, as in "the the the the".
+        self.mask, self.runs = np.zeros(len(seeds), np.uint64), any((np.diff(grams(w, SEED_WORDS).view(np.int64)) == 0).any() for w in self.items)
         self.classes, order = [], sorted(range(len(keep)), key=lambda k: len(self.items[k]))
         while order:
             small = len(self.items[order[0]])
@@ -86,7 +88,9 @@ class Index:
                 at = np.argsort(row, kind="stable")
                 tables.append((row[at], np.asarray(some)[at]))
             need = max(1, small - 2 - 3 * max(self.edits[k] for k in some))
-            self.classes.append((small, large, need, walks, tables))
+            bit = np.uint64(1) << np.uint64(min(len(self.classes), 63))
+            self.mask[np.searchsorted(seeds, np.unique(np.concatenate([grams(self.items[k], SEED_WORDS) for k in some])))] |= bit
+            self.classes.append((small, large, need, bit, walks, tables))
         self.least = min((c[2] for c in self.classes), default=1)
 
     @staticmethod
@@ -101,16 +105,15 @@ class Index:
     @staticmethod
     def _embed(words: np.ndarray, starts: np.ndarray, walks, large: int) -> np.ndarray:
         """A key for each walk and band (rows) of each start (columns). `words` ends with `large` paddings."""
-        keys = []
+        keys, mixed = [], mix(words)
         for odd, bands in walks:
             cursor, last = starts.copy(), starts + large - 1
             wanted = {int(j) for b in bands for j in b}
             seen = {}
             for j in range(len(odd)):
-                w = words[cursor]
                 if j in wanted:
-                    seen[j] = w
-                cursor = np.minimum(cursor + ((mix(w) * odd[j]) >> np.uint64(63)).astype(np.int64), last)
+                    seen[j] = words[cursor]
+                cursor = np.minimum(cursor + ((mixed[cursor] * odd[j]) >> np.uint64(63)).astype(np.int64), last)
             for b in bands:
                 key = np.zeros(len(starts), np.uint64)
                 for j in b:
@@ -128,17 +131,23 @@ class Index:
         at = np.flatnonzero(hit)
         if len(at) < self.least:
             return []
-        place = np.searchsorted(self.seeds, g[at])
-        at = at[self.seeds[np.minimum(place, len(self.seeds) - 1)] == g[at]]
+        place = np.minimum(np.searchsorted(self.seeds, g[at]), len(self.seeds) - 1)
+        ok = self.seeds[place] == g[at]
+        if not self.runs:  # then of equal sequences in a row one counts
+            ok &= (at == 0) | (g[at] != g[np.maximum(at, 1) - 1])
+        at, masks = at[ok], self.mask[place[ok]]
         if len(at) < self.least:
             return []
-        count = np.zeros(len(g) + 1, np.int64)
-        count[at + 1] = 1
-        count = np.cumsum(count)
         best: dict[int, tuple[int, int]] = {}
         found: dict[int, dict[int, int]] = {}
         padded = np.concatenate([words, np.zeros(max(c[1] for c in self.classes) + 1, np.uint64)])
-        for small, large, need, walks, tables in self.classes:
+        for small, large, need, bit, walks, tables in self.classes:
+            own = at[(masks & bit) != 0]
+            if len(own) < need:
+                continue
+            count = np.zeros(len(g) + 1, np.int64)
+            count[own + 1] = 1
+            count = np.cumsum(count)
             starts = np.arange(len(g))
             ends = np.minimum(starts + large + int(large * 0.25), len(g))
             starts = starts[count[ends] - count[starts] >= need]
