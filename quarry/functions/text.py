@@ -125,5 +125,6 @@ def migration_sort_key(path: Column) -> Column:
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
     """Lower bound of a share at 95 %; null for no trials."""
-    p, z2 = hits / F.nullif(n, F.lit(0)), z * z
-    return (p + z2 / (2 * n) - z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    n, z2 = F.nullif(n, F.lit(0)), z * z
+    p = hits / n
+    return (p + F.lit(z2) / (n * 2) - F.lit(z) * F.sqrt(p * (F.lit(1) - p) / n + F.lit(z2) / (n * n * 4))) / (F.lit(1) + F.lit(z2) / n)
