@@ -14,6 +14,9 @@ from quarry.plans.derived import view, with_views
 from quarry.sources.tables import export_json, read_table
 from quarry.streaming import jobs
 
+#: Order of line items as drafts; equal ones are equal in what is merged.
+DRAFT_SEQ = "(l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,16 +60,16 @@ def orphan_routes(spark, d):
     return G.without_edge(view(spark, d, "g_nodes"), view(spark, d, "g_edges"), "FE_ROUTE", "CONSUMES").select("natural_key", "node_type", "name")
 
 
-@query("SELECT l_suppkey AS natural_key, CASE WHEN count(DISTINCT l_shipdate::DATE) > 1 THEN 'AMBIGUOUS' ELSE max_by(l_returnflag, l_orderkey * 10 + l_linenumber) END AS node_type, max_by(l_linestatus, l_orderkey * 10 + l_linenumber) AS name, CASE WHEN count(DISTINCT l_shipdate::DATE) <= 1 THEN max(l_shipdate::DATE::VARCHAR) END AS path FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS natural_key, CASE WHEN count(DISTINCT l_shipdate::DATE) > 1 THEN 'AMBIGUOUS' ELSE max_by(l_returnflag, (l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) END AS node_type, max_by(l_linestatus, (l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) AS name, CASE WHEN count(DISTINCT l_shipdate::DATE) <= 1 THEN max(l_shipdate::DATE::VARCHAR) END AS path FROM lineitem GROUP BY l_suppkey")
 def merge_nodes(spark, d):
     """Line items as drafts of their supplier's node; the shipping day stands for the declaring file."""
-    drafts = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("natural_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("node_type"), F.col("l_linestatus").alias("name"), F.to_date("l_shipdate").cast("string").alias("path"))
+    drafts = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("natural_key"), F.expr(DRAFT_SEQ).alias("seq"), F.col("l_returnflag").alias("node_type"), F.col("l_linestatus").alias("name"), F.to_date("l_shipdate").cast("string").alias("path"))
     return G.merge_nodes(drafts)
 
 
-@query("SELECT concat('part:', l_partkey) AS source, concat('supplier:', l_suppkey) AS target, l_returnflag AS edge_type, arg_max(l_linestatus, l_orderkey * 10 + l_linenumber) AS confidence FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2, 3")
+@query("SELECT concat('part:', l_partkey) AS source, concat('supplier:', l_suppkey) AS target, l_returnflag AS edge_type, arg_max(l_linestatus, (l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) AS confidence FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2, 3")
 def merge_edges(spark, d):
-    drafts = read_table(spark, d, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"), F.col("l_returnflag").alias("edge_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linestatus").alias("confidence"))
+    drafts = read_table(spark, d, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"), F.col("l_returnflag").alias("edge_type"), F.expr(DRAFT_SEQ).alias("seq"), F.col("l_linestatus").alias("confidence"))
     nodes = read_table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("natural_key")).unionByName(read_table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("natural_key")))
     return G.merge_edges(nodes, drafts)
 

@@ -21,7 +21,7 @@ VIEWS = {
     "g_base": "SELECT 'FILE' AS category, concat(source, '/', doc_id) AS key, sha2(coalesce(text, ''), 256) AS fingerprint FROM documents WHERE doc_id % 10 <> 0",
     "g_target": "SELECT 'FILE' AS category, concat(source, '/', CASE WHEN doc_id % 13 = 0 THEN concat('moved-', doc_id) ELSE concat('', doc_id) END) AS key, sha2(CASE WHEN doc_id % 11 = 0 THEN concat(coalesce(text, ''), '!') ELSE coalesce(text, '') END, 256) AS fingerprint FROM documents WHERE doc_id % 7 <> 0",
     "g_commits": "SELECT o_orderkey AS commit_id, o_custkey % 20 AS project_id, md5(concat('c', o_orderkey)) AS sha, o_orderdate AS committed_at FROM orders",
-    "g_samples": "SELECT user_id AS run, event_id AS seq, CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS BIGINT) AS t_ms, value FROM events",
+    "g_samples": "SELECT user_id AS run, event_id AS seq, CAST(unix_millis(CAST(date_trunc('second', ts) AS TIMESTAMP)) AS BIGINT) AS t_ms, value FROM events",
     "g_usage": "SELECT user_id, ts, event_id, CAST(floor(coalesce(value, 0)) AS BIGINT) AS tokens FROM events",
     "g_requests": """SELECT o_custkey % 40 AS installation, CAST(o_orderdate AS DATE) AS day, CASE o_orderstatus WHEN 'F' THEN 'SETTLED' WHEN 'O' THEN 'RESERVED' ELSE 'DISPATCHED' END AS status,
  CAST(floor(o_totalprice) AS BIGINT) AS reserved, CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 2) AS BIGINT) END AS actual, CAST(o_orderkey % 1000 AS BIGINT) AS floor FROM orders""",
