@@ -13,7 +13,20 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
 
+#: Most rows and bytes of a batch that goes to a Python worker: texts and their word hashes are long, and a batch exists several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch limits to BATCH where they are higher or unset."""
+    for key, most in BATCH.items():
+        now = str(spark.conf.get(key, ""))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, license_scan, mixing, near_duplicates, quality_classifier, quality_rules, secrets_scan, token_counts, toxicity
-from .common import table
+from .common import bounded_batches, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    bounded_batches(spark)
     return near_duplicates.keep_one(docs).select(*docs.columns)
 
 
@@ -93,6 +94,7 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced."""
+    bounded_batches(spark)
     out = secrets_scan.redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
