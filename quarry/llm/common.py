@@ -20,7 +20,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's batch limits to BATCH where they are higher or unset."""
     for key, most in BATCH.items():
-        now = str(spark.conf.get(key, ""))
+        now = spark.conf.get(key, str(most + 1))
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
