@@ -51,22 +51,20 @@ def segments(hits: list[tuple[int, float]], n: int, background: float) -> list[t
     """All maximal scoring segments (start, end exclusive, score) of n words: hits have positive scores, all others `background` < 0.
 
     A run of words between hits counts as one item, which changes no maximal segment; the scan is linear in the hits."""
-    found: list[list[float]] = []  # start, end, cumulative before, cumulative after
+    found: list[list[float]] = []  # start, end, cumulative before, cumulative after, index of the last earlier one that begins lower
     total, at = 0.0, 0
     for i, s in hits:
         total += background * (i - at)
         before, total, at = total, total + s, i + 1
-        seg = [i, i + 1, before, total]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= seg[3]:
-                break
-            seg = [found[j][0], seg[1], found[j][2], seg[3]]
+        start, j = i, len(found) - 1
+        while j >= 0 and found[j][2] >= before:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:
+            start, before, lower = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append(seg)
-    return [(int(a), int(b), d - c) for a, b, c, d in found]
+            j = lower
+        found.append([start, at, before, total, j])
+    return [(int(a), int(b), d - c) for a, b, c, d, _ in found]
 
 
 @dataclass
