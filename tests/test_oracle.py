@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from quarry import catalog
+from quarry import catalog, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
