@@ -34,6 +34,8 @@ PER_CLASS = 4000
 PRIOR, MIN_Z, MIN_TEXTS = 1000.0, 3.0, 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MEMORY_WORDS = 600_000
+#: Streams in which the count vectors of all tasks are added up.
+PARTIAL = 16
 #: Chance expectation below which a passage is significant.
 SIGNIFICANT = 0.05
 
@@ -127,28 +129,43 @@ def _sample_counts(rows: DataFrame) -> pd.DataFrame:
     return c.filter(F.col("texts") >= MIN_TEXTS).filter((F.col("unit") == "") | (F.col("tox") > F.col("other") * 0.5)).toPandas()
 
 
-def _corpus_counts(docs: DataFrame, units: set[str]) -> dict[str, int]:
-    """Occurrences of the candidate units in all documents; `""` counts all words."""
+def _corpus_counts(docs: DataFrame, units: list[str]) -> tuple[np.ndarray, int]:
+    """Occurrences of each candidate unit in all documents, and the number of all words.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known = Counter(), {}
+    A task adds up one vector over its documents and hands on that one row; the vectors are as long as the list of candidates,
+    which the label sample bounds. They are added up in PARTIAL streams before the driver adds the last few."""
+    index = {u: i for i, u in enumerate(units)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, known = np.zeros(len(index) + 1, "int64"), {}
         for b in batches:
             for t in b["text"]:
                 words = words_of(t)
+                total[-1] += len(words)
                 for w, k in Counter(words).items():
-                    u = known.get(w)
-                    if u is None:
+                    at = known.get(w)
+                    if at is None:
                         if len(known) > MEMORY_WORDS:
                             known.clear()
-                        u = known[w] = tuple(x for x in units_of(w) if x in units)
-                    for x in u:
-                        total[x] += k
-                total[""] += len(words)
-        if total:
-            yield pd.DataFrame({"unit": list(total), "n": list(total.values())})
+                        at = known[w] = [index[x] for x in units_of(w) if x in index]
+                    for i in at:
+                        total[i] += k
+        if total[-1]:
+            yield pd.DataFrame({"n": [total.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(index) + 1, "int64")
+        for b in batches:
+            for n in b["n"]:
+                total += np.frombuffer(n, "int64")
+        if total[-1]:
+            yield pd.DataFrame({"n": [total.tobytes()]})
 
-    got = docs.select(text_of().alias("text")).mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
-    return {r.unit: r.n for r in got}
+    parts = docs.select(text_of().alias("text")).mapInPandas(count, "n binary").repartition(PARTIAL)
+    total = np.zeros(len(index) + 1, "int64")
+    for r in parts.mapInPandas(add, "n binary").collect():
+        total += np.frombuffer(r.n, "int64")
+    return total[:-1], int(total[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Model:
@@ -158,11 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_cla
     if "" not in counts.index:
         return model
     all_tox, all_other = counts.loc["", "tox"], max(1, counts.loc["", "other"])
-    corpus = _corpus_counts(docs, set(counts.index) - {""})
-    total, covered = max(1, corpus.get("", 1)), 0.0
-    for unit, c in counts.drop("").iterrows():
-        a = PRIOR * (corpus.get(unit, 0) + 0.5) / total
-        t, o = c.tox + a, c.other + a
+    counts = counts.drop("")
+    corpus, total = _corpus_counts(docs, list(counts.index))
+    for unit, tox, other, n_corpus in zip(counts.index, counts.tox, counts.other, corpus):
+        a = PRIOR * (n_corpus + 0.5) / max(1, total)
+        t, o = tox + a, other + a
         odds = math.log(t / (all_tox + PRIOR - t)) - math.log(o / (all_other + PRIOR - o))
         if odds > 0 and odds / math.sqrt(1 / t + 1 / o) >= MIN_Z:
             model.units[unit] = odds
