@@ -122,21 +122,34 @@ def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return j.groupBy("path").agg(F.max_by("namespace", F.length("prefix")).alias("namespace"))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (id, v) of each query (query, q) by cosine, exact. Queries are a stated set, multiplied block by block."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k nearest vectors (id, v) of each query (query, q) by cosine, exact; ties go to the lesser id, a query is not its own answer.
+
+    Both sides are dealt into blocks of about `block` rows; each pair of a query block and a vector block is one matrix product
+    in a task, and only the k best of each query leave it. Neither side passes through the driver or one task."""
     import numpy as np
     import pandas as pd
 
-    rows = queries.collect()
-    ids, m = [r.query for r in rows], np.array([r.q for r in rows], float)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for b in batches:
-            x = np.array(b["v"].tolist(), float)
-            s = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-            yield pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "id": b["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
-
-    got = vectors.mapInPandas(run, "query long, id long, cosine double").filter("query <> id")
-    return first_by(got, ["query"], [F.desc("cosine"), F.col("id")], k)
+    def blocks(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        return df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+    (q, nq), (v, nv) = blocks(queries.select("query", "q"), "query"), blocks(vectors.select("id", "v"), "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("query", "q", F.col("_own").alias("qb"), every(nv).alias("vb"))
+    v = v.select("id", "v", every(nq).alias("qb"), F.col("_own").alias("vb"))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        x = np.array(rows.tolist(), float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], "id": [], "cosine": []})
+        b = b.sort_values("id")
+        s = unit(a["q"]) @ unit(b["v"]).T
+        top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), top.shape[1]), "id": b["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
+
+    got = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, "query long, id long, cosine double")
+    return first_by(got.filter("query <> id"), ["query"], [F.desc("cosine"), F.col("id")], k)
