@@ -8,7 +8,9 @@ components of the links.
 
 Exact copies are one node from the start. In a bucket, members are first compared with its hub, the text that meets most others.
 Buckets that still hold several components are compared further: small ones with all their components, large ones with the hubs of
-a few more components each round, until a round finds hardly any link (under YIELD of its pairs). So the pairs grow with the members and not with their square.
+a few more components each round, while rounds pay (links over YIELD of their pairs). These rounds only join components cheaply. At the end every
+bucket is finished: all its pairs between different components whose registers agree often enough are compared, so what a bucket links
+does not depend on the other buckets.
 
 Defined cases: null and empty texts are copies of each other; texts of under five words are one shingle; a null doc_id gets the class of
 its text; repeated rows give one row each; other columns are ignored. A class id is the least doc_id of the class.
@@ -30,10 +32,12 @@ from .hashing import GOLDEN, grams, groups, mix
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
 #: Buckets of up to so many members are compared with all of their components; in larger ones, each round adds so many hubs;
-#: the search ends with a round of which a smaller share of the pairs are links.
+#: the rounds give way to the comparison of all pairs when a smaller share of their pairs are links.
 SMALL, HUBS, YIELD = 8, 3, 0.001
 #: Candidates whose registers agree less often than those of texts this much less similar are not compared: three standard errors.
 SLACK = 0.09
+#: Members of a bucket that a task compares others with at once.
+TILE = 1024
 #: Words that are sketched at once in a task.
 GROUP_WORDS = 300_000
 #: Nodes whose ids are broadcast to pick out their texts; more are joined by a shuffle.
@@ -186,6 +190,23 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, hubs: int, small: bo
     return pairs.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
+def _rest(shared: DataFrame, comps: DataFrame | None, least: float) -> DataFrame:
+    """All pairs (a < b) of a bucket in different components, but those whose registers differ too often.
+
+    Every pair has a member outside the bucket's largest component; those are compared with all members, TILE of them in a task."""
+    placed = shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).filter("parts > 1")
+    open_ = open_.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # Broadcast as far as Spark finds them small: the keys of open buckets.
+    placed = cut(placed.select("key", "id", "comp", "bits").join(open_, "key"))
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    every = placed.select("key", tile.alias("tile"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("by"), (F.col("comp") == F.col("main")).alias("in_main"))
+    others = placed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
+    pairs = others.join(every, ["key", "tile"]).filter((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _like(F.col("bx"), F.col("by"), least))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_class: the class of every document and its number of documents."""
     sketched = cut(_sketched(docs))
@@ -199,9 +220,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # The text that meets most others in its buckets is the likeliest original of a group of edited copies.
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     shared = cut(shared.join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
-    comps, tested, links, turn = None, None, None, 1
+    comps, tested, links, turn, last = None, None, None, 1, False
     while True:
-        pairs = _candidates(shared, comps, 1 if turn == 1 else HUBS * (turn - 1), turn > 1, similarity - SLACK)
+        pairs = _rest(shared, comps, similarity - SLACK) if last else _candidates(shared, comps, 1 if turn == 1 else HUBS * (turn - 1), turn > 1, similarity - SLACK)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         new = cut(_verified(pairs, shingles, similarity))
         found = new.count()
@@ -209,8 +230,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         links = links.unionByName(new) if links else new
         if found:
             comps = cut(components(links))
-        if turn > 1 and found <= YIELD * pairs.count():
+        if last:
             break
+        last = turn > 1 and found <= YIELD * pairs.count()
         turn += 1
     if comps is None:
         comps = links.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty

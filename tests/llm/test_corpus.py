@@ -199,3 +199,24 @@ def test_pipeline_stages(spark):
     assert not any(secrets_scan.base_spans(t) for t in clean.values())
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(i in t for t in clean.values() for i in items)
+
+
+def test_near_duplicates_finish_a_large_bucket(spark, monkeypatch):
+    """20 pairs in one bucket with 20 texts that are like all others but linked to none, whenever the rounds with hubs end."""
+    r = random.Random(6)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(40):
+        places = r.sample(range(5, 195), 5)
+        for j in range(2 if i < 20 else 1):
+            w = list(base)
+            w[places[0]] = f"p{i}"
+            for k in places[1 + 2 * j : 3 + 2 * j]:
+                w[k] = f"x{i}_{j}"
+            rows.append((len(rows), " ".join(w)))
+    sketched = near_duplicates._sketched
+    monkeypatch.setattr(near_duplicates, "YIELD", 1.0)
+    monkeypatch.setattr(near_duplicates, "_sketched", lambda d: sketched(d).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    cls = {x.doc_id: x.class_id for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    flat = {k: np.sort(np.array([hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)])) for k, w in ((k, t.split()) for k, t in rows)}
+    links = [(a, a + 1) for a in range(0, 40, 2) if near_duplicates.probability_jaccard(flat[a], flat[a + 1]) >= 0.8]
+    assert len(links) >= 10 and [x for x in links if cls[x[0]] != cls[x[1]]] == []
