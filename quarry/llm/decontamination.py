@@ -1,12 +1,8 @@
 """Benchmark decontamination: windows of documents within a small edit distance of benchmark items.
 
-Windows of the items' sizes are embedded by random walks that turn edit distance into Hamming distance (each step copies the
-word under the cursor and moves on by a random bit of that word), sampled positions of the walk are hashed, and windows
-that meet an item in one of the samples are verified by exact word edit distance. With WALKS walks of BANDS samples of BITS positions,
-a window at the edit limit is met with high probability (tests measure it), an exact copy always.
-
-A window within d edits of an item keeps at least (item words - 2) - 3 d of its three-word sequences, so windows with fewer
-of the benchmark's sequences are not embedded: that loses none. Documents are read once and never shuffled. The items travel
+A window within d edits of an item keeps at least (item words - 2) - 3 d of its three-word sequences. Where a document has so many
+of an item's sequences in a window's length, all windows there are compared by exact word edit distance; elsewhere none can be within the
+limit. So every window within the edit limit is found, whatever the item's length. Documents are read once and never shuffled. The items travel
 to the tasks in blocks of at most BLOCK_WORDS words, each block one pass, whatever the size of the benchmark.
 
 Words are runs of letters and digits in lower case. Defined cases: null and empty texts match nothing; items of under three words are
@@ -25,12 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import SIMILARITY, text_of
-from .hashing import grams, mix
+from .hashing import grams
 
-WALKS, BANDS, BITS = 6, 6, 5
 SEED_WORDS, BLOCK_WORDS = 3, 1_000_000
-#: Item sizes within this ratio share a window size.
-CLASS_RATIO = 1.1
 TABLE_BITS = 22
 
 
@@ -44,82 +37,38 @@ def max_edits(n: int, similarity: float = SIMILARITY) -> int:
     return max(0, min(int((1 - similarity) * n + 1e-9), (n - 3) // 3))
 
 
-def edit_distance(item: np.ndarray, words: np.ndarray) -> int:
-    """Least word edits that turn the item into some prefix of `words`."""
-    row = np.arange(len(words) + 1)
+def edits_from(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each start in `words`: least word edits that turn the item into the words from there up to some end."""
+    item, words = item[::-1], words[::-1]  # backwards: the end is free, the start is the column
+    row = np.zeros(len(words) + 1, np.int64)
     steps = np.arange(len(words) + 1)
     for i, w in enumerate(item, 1):
         cost = np.empty_like(row)
         cost[0] = i
         np.minimum(row[:-1] + (words != w), row[1:] + 1, out=cost[1:])
         row = np.minimum.accumulate(cost - steps) + steps  # insertions run along the row
-    return int(row.min())
+    return row[::-1]
 
 
 class Index:
-    """A block of items, hashed by their walks."""
+    """A block of items, found by their word sequences."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], similarity: float = SIMILARITY, seed: int = 7):
-        rng = np.random.default_rng(seed)
+    def __init__(self, ids: list[int], items: list[np.ndarray], similarity: float = SIMILARITY):
         keep = [(i, w) for i, w in zip(ids, items) if len(w) >= SEED_WORDS]
         self.ids, self.items = [i for i, _ in keep], [w for _, w in keep]
-        self.edits = [max_edits(len(w), similarity) for w in self.items]
-        seeds = np.unique(np.concatenate([grams(w, SEED_WORDS) for w in self.items])) if keep else np.zeros(0, np.uint64)
-        self.seeds, self.table = seeds, np.zeros(1 << TABLE_BITS, bool)
-        self.table[seeds >> np.uint64(64 - TABLE_BITS)] = True
-        #: Bit c of a seed: an item of class c has it. Whether some item repeats a sequence at once, as in "the the the the".
-        self.mask, self.runs = np.zeros(len(seeds), np.uint64), any((np.diff(grams(w, SEED_WORDS).view(np.int64)) == 0).any() for w in self.items)
-        self.classes, order = [], sorted(range(len(keep)), key=lambda k: len(self.items[k]))
-        while order:
-            small = len(self.items[order[0]])
-            some = [k for k in order if len(self.items[k]) <= small * CLASS_RATIO]
-            order = order[len(some) :]
-            large = len(self.items[some[-1]])
-            steps = max(3, int(1.5 * small))
-            walks = []
-            for _ in range(WALKS):
-                odd = rng.integers(0, 2**63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
-                bands = [np.sort(rng.choice(steps, min(BITS, steps), replace=False)) for _ in range(BANDS)]
-                walks.append((odd, bands))
-            flat, starts = self._laid_out([self.items[k] for k in some], large)
-            keys = self._embed(flat, starts, walks, large)
-            tables = []
-            for row in keys:
-                at = np.argsort(row, kind="stable")
-                tables.append((row[at], np.asarray(some)[at]))
-            need = max(1, small - 2 - 3 * max(self.edits[k] for k in some))
-            bit = np.uint64(1) << np.uint64(min(len(self.classes), 63))
-            self.mask[np.searchsorted(seeds, np.unique(np.concatenate([grams(self.items[k], SEED_WORDS) for k in some])))] |= bit
-            self.classes.append((small, large, need, bit, walks, tables))
-        self.least = min((c[2] for c in self.classes), default=1)
-
-    @staticmethod
-    def _laid_out(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-        out, starts, at = [], [], 0
-        for r in rows:
-            starts.append(at)
-            out += [r, np.zeros(pad, np.uint64)]
-            at += len(r) + pad
-        return np.concatenate(out), np.asarray(starts)
-
-    @staticmethod
-    def _embed(words: np.ndarray, starts: np.ndarray, walks, large: int) -> np.ndarray:
-        """A key for each walk and band (rows) of each start (columns). `words` ends with `large` paddings."""
-        keys, mixed = [], mix(words)
-        for odd, bands in walks:
-            cursor, last = starts.copy(), starts + large - 1
-            wanted = {int(j) for b in bands for j in b}
-            seen = {}
-            for j in range(len(odd)):
-                if j in wanted:
-                    seen[j] = words[cursor]
-                cursor = np.minimum(cursor + ((mixed[cursor] * odd[j]) >> np.uint64(63)).astype(np.int64), last)
-            for b in bands:
-                key = np.zeros(len(starts), np.uint64)
-                for j in b:
-                    key = mix(key + seen[int(j)])
-                keys.append(key)
-        return np.stack(keys) if keys else np.zeros((0, len(starts)), np.uint64)
+        sizes = np.asarray([len(w) for w in self.items], np.int64)
+        self.edits = np.asarray([max_edits(n, similarity) for n in sizes], np.int64)
+        #: Sequences that a window within the edit limit has of its item at least, and places for sequences in the longest such window.
+        self.need, self.span = sizes - 2 - SEED_WORDS * self.edits, sizes + self.edits - 2
+        self.least = int(self.need.min()) if keep else 1
+        own = [np.unique(grams(w, SEED_WORDS)) for w in self.items]
+        seed, item = np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(np.arange(len(own)), [len(o) for o in own])
+        order = np.argsort(seed, kind="stable")
+        #: The items of seed i are holders[first[i] : first[i + 1]].
+        self.seeds, first = np.unique(seed[order], return_index=True)
+        self.first, self.holders = np.append(first, len(order)), item[order]
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[self.seeds >> np.uint64(64 - TABLE_BITS)] = True
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, edits, first word) of the best window of each item found in a document's word hashes."""
@@ -127,46 +76,36 @@ class Index:
         if len(words) < SEED_WORDS or not self.items:
             return []
         g = grams(words, SEED_WORDS)
-        hit = self.table[g >> np.uint64(64 - TABLE_BITS)]
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(self.table[g >> np.uint64(64 - TABLE_BITS)])
         if len(at) < self.least:
             return []
         place = np.minimum(np.searchsorted(self.seeds, g[at]), len(self.seeds) - 1)
         ok = self.seeds[place] == g[at]
-        if not self.runs:  # then of equal sequences in a row one counts
-            ok &= (at == 0) | (g[at] != g[np.maximum(at, 1) - 1])
-        at, masks = at[ok], self.mask[place[ok]]
+        at, place = at[ok], place[ok]
         if len(at) < self.least:
             return []
+        n = self.first[place + 1] - self.first[place]
+        item = self.holders[np.arange(n.sum()) + np.repeat(self.first[place] - np.cumsum(n) + n, n)]
+        at = np.repeat(at, n)
+        order = np.argsort(item, kind="stable")  # the places of each item stay in order
+        item, at = item[order], at[order]
+        # Where a hit and the following ones of its item that the item needs lie in one window.
+        end = np.arange(len(item)) + self.need[item] - 1
+        inside = np.minimum(end, len(item) - 1)
+        ok = (end < len(item)) & (item[inside] == item) & (at[inside] - at < self.span[item])
+        low, high, item = np.maximum(at[inside] - self.span[item] + 1, 0)[ok], at[ok], item[ok]
         best: dict[int, tuple[int, int]] = {}
-        found: dict[int, dict[int, int]] = {}
-        padded = np.concatenate([words, np.zeros(max(c[1] for c in self.classes) + 1, np.uint64)])
-        for small, large, need, bit, walks, tables in self.classes:
-            own = at[(masks & bit) != 0]
-            if len(own) < need:
-                continue
-            count = np.zeros(len(g) + 1, np.int64)
-            count[own + 1] = 1
-            count = np.cumsum(count)
-            starts = np.arange(len(g))
-            ends = np.minimum(starts + large + int(large * 0.25), len(g))
-            starts = starts[count[ends] - count[starts] >= need]
-            if not len(starts):
-                continue
-            for row, (keys, items) in zip(self._embed(padded, starts, walks, large), tables):
-                lo, hi = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
-                for s in np.flatnonzero(hi > lo):
-                    for k in items[lo[s] : hi[s]]:
-                        d = found.setdefault(int(k), {})
-                        d[int(starts[s])] = d.get(int(starts[s]), 0) + 1
-        for k, places in found.items():
-            item, most = self.items[k], self.edits[k]
-            for p, _ in sorted(places.items(), key=lambda x: (-x[1], x[0])):
-                d = edit_distance(item, words[p : p + len(item) + most])
-                if d <= most and (d, p) < best.get(k, (most + 1, 0)):
-                    best[k] = (d, p)
-                    if d == 0:
-                        break
+        i = 0
+        while i < len(item):
+            k, j = item[i], i
+            most, size = int(self.edits[k]), len(self.items[k])
+            while j + 1 < len(item) and item[j + 1] == k and low[j + 1] <= high[j] + 1:
+                j += 1  # starts without a gap are compared at once
+            d = edits_from(self.items[k], words[low[i] : high[j] + size + most])[: high[j] - low[i] + 1]
+            p = int(d.argmin())
+            if d[p] <= most:
+                best[int(k)] = min(best.get(int(k), (most + 1, 0)), (int(d[p]), int(low[i]) + p))
+            i = j + 1
         return sorted((self.ids[k], d, p) for k, (d, p) in best.items())
 
 

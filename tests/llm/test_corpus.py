@@ -89,6 +89,26 @@ def test_decontamination_recall(spark):
     assert len(got) >= 0.93 * len(items)
 
 
+@pytest.mark.parametrize("n", [3, 8, 15, 37, 59, 100, 200, 400])
+def test_decontamination_finds_all_within_the_limit(n):
+    """Also long items with as many edits as allowed; edits and first word are those of brute force over all windows."""
+    r = np.random.default_rng(n)
+    items = [r.integers(0, 2**63, n, np.uint64) for _ in range(30)]
+    index = decontamination.Index(list(range(30)), items)
+    most = decontamination.max_edits(n)
+    for i, it in enumerate(items):
+        w = list(it)
+        for _ in range(most):
+            k, x = r.integers(len(w)), r.integers(0, 2**63, dtype=np.uint64)
+            w[k : k + 1] = [[], [x], [w[k], x]][r.integers(3)]
+        text = np.array([*r.integers(0, 2**63, 40, np.uint64), *w, *r.integers(0, 2**63, 40, np.uint64)], np.uint64)
+        got = index.matches(text)
+        assert [x[0] for x in got] == [i]
+        if i < 3:
+            whole = decontamination.edits_from(it, text)
+            assert got[0][1:] == (whole.min(), whole.argmin())
+
+
 def test_near_duplicates_find_all_links(spark, docs):
     cls = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
     text = {r.doc_id: r.text.lower().split() for r in docs.collect()}
