@@ -14,6 +14,12 @@ def test_masking_numbers_values_and_checks_them(spark):
     assert all(P.mask_text(t) == t for t in got if t)
 
 
+def test_masking_does_not_miss_numbers_in_groups_of_two(spark):
+    rows = ["call +33 6 12 34 56 78", "+4 (12) 34-56.78 90", "a +1 b", "12 34 56 78"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(P.mask_pii(F.col("t"))).collect()]
+    assert got == [P.mask_text(t) for t in rows] == ["call [PHONE_1]", "[PHONE_1]", *rows[2:]]
+
+
 def test_secrets_and_placeholders(spark):
     rows = [("AKIA" + "A" * 16, False), ('password = "hunter22"', False), ('password = "${PW}"', False), ("token: abcdef", True), ("token: abcdef", False), (None, True)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c boolean").orderBy("i")
