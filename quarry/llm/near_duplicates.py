@@ -9,24 +9,23 @@ components of the links.
 Exact copies are one node from the start. In a bucket, members are first compared with its hub, the text that meets most others.
 Buckets that still hold several components are compared further: small ones with all their components, large ones with the hubs of
 a few more components each round, while rounds pay (links over YIELD of their pairs). These rounds only join components cheaply. At the end every
-bucket is finished: all its pairs between different components whose registers agree often enough are compared, so what a bucket links
-does not depend on the other buckets.
+bucket is finished exactly: all its pairs between different components are compared on all shingles, so no link of a bucket is lost and what it
+links does not depend on the other buckets. What the bands miss is the only loss: at the limit 3 in 1000 pairs share none of them, above it fewer.
 
 Defined cases: null and empty texts are copies of each other; texts of under five words are one shingle; a null doc_id gets the class of
-its text; repeated rows give one row each; other columns are ignored. A class id is the least doc_id of the class.
+its text; repeated rows give one row each; very long texts are sketched and compared whole; empty tables give an empty result; other columns are
+ignored. A class id is the least doc_id of the class, null if it has none; ids pass through unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, cut, text_of
+from .common import SHINGLE_WORDS, SIMILARITY, columns_of, cut, longs, renamed, text_of, with_python
 from .hashing import GOLDEN, grams, groups, mix
 
 BANDS, ROWS = 32, 8
@@ -36,12 +35,12 @@ REGISTERS = BANDS * ROWS
 SMALL, HUBS, YIELD = 8, 3, 0.001
 #: Candidates whose registers agree less often than those of texts this much less similar are not compared: three standard errors.
 SLACK = 0.09
-#: Members of a bucket that a task compares others with at once.
-TILE = 1024
+#: Members of a bucket in a tile, and their shingles; a task compares two tiles.
+TILE, TILE_SHINGLES = 256, 400_000
 #: Words that are sketched at once in a task.
 GROUP_WORDS = 300_000
 #: Nodes whose ids are broadcast to pick out their texts; more are joined by a shuffle.
-BROADCAST_NODES = 3_000_000
+BROADCAST_NODES = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -100,10 +99,13 @@ def _like(x: Column, y: Column, least: float) -> Column:
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Probability Jaccard of two sorted arrays of shingles with repetitions: the sum over common shingles i of
+    """Probability Jaccard of two arrays of shingles with repetitions: the sum over common shingles i of
     1 / sum over all j of max(a_j / a_i, b_j / b_i)."""
-    ua, na = np.unique(a, return_counts=True)
-    ub, nb = np.unique(b, return_counts=True)
+    return _jaccard(*np.unique(a, return_counts=True), *np.unique(b, return_counts=True))
+
+
+def _jaccard(ua: np.ndarray, na: np.ndarray, ub: np.ndarray, nb: np.ndarray) -> float:
+    """The same, given the different shingles in order and their counts."""
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if not len(ia):
         return 1.0 if not len(ua) and not len(ub) else 0.0
@@ -116,47 +118,59 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float((1.0 / ((below + only_b) / y + (above + only_a) / x)).sum())
 
 
+def _content(words: Column) -> Column:
+    """What texts of equal words share."""
+    return F.unhex(F.md5(F.array_join(words, " ")))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, content (MD5 of the words), bands, bits of the registers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = b["words"].tolist()
-            for g in groups(rows, GROUP_WORDS):
-                signature = sketches(rows[g])
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[g], "content": b["content"].iloc[g], "bands": list(band_keys(signature)), "bits": list(register_bits(signature))})
+    def run(words):
+        rows = longs(words)
+        made = [sketches(rows[g]) for g in groups(rows, GROUP_WORDS)]
+        signature = np.concatenate(made) if made else sketches([])
+        return None, [list(band_keys(signature)), list(register_bits(signature))]
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_of()).alias("w"))
-    src = src.select("doc_id", F.unhex(F.md5(F.array_join("w", " "))).alias("content"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
-    return src.mapInPandas(run, "doc_id long, content binary, bands array<long>, bits array<long>")
+    out = with_python(src, [F.col("doc_id"), _content(F.col("w"))], [_hashes(F.col("w"))], "bands array<long>, bits array<long>", run)
+    return out.withColumnsRenamed({"k0": "doc_id", "k1": "content"})
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, shingles (sorted, with repetitions) of the nodes given as (id, doc_id, content)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "shingles": [np.sort((grams(np.asarray(w), SHINGLE_WORDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for w in b["words"]]})
+    def run(words):
+        return None, [[np.sort(grams(w, SHINGLE_WORDS)).view(np.int64) for w in longs(words)]]
 
-    few = nodes.count() <= BROADCAST_NODES
-    nodes = nodes.select(F.col("id"), F.col("doc_id").alias("_d"), F.col("content").alias("_c"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_of()).alias("w"))
-    src = src.withColumn("content", F.unhex(F.md5(F.array_join("w", " "))))
-    src = src.join(F.broadcast(nodes) if few else nodes, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c")))
-    src = src.select("id", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
-    return src.mapInPandas(run, "id long, shingles array<int>").dropDuplicates(["id"])
+    found = _matching(src.select("doc_id", "w", _content(F.col("w")).alias("content")), nodes.select("doc_id", "content", "id"))
+    out = with_python(found, [F.col("id")], [_hashes(F.col("w"))], "shingles array<long>", run)
+    return out.withColumnRenamed("k0", "id").dropDuplicates(["id"])
+
+
+def _matching(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows with the columns of `some` that are equal in (doc_id, content). A few of them are broadcast, as one long each and what it stands for."""
+    key = lambda: F.xxhash64("doc_id", "content")
+    x = some.select(key().alias("_h"), F.struct(*some.columns).alias("_s"))
+    j = rows.withColumn("_h", key()).join(F.broadcast(x) if some.count() <= BROADCAST_NODES else x, "_h")
+    j = j.filter(F.col("doc_id").eqNullSafe(F.col("_s.doc_id")) & (F.col("content") == F.col("_s.content")))
+    return j.select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in some.columns if c not in ("doc_id", "content")])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [probability_jaccard(np.asarray(x), np.asarray(y)) >= similarity for x, y in zip(b["sa"], b["sb"])]
-            yield b.loc[ok, ["a", "b"]]
+    def run(sa, sb):
+        return [i for i, (x, y) in enumerate(zip(longs(sa), longs(sb))) if probability_jaccard(x.view(np.uint64), y.view(np.uint64)) >= similarity], []
 
     sa, sb = (shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    j = pairs.join(sb, "b").join(sa, "a")
+    return with_python(j, [F.col("a"), F.col("b")], [F.col("sa"), F.col("sb")], "", run).withColumnsRenamed({"k0": "a", "k1": "b"})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,43 +204,82 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, hubs: int, small: bo
     return pairs.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
-def _rest(shared: DataFrame, comps: DataFrame | None, least: float) -> DataFrame:
-    """All pairs (a < b) of a bucket in different components, but those whose registers differ too often.
+def _finished(shared: DataFrame, comps: DataFrame | None, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a < b) between different components of a bucket, after the exact comparison of all its pairs that could make one.
 
-    Every pair has a member outside the bucket's largest component; those are compared with all members, TILE of them in a task."""
+    Every such pair has a member outside the bucket's largest component; those, `TILE` at a time, meet all members, TILE at a time. A
+    task holds two tiles with their shingles and compares inside; only links leave it, and none between what it has already joined. A pair that
+    shares several buckets is compared in that of the first band. texts: (id, bands, shingles)."""
     placed = shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     open_ = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).filter("parts > 1")
-    open_ = open_.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    # Broadcast as far as Spark finds them small: the keys of open buckets.
-    placed = cut(placed.select("key", "id", "comp", "bits").join(open_, "key"))
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    every = placed.select("key", tile.alias("tile"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("by"), (F.col("comp") == F.col("main")).alias("in_main"))
-    others = placed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
-    pairs = others.join(every, ["key", "tile"]).filter((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & _like(F.col("bx"), F.col("by"), least))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = open_.select("key", F.col("main.comp").alias("main"), F.col("main.m").alias("m"), "size")
+    placed = cut(placed.select("key", "id", "comp").join(open_, "key").join(texts, "id").withColumn("heavy", F.size("shingles")))
+    weight = placed.groupBy("key").agg(F.sum("heavy").alias("all"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("heavy")).otherwise(0)).alias("others"))
+    tiles = lambda n, w: F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")
+    placed = placed.join(weight, "key").withColumns({"ty": tiles(F.col("size"), F.col("all")), "tx": tiles(F.col("size") - F.col("m"), F.col("others"))})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    body = ["id", "comp", "main", "bands", "shingles"]
+    y = placed.select("key", every("tx").alias("px"), own("ty").alias("py"), F.lit(False).alias("x"), *body)
+    x = placed.filter("comp <> main").select("key", own("tx").alias("px"), every("ty").alias("py"), F.lit(True).alias("x"), *body)
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        first, x, y = int(g["key"].iloc[0]), g[g["x"]], g[~g["x"]]
+        root = {c: c for c in g["comp"]}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        ys = [(i, c, c == m, np.unique(s, return_counts=True)) for i, c, m, s in zip(y["id"], y["comp"], y["main"], y["shingles"])]
+        bands = np.stack(y["bands"].to_list()) if len(y) else np.zeros((0, BANDS), np.int64)
+        out = []
+        for i, c, s, b in zip(x["id"], x["comp"], x["shingles"], x["bands"]):
+            u = np.unique(s, return_counts=True)
+            same = bands == np.asarray(b)[None, :]
+            here = np.asarray(b)[same.argmax(axis=1)] == first  # the first band they share is this bucket's
+            for k in np.flatnonzero(here):
+                j, d, in_main, v = ys[k]
+                if (in_main or i < j) and top(c) != top(d) and _jaccard(*u, *v) >= similarity:
+                    root[top(c)] = top(d)
+                    out.append((min(i, j), max(i, j)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return y.unionByName(x).groupBy("key", "px", "py").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_class: the class of every document and its number of documents."""
+    sketched, classes = _classes(docs, similarity)
+    return sketched.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id", "n_class")
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (content, comp, class_id, n_class) of every different content."""
     sketched = cut(_sketched(docs))
     nodes = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count("*").alias("n"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), "*"))  # written once, so the ids stay
     members = nodes.select(F.explode("bands").alias("key"), "id")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(members.join(sizes, "key"))  # (key, id, n) of the buckets with more than one member
-    inside = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "content")
-    shingles = cut(_shingles(docs, cut(inside)))
+    inside = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "content", "bands")
+    inside = cut(inside)
+    shingles = cut(_shingles(docs, inside.select("id", "doc_id", "content")))
     # The text that meets most others in its buckets is the likeliest original of a group of edited copies.
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     shared = cut(shared.join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
     comps, tested, links, turn, last = None, None, None, 1, False
     while True:
-        pairs = _rest(shared, comps, similarity - SLACK) if last else _candidates(shared, comps, 1 if turn == 1 else HUBS * (turn - 1), turn > 1, similarity - SLACK)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
-        new = cut(_verified(pairs, shingles, similarity))
+        if last:
+            new = cut(_finished(shared, comps, inside.select("id", "bands").join(shingles, "id"), similarity))
+        else:
+            pairs = _candidates(shared, comps, 1 if turn == 1 else HUBS * (turn - 1), turn > 1, similarity - SLACK)
+            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+            tested = tested.unionByName(pairs) if tested else pairs
+            new = cut(_verified(pairs, shingles, similarity))
         found = new.count()
-        tested = tested.unionByName(pairs) if tested else pairs
         links = links.unionByName(new) if links else new
         if found:
             comps = cut(components(links))
@@ -238,14 +291,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         comps = links.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty
     classes = nodes.select("id", "content", "doc_id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     ids = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"))
-    classes = cut(classes.select("comp", "content").join(ids, "comp").select("content", "class_id", "n_class"))
-    return sketched.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id", "n_class")
+    return sketched, cut(classes.select("comp", "content").join(ids, "comp").select("content", "comp", "class_id", "n_class"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each class, that of the least id; documents without id stay if their class has none with one."""
-    found = near_duplicates(docs, similarity)
-    kept = cut(found.filter("doc_id = class_id").select("doc_id").distinct())
-    few = kept.count() <= BROADCAST_NODES
-    out = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
-    return out.unionByName(docs.filter("doc_id is null").dropDuplicates()) if found.filter("doc_id is null").head(1) else out
+    """docs with one row of each class: that of the least id (null ids last), of equal ids that of the least content hash, of rows equal in
+    both any one. Other columns stay as they are."""
+    sketched, classes = _classes(docs, similarity)
+    rows = sketched.groupBy("content", "doc_id").agg(F.count("*").alias("rows")).join(classes.select("content", "comp"), "content")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "rows")).alias("c")
+    kept = cut(rows.groupBy("comp").agg(least).select("c.doc_id", "c.content", "c.rows"))
+    # A row is carried whole in one column: no name of the table can clash with ours.
+    src = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _content(words_of(text_of())).alias("content"))
+    out = _matching(src, kept)
+    again = out.filter("rows > 1").dropDuplicates(["doc_id", "content"])
+    return out.filter("rows = 1").unionByName(again).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
