@@ -8,8 +8,12 @@
 Only (host, page, hash) rows are shuffled, never the pages: the hashes to delete come back as a table of a page's own hits, which
 Spark broadcasts where its written size is small and joins otherwise.
 
+The article is the main element; without one, all articles that no other holds; without any, the longest element named so; else the page.
+
 Defined cases: null html is an empty page, an address without a host belongs to the host ''; repeated pages give one row each;
-unclosed and truncated markup is closed at the end of its parent; a page without article or main element is taken as a whole.
+unclosed and truncated markup is closed at the end of its parent; a quote that is not closed ends with its tag; nesting and length are
+without bound, in time proportional to the page; ids pass through unchanged, null included; empty tables give an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +24,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_of, with_python
 
-#: A subtree is a template's if it is on this many different pages of a host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: A subtree is a template's if it is on this many different pages of a host and on this share of them, or on so many at any share.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 3, 0.3, 50
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,16 +43,23 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "html", "body"}
 #: Elements of which a new one ends an open one, up to the container named.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
-#: Words in class and id names, and roles, of elements that hold no main text.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|"
-    r"subscribe|subscription|signup|sidebar|widget|navigation|nav|navbar|menu|breadcrumbs?|footer|comments?|disqus|replies|respond|reactions|related|recommended|share|sharing|social|"
-    r"pagination|pager|toolbar|masthead|topbar|search|login|skip|tags?|byline-share|paywall)(?:$|[\s_-]|\d)"
+#: Names (classes and ids) of elements that hold no main text, and what such a name may be joined with.
+BOILER = (
+    "ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|"
+    "subscribe|subscription|signup|sidebar|widget|widgets|navigation|nav|navbar|menu|breadcrumb|breadcrumbs|footer|comment|comments|disqus|replies|respond|reactions|related|recommended|share|sharing|social|"
+    "pagination|pager|toolbar|masthead|topbar|search|login|skip|tag|tags|paywall"
 )
+AROUND = "site|page|main|global|top|bottom|left|right|header|post|article|entry|content|wp|js|sticky|inline|mobile|primary|secondary|user|reader"
+PARTS = "area|bar|block|blocks|box|button|buttons|cloud|container|content|form|group|holder|inner|item|items|label|links?|list|menu|module|panel|posts?|row|section|slot|stories|title|unit|widgets?|wrap|wrapper|[0-9]+"
+#: A name that is one of these words, or such with words around it; in paragraphs and headings only the word itself counts.
+NAMED = re.compile(rf"(?:(?:{AROUND})[_-]+)*(?:{BOILER})(?:[_-]*(?:{BOILER}|{PARTS}))*")
+BARE = re.compile(f"(?:{BOILER})")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|main|content|story)(?:$|[\s_-])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A quoted value with a `>` that ends with `=` has run into the next element: its quote isn't closed.
+QUOTED = r"\"(?:[^\">]*|[^\"]*[^\"=\s])\"|'(?:[^'>]*|[^']*[^'=\s])'"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:{QUOTED}|[^\s>]*))*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s\"'>/=]+)(?:\s*=\s*({QUOTED}|[^\s>]*))?", re.S)
 
 
 @dataclass
@@ -59,39 +69,44 @@ class Node:
     children: list = field(default_factory=list)  # nodes and strings
     hash: int = 0
     drop: bool = False
+    chars: int = 0  # of text below that is not dropped
 
     def attributes(self) -> dict[str, str]:
-        return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(self.attrs)}
+        return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(self.attrs)}
 
 
 def parse(page: str) -> Node:
     root = Node("html")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            places[n.tag].pop()
+        del stack[k:]
 
     def pop(to: set, within: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in within:
-                return
-            if stack[k].tag in to:
-                del stack[k:]
-                return
+        last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if (k := last(to)) > last(within):
+            close(k)
+
+    def said(text: str) -> str:
+        return entities.unescape(text) if "&" in text else text
 
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
-            stack[-1].children.append(page[at:])
+            stack[-1].children.append(said(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            stack[-1].children.append(said(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in ("html", "body"):
             continue
@@ -105,6 +120,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -119,14 +135,16 @@ def mark(node: Node, inside: bool = False) -> None:
             for c in n.children:
                 h.update(c.hash.to_bytes(8, "big") if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "replace"))
             n.hash = int.from_bytes(h.digest(), "big")
+            n.chars = 0 if n.drop else sum(c.chars if isinstance(c, Node) else len(c) for c in n.children)
             continue
         a = n.attributes() if n.attrs.strip() else {}
-        names = f"{a.get('class', '')} {a.get('id', '')}"
+        names = f"{a.get('class', '')} {a.get('id', '')}".split()
+        form = BARE if n.tag in PROSE else NAMED
         n.drop = (
             n.tag in DROP
             or n.tag == "header" and not within
             or a.get("role") in ROLES
-            or n.tag not in ("article", "main") and bool(names.strip()) and bool(BOILER.search(names))
+            or n.tag not in ("article", "main") and any(form.fullmatch(x) for x in names)
             or "hidden" in a
             or a.get("aria-hidden") == "true"
             or "display:none" in a.get("style", "").replace(" ", "")
@@ -157,44 +175,53 @@ def text_below(root: Node, gone: frozenset | set) -> str:
             continue
         edge = [" "] if n.tag in BLOCK else []
         todo += [*edge, *reversed(n.children), *edge]
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
-def main_element(root: Node) -> Node:
-    """The longest article that no marked element holds, else a main element, else one named so, else all."""
-    kept, todo = [], [root]
+def main_elements(root: Node) -> list[Node]:
+    """The longest main element that no dropped one holds, else the articles outside others, else the longest element named so, else all."""
+    mains, articles, named, todo = [], [], [], [(root, False)]
     while todo:
-        n = todo.pop()
-        if not n.drop:
-            kept.append(n)
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attributes().get("role") == "main", lambda n: n.tag in ("div", "section") and n.attrs and MAIN.search(f"{n.attributes().get('class', '')} {n.attributes().get('id', '')}")):
-        if found := [n for n in kept if test(n)]:
-            return max(found, key=lambda n: len(text_below(n, set())))
-    return root
+        n, inside = todo.pop()
+        if n.drop:
+            continue
+        a = n.attributes() if n.attrs.strip() else {}
+        if n.tag == "main" or a.get("role") == "main":
+            mains.append(n)
+        if n.tag == "article" and not inside:
+            articles.append(n)
+        if n.tag in ("div", "section") and MAIN.search(f"{a.get('class', '')} {a.get('id', '')}"):
+            named.append(n)
+        todo += [(c, inside or n.tag == "article") for c in reversed(n.children) if isinstance(c, Node)]
+    longest = lambda found: [max(found, key=lambda n: n.chars)]
+    mains = [n for n in mains if n.chars]
+    return longest(mains) if mains else articles or (longest(named) if named else [root])
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:
-    """Hash of the main element, and of every block with text whose deletion is in question."""
+    """Hash of the article, and of every block with text whose deletion is in question."""
     root = parse(page)
     mark(root)
-    main = main_element(root)
+    mains = main_elements(root)
     # Headings and paragraphs of the article are its own words; everything else can be a template's.
-    own = {id(n) for n in nodes(main) if n.tag in PROSE} | {id(n) for n in holders(root, main)} if main is not root else {id(root)}
+    own = {id(n) for m in mains if m is not root for n in nodes(m) if n.tag in PROSE} | holders(root, mains)
     found = {n.hash for n in nodes(root) if n.tag in BLOCK and not n.drop and id(n) not in own and n.children}
-    return signed(main.hash), sorted(map(signed, found))
+    return signed(hash(tuple(m.hash for m in mains)) & MASK), sorted(map(signed, found))
 
 
+MASK = (1 << 64) - 1
 #: Elements of an article that are never taken for a template, however often a host repeats them.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split())
 
 
-def holders(root: Node, main: Node) -> list[Node]:
-    """The main element and all that hold it."""
+def holders(root: Node, mains: list[Node]) -> set[int]:
+    """The ids of the main elements and of all that hold them."""
     parent = {id(c): n for n in nodes(root) for c in n.children if isinstance(c, Node)}
-    out = [main]
-    while id(out[-1]) in parent:
-        out.append(parent[id(out[-1])])
+    out = {id(m) for m in mains}
+    for n in mains:
+        while id(n) in parent and id(parent[id(n)]) not in out:
+            n = parent[id(n)]
+            out.add(id(n))
     return out
 
 
@@ -205,7 +232,8 @@ def signed(h: int) -> int:
 def main_text(page: str, gone: frozenset | set = frozenset()) -> str:
     root = parse(page)
     mark(root)
-    return text_below(main_element(root), {h & ((1 << 64) - 1) for h in gone})
+    gone = {h & MASK for h in gone}
+    return " ".join(filter(None, (text_below(m, gone) for m in main_elements(root))))
 
 
 def host(url: Column) -> Column:
@@ -220,21 +248,20 @@ def page_key() -> Column:
 def page_subtrees(pages: DataFrame) -> DataFrame:
     """key, host, main, hash: a row for each different subtree of a page; hash 0 stands for the page itself."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [subtrees(x) for x in b["html"]]
-            yield pd.DataFrame({"key": b["key"], "host": b["host"], "main": [m for m, _ in got], "hash": [[0, *h] for _, h in got]})
+    def run(html):
+        got = [subtrees(x) for x in html.to_pylist()]
+        return None, [[m for m, _ in got], [[0, *h] for _, h in got]]
 
-    src = pages.select(page_key().alias("key"), host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return src.mapInPandas(run, "key long, host string, main long, hash array<long>").select("key", "host", "main", F.explode("hash").alias("hash"))
+    out = with_python(pages, [page_key(), host(F.col("url"))], [text_of("html")], "main long, hash array<long>", run)
+    return out.select(F.col("k0").alias("key"), F.col("k1").alias("host"), "main", F.explode("hash").alias("hash"))
 
 
-def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
     """(host, hash) of the subtrees on many different pages of their host."""
     counts = trees.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = counts.filter(F.col("n") >= min_pages)  # a host of fewer pages has no template
     total = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.filter("hash <> 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return counts.filter("hash <> 0").join(total, "host").filter((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many)).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -242,11 +269,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     trees = cut(page_subtrees(pages))
     hits = cut(trees.join(templates(trees, min_pages, min_share), ["host", "hash"]).select("key", "hash").distinct().groupBy("key").agg(F.sort_array(F.collect_list("hash")).alias("gone")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h, set() if g is None else set(map(int, g))) for h, g in zip(b["html"], b["gone"])]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_deleted": [0 if g is None else len(g) for g in b["gone"]]})
+    def run(html, gone):
+        gone = gone.to_pylist()
+        return None, [[main_text(h, set(g or ())) for h, g in zip(html.to_pylist(), gone)], [len(g or ()) for g in gone]]
 
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), page_key().alias("key")).join(hits, "key", "left")
-    out = src.select("page_id", "url", "html", "gone").mapInPandas(run, "page_id long, url string, text string, n_deleted long")
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_deleted")
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), page_key().alias("key")).join(hits, "key", "left")
+    out = with_python(src, [F.col("page_id"), F.col("url")], [F.col("html"), F.col("gone")], "text string, n_deleted long", run)
+    return out.select(F.col("k0").alias("page_id"), F.col("k1").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"), "n_deleted")
