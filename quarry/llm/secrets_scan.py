@@ -5,11 +5,15 @@ by state, while the merged states' choices are statistically compatible (Hoeffdi
 long token is scored by the best automaton's likelihood against that of ordinary tokens; tokens likelier by a margin in bits per
 character are secrets of the learned formats.
 
-The automata are fitted on a bounded sample (`PER_KIND` distinct strings of each kind, `ORDINARY` ordinary tokens, taken by MD5);
-all texts are searched whole.
-
-Defined cases: null and empty texts have no spans (the digest of no spans is that of the empty string); every input row
-gives one row; other columns are ignored; spans count code points, ends are exclusive.
+The automata are fitted on a bounded sample (`PER_KIND` distinct strings of each kind, `ORDINARY` ordinary tokens, taken by MD5; of a
+string the first `MAX_SYMBOLS` characters, after which it counts as going on); all texts are searched whole. Candidates are all runs of
+credential characters that hold a letter and a digit, from the shortest credential learned (`LEAST`) on: a run of letters only cannot be told
+from a word by its format.
+
+Defined cases: null and empty texts have no spans (the digest of no spans is that of the empty string); texts without any
+credential teach nothing, then only the base patterns find spans; every input row gives one row, repeated rows too; very long texts are searched
+whole; ids pass through unchanged, null included; empty tables give an empty result; other columns are ignored (`redact` keeps
+them); spans count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,12 +24,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import text_of
+from .common import columns_of, cut, text_of, with_python
 
 #: Order of kinds at equal starts; the last is the method's own.
 KINDS = ("assign", "access", "hex", "format")
@@ -38,7 +40,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 #: An ordinary token, for comparison.
 PLAIN = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 PER_KIND, ORDINARY, MAX_SYMBOLS = 1500, 4000, 128
-MARGIN_BITS, ALPHA = 0.5, 0.05
+#: Least length of a learned credential, and so of a candidate.
+LEAST = 8
+#: Least gain of a format over ordinary tokens, in bits a character and in all: short strings must be the likelier to count.
+MARGIN_BITS, TOTAL_BITS, ALPHA = 0.5, 20.0, 0.05
+#: Candidates whose verdict a worker remembers.
+MEMORY = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -88,7 +95,7 @@ class PrefixTree:
         for t in tokens:
             at = 0
             self.seen[0] += 1
-            for s in symbols(t)[:MAX_SYMBOLS]:
+            for s in symbols(t[:MAX_SYMBOLS]):
                 if s not in self.next[at]:
                     self.next[at][s] = [len(self.next), 0]
                     self.next.append({})
@@ -98,7 +105,7 @@ class PrefixTree:
                 step[1] += 1
                 at = step[0]
                 self.seen[at] += 1
-            self.end[at] += 1
+            self.end[at] += len(t) <= MAX_SYMBOLS
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -168,40 +175,50 @@ class Formats:
         return (self.ordinary.bits(token) - self.automata[kind].bits(token)) / len(token)
 
     def kind_of(self, token: str) -> str | None:
-        """The kind whose format the token has, if its likelihood exceeds that of ordinary tokens by the margin."""
+        """The kind whose format the token has, if its likelihood exceeds that of ordinary tokens by the margins."""
         best = max(((self.gain(k, token), k) for k in self.automata), default=(0.0, ""))
-        return best[1] if best[1] and best[0] >= self.margins[best[1]] else None
+        return best[1] if best[1] and best[0] >= self.margins[best[1]] and best[0] * len(token) >= TOTAL_BITS else None
+
+    def is_secret(self, token: str, seen: dict[str, bool]) -> bool:
+        if token not in seen:
+            if len(seen) >= MEMORY:
+                seen.clear()
+            seen[token] = self.kind_of(token) is not None
+        return seen[token]
+
+
+#: Runs of credential characters with a letter and a digit.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 
 
 def candidates(text: str, taken: list[tuple]) -> Iterator[tuple[int, int, str]]:
-    """Long runs with letters and digits outside the base spans."""
-    for m in RUN.finditer(text):
+    """Runs with letters and digits outside the base spans."""
+    for m in CANDIDATE.finditer(text):
         t = m[0].strip("=.-_/+")
-        a = m.start() + m[0].index(t) if t else 0
+        a = m.start() + m[0].index(t)
         b = a + len(t)
-        if len(t) >= 20 and any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(x[0] < b and a < x[1] for x in taken):
+        if len(t) >= LEAST and not any(x[0] < b and a < x[1] for x in taken):
             yield a, b, t
 
 
 def learn(docs: DataFrame, per_kind: int = PER_KIND, ordinary: int = ORDINARY) -> Formats:
     """Formats from the strings that the patterns find in `docs`, and from its ordinary tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kinds, tokens = [], []
-            for text in b["text"]:
-                spans = base_spans(text)
-                for _, _, k, t in spans:
-                    if len(t) >= 8:
-                        kinds.append(k)
-                        tokens.append(t)
-                words = text.split()
-                words = [w for w in (words[len(words) // 3], words[2 * len(words) // 3]) if PLAIN.fullmatch(w)] if words and not spans else []
-                kinds += ["ordinary"] * len(words)
-                tokens += words
-            yield pd.DataFrame({"kind": kinds, "token": tokens}, dtype=str)
-
-    found = docs.select(text_of().alias("text")).mapInPandas(run, "kind string, token string").distinct()
+    def run(texts):
+        rows, kinds, tokens = [], [], []
+        for i, text in enumerate(texts.to_pylist()):
+            spans = base_spans(text)
+            found = [(k, t) for _, _, k, t in spans if len(t) >= LEAST]
+            words = text.split()
+            if words and not spans:
+                found = [("ordinary", w) for w in (words[len(words) // 3], words[2 * len(words) // 3]) if PLAIN.fullmatch(w)]
+            rows += [i] * len(found)
+            kinds += [k for k, _ in found]
+            tokens += [t for _, t in found]
+        return rows, [kinds, tokens]
+
+    # The corpus is read once; all kinds are ranked in what it gives.
+    found = cut(with_python(docs, [], [text_of()], "kind string, token string", run).distinct())
     got: dict[str, list[str]] = {}
     for kind in (*KINDS[:3], "ordinary"):
         rows = found.filter(F.col("kind") == kind).orderBy(F.md5("token"), "token").limit(ordinary if kind == "ordinary" else per_kind)
@@ -215,9 +232,9 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND, ordinary: int = ORDINARY) -
     return out
 
 
-def spans(text: str, formats: Formats) -> list[tuple[int, int, str, str]]:
-    base = base_spans(text)
-    more = [(a, b, "format", t) for a, b, t in candidates(text, base) if formats.kind_of(t)]
+def spans(text: str, formats: Formats, seen: dict[str, bool] | None = None) -> list[tuple[int, int, str, str]]:
+    base, seen = base_spans(text), {} if seen is None else seen
+    more = [(a, b, "format", t) for a, b, t in candidates(text, base) if formats.is_secret(t, seen)] if formats.automata else []
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -229,23 +246,20 @@ def secret_digest(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format for every row of docs."""
     formats = formats or learn(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            all_spans = [spans(t, formats) for t in b["text"]]
-            count = lambda k: [sum(x[2] == k for x in s) for s in all_spans]
-            base = [joined([x for x in s if x[2] != "format"]) for s in all_spans]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "n_assign": count("assign"), "n_access": count("access"), "n_hex": count("hex")}
-                | {"base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base], "spans": [joined(s) for s in all_spans], "n_format": count("format")}
-            )
+    def run(texts):
+        seen: dict[str, bool] = {}
+        found = [spans(t, formats, seen) for t in texts.to_pylist()]
+        count = lambda k: [sum(x[2] == k for x in s) for s in found]
+        base = [joined([x for x in s if x[2] != "format"]) for s in found]
+        return None, [count("assign"), count("access"), count("hex"), [hashlib.sha256(x.encode()).hexdigest() for x in base], [joined(s) for s in found], count("format")]
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return src.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    new = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
+    return with_python(docs, [F.col("doc_id").cast("long")], [text_of()], new, run).withColumnRenamed("k0", "doc_id")
 
 
-def redacted(text: str, formats: Formats, mark: str = "[SECRET]") -> str:
+def redacted(text: str, formats: Formats, mark: str = "[SECRET]", seen: dict[str, bool] | None = None) -> str:
     out, at = [], 0
-    for a, b, _, t in spans(text, formats):
+    for a, b, _, t in spans(text, formats, seen):
         a = b - len(t)  # of an assignment, only the value
         if b <= at:
             continue
@@ -258,8 +272,11 @@ def redact(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """docs with every secret in `text` replaced; other columns stay as they are, null texts stay null."""
     formats = formats or learn(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[None if t is None else redacted(t, formats) for t in b["text"]])
+    def run(texts):
+        seen: dict[str, bool] = {}
+        return None, [[None if t is None else redacted(t, formats, seen=seen) for t in texts.to_pylist()]]
 
-    return docs.mapInPandas(run, StructType(docs.schema.fields))
+    text = docs.columns.index("text")
+    keep = [F.lit(True) if i == text else c for i, c in enumerate(columns_of(docs))]
+    out = with_python(docs, keep, [F.col("text").cast("string")], "clear string", run)
+    return out.select(*[F.col("clear" if i == text else f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
