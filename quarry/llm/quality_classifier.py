@@ -6,27 +6,28 @@ either dictionary, and the difference of the sizes, normalised by the length, is
 The dictionaries and the calibration are fitted on a bounded sample of the labelled rows (`PER_CLASS` documents, `PIECES`
 pieces of each class); every text is scored whole.
 
-Defined cases: null and empty texts get the score of zero difference; without labels every score is 0.5; every input row gives one
-row; other columns are ignored.
+Defined cases: null and empty texts get the score of zero difference; without labels (an empty table, null labels or ids) every score is
+0.5; a repeated label counts once, of contradicting ones the higher; every input row gives one row, repeated rows too; very long texts are scored
+whole, piece by piece; ids pass through unchanged, null included; empty tables give an empty result; other columns are ignored (`score` and
+`keep_good` keep them).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .calibration import fit_logistic, probability
-from .common import text_of
+from .common import columns_of, cut, renamed, text_of, with_python
 from .labelled import fold, sample
 
 PER_CLASS, PIECES = 3000, 4000
+#: Least score of a text that counts as good.
+THRESHOLD = 0.7
 PIECE_BYTES, DICT_BYTES, LEVEL = 2048, 112 * 1024, 3
 
 
@@ -79,19 +80,19 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, n: int = 4, held: int = 2, per_class: int = PER_CLASS, pieces: int = PIECES) -> Model:
     """Fit on a bounded sample: half of its documents build the dictionaries, the other half calibrates."""
-    rows = sample(docs, labels, "quality", n, held, per_class).withColumn("half", F.crc32(F.col("text").cast("binary")) % 2)
+    # Read once from the corpus: the dictionaries and the calibration both use it.
+    rows = cut(sample(docs, labels, "quality", n, held, per_class).withColumn("half", F.crc32(F.col("text").cast("binary")) % 2))
     cut_up = F.expr(f"transform(sequence(1, greatest(1, ceil(char_length(text) / {PIECE_BYTES}))), i -> substring(text, int((i - 1) * {PIECE_BYTES} + 1), {PIECE_BYTES}))")
     some = rows.filter("half = 0").select("y", F.explode(cut_up).alias("piece"))
     got = {y: [r.piece.encode() for r in some.filter(F.col("y") == y).orderBy(F.md5("piece"), "piece").limit(pieces).collect()] for y in (0, 1)}
     model = Model(_dictionary(got[1]), _dictionary(got[0]))
     sizes = (model.good, model.bad)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts):
         s = Sizes(*sizes)
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [s.features(t) for t in b["text"]]})
+        return None, [[s.features(t) for t in texts.to_pylist()]]
 
-    seen = rows.filter("half = 1").mapInPandas(run, "y int, x array<double>").toPandas()
+    seen = with_python(rows.filter("half = 1"), [F.col("y")], [F.col("text")], "x array<double>", run).withColumnRenamed("k0", "y").toPandas()
     if seen["y"].nunique() > 1:
         model.weights = fit_logistic(np.stack(seen["x"].to_list()), seen["y"].to_numpy())
     return model
@@ -108,24 +109,26 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:]
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs with quality_score and quality_predicted; the other columns stay."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(quality_score=model.scores([t or "" for t in b["text"]]))
+def _scored(docs: DataFrame, model: Model, keep: list) -> DataFrame:
+    def run(texts):
+        return None, [model.scores(texts.to_pylist())]
 
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
-    out = docs.mapInPandas(run, schema)
-    return out.select(*docs.columns, "quality_score", (F.col("quality_score") >= threshold).cast("int").alias("quality_predicted"))
+    return with_python(docs, keep, [text_of()], "score double", run)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, n: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    model = train(docs, labels, n, held)
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with quality_score and quality_predicted (in place of columns of these names); the other columns stay."""
+    own = ("quality_score", "quality_predicted")
+    out = renamed(_scored(docs, model, columns_of(docs)), docs, F.col("score").alias("\u0001"))
+    return out.select(*[c for c, n in zip(columns_of(docs), docs.columns) if n not in own], F.col("\u0001").alias(own[0]), (F.col("\u0001") >= threshold).cast("int").alias(own[1]))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": model.scores(b["text"].tolist())})
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, as they are."""
+    return renamed(_scored(docs, model, columns_of(docs)).filter(F.col("score") >= threshold), docs)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(n) == held).alias("held_out"), text_of().alias("text"))
-    return src.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def quality_scores(docs: DataFrame, labels: DataFrame, n: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    out = _scored(docs, train(docs, labels, n, held), [F.col("doc_id").cast("long"), fold(n) == held])
+    return out.select(F.col("k0").alias("doc_id"), F.col("k1").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
