@@ -6,10 +6,13 @@ background score. One linear scan finds all maximal segments, each a passage tha
 in a text of n words is expected K n exp(-lambda s) times by chance; the logarithms of that, for the best and for all significant
 passages, are calibrated to a probability.
 
+A word that recurs says less each time: its k-th occurrence in a text scores a k-th of the first.
+
 Units are learned from a bounded sample of labelled rows (`PER_CLASS` of each label); prior counts cover all documents.
 
-Defined cases: null and empty texts have no passage; without labels no unit is significant and all scores are equal; every
-input row gives one row; other columns are ignored.
+Defined cases: null and empty texts have no passage; without labels (an empty table, null labels or ids) no unit is significant and all
+scores are equal; a repeated label counts once, of contradicting ones the higher; every input row gives one row, repeated rows too; very long texts
+are scanned whole, in linear time; ids pass through unchanged, null included; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, probability
-from .common import text_of
+from .common import cut, text_of, with_python
 from .labelled import fold, sample
 
 PER_CLASS = 4000
 #: Prior strength in words; least z-score and least number of toxic sample texts of a unit.
 PRIOR, MIN_Z, MIN_TEXTS = 1000.0, 3.0, 4
+#: Occurrences of a unit that count in a sample text: one text that repeats a word is no evidence against the word.
+PER_TEXT = 2
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MEMORY_WORDS = 600_000
-#: Streams in which the count vectors of all tasks are added up.
-PARTIAL = 16
+#: Count vectors that one task adds up, and vectors that the driver adds at last.
+FAN_IN, LAST = 64, 16
 #: Chance expectation below which a passage is significant.
 SIGNIFICANT = 0.05
 
@@ -82,7 +87,8 @@ class Model:
         """The unit of highest odds speaks for the word."""
         return max((self.units[u] for u in units_of(w) if u in self.units), default=0.0)
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+    def scored(self, text: str) -> tuple[int, list[tuple[int, float]]]:
+        """The number of words, and (place, score) of those with significant odds."""
         words, known = words_of(text), self._known
         try:
             s = list(map(known.__getitem__, words))
@@ -93,7 +99,16 @@ class Model:
                 if w not in known:
                     known[w] = self.word(w)
             s = list(map(known.__getitem__, words))
-        return len(words), segments([(i, x) for i, x in enumerate(s) if x], len(words), self.background) if any(s) else []
+        hits, times = [], Counter()
+        for i, x in enumerate(s):
+            if x:
+                times[words[i]] += 1
+                hits.append((i, x / times[words[i]]))
+        return len(words), hits
+
+    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        n, hits = self.scored(text)
+        return n, segments(hits, n, self.background)
 
     def evidence(self, text: str) -> tuple[float, float, int, int]:
         """(-log expectation of the best passage, sum over significant passages, their number, words in them)."""
@@ -108,32 +123,44 @@ class Model:
 
 
 def _sample_counts(rows: DataFrame) -> pd.DataFrame:
-    """(unit, tox, other, texts): occurrences in toxic and other sample texts, number of toxic texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, texts = (Counter(), Counter()), Counter()
-            for t, y in zip(b["text"], b["y"]):
-                c = Counter(words_of(t))
-                u = Counter()
-                for w, k in c.items():
-                    for x in units_of(w):
-                        u[x] += k
-                u[""] += sum(c.values())
-                n[y].update(u)
-                texts.update(u.keys() if y else ())
-            keys = list({**n[0], **n[1]})
-            yield pd.DataFrame({"unit": keys, "other": [n[0][k] for k in keys], "tox": [n[1][k] for k in keys], "texts": [texts[k] for k in keys]})
-
-    c = rows.mapInPandas(run, "unit string, other long, tox long, texts long").groupBy("unit").agg(*[F.sum(x).alias(x) for x in ("other", "tox", "texts")])
-    return c.filter(F.col("texts") >= MIN_TEXTS).filter((F.col("unit") == "") | (F.col("tox") > F.col("other") * 0.5)).toPandas()
+    """By unit (index) and half of the sample (columns): other, tox, texts: occurrences in other and in toxic texts, number of toxic texts;
+    of the units in MIN_TEXTS toxic texts."""
+
+    def run(text, y, half):
+        n = {}
+        for t, y, h in zip(text.to_pylist(), y.to_pylist(), half.to_pylist()):
+            c = Counter(words_of(t))
+            u = Counter()
+            for w, k in c.items():
+                for x in units_of(w):
+                    u[x] += k
+            u[""] = sum(min(k, PER_TEXT) for k in u.values())
+            for x, k in u.items():
+                at = n.setdefault((x, h), [0, 0, 0])
+                at[y] += min(k, PER_TEXT) if x else k
+                at[2] += y
+        return np.zeros(len(n), np.int64), [[x for x, _ in n], [h for _, h in n], *([v[i] for v in n.values()] for i in range(3))]
+
+    c = with_python(rows, [], [F.col("text"), F.col("y"), F.col("half")], "unit string, half int, other long, tox long, texts long", run)
+    one = lambda name, h: F.sum(F.when(F.col("half") == h, F.col(name)).otherwise(0)).alias(f"{name}{h}")
+    c = c.groupBy("unit").agg(*[one(x, h) for x in ("other", "tox", "texts") for h in (0, 1)])
+    return c.filter(F.col("texts0") + F.col("texts1") >= MIN_TEXTS).toPandas().set_index("unit")
+
+
+def _significant(units: pd.Index, tox: np.ndarray, other: np.ndarray, texts: np.ndarray, corpus: np.ndarray, total: int, all_tox: int, all_other: int) -> dict[str, float]:
+    """Log-odds of the units whose z-score is high enough."""
+    a = PRIOR * (corpus + 0.5) / max(1, total)
+    t, o = tox + a, other + a
+    odds = np.log(t / (all_tox + PRIOR - t)) - np.log(o / (max(1, all_other) + PRIOR - o))
+    ok = (texts >= MIN_TEXTS) & (odds > 0) & (odds / np.sqrt(1 / t + 1 / o) >= MIN_Z)
+    return dict(zip(units[ok], odds[ok].tolist()))
 
 
 def _corpus_counts(docs: DataFrame, units: list[str]) -> tuple[np.ndarray, int]:
     """Occurrences of each candidate unit in all documents, and the number of all words.
 
     A task adds up one vector over its documents and hands on that one row; the vectors are as long as the list of candidates,
-    which the label sample bounds. They are added up in PARTIAL streams before the driver adds the last few."""
+    which the label sample bounds. They are added up in a tree, FAN_IN in a task, until LAST are left for the driver."""
     index = {u: i for i, u in enumerate(units)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,55 +188,66 @@ def _corpus_counts(docs: DataFrame, units: list[str]) -> tuple[np.ndarray, int]:
         if total[-1]:
             yield pd.DataFrame({"n": [total.tobytes()]})
 
-    parts = docs.select(text_of().alias("text")).mapInPandas(count, "n binary").repartition(PARTIAL)
+    texts = docs.select(text_of().alias("text"))
+    parts, n = texts.mapInPandas(count, "n binary"), texts.rdd.getNumPartitions()
+    while n > LAST:
+        n = max(LAST, -(-n // FAN_IN))
+        parts = parts.repartition(n).mapInPandas(add, "n binary")
     total = np.zeros(len(index) + 1, "int64")
-    for r in parts.mapInPandas(add, "n binary").collect():
+    for r in parts.toLocalIterator():
         total += np.frombuffer(r.n, "int64")
     return total[:-1], int(total[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Model:
-    rows = sample(docs, labels, "toxic", n, held, per_class)
-    counts = _sample_counts(rows).set_index("unit")
-    model = Model()
-    if "" not in counts.index:
-        return model
-    all_tox, all_other = counts.loc["", "tox"], max(1, counts.loc["", "other"])
-    counts = counts.drop("")
-    corpus, total = _corpus_counts(docs, list(counts.index))
-    for unit, tox, other, n_corpus in zip(counts.index, counts.tox, counts.other, corpus):
-        a = PRIOR * (n_corpus + 0.5) / max(1, total)
-        t, o = tox + a, other + a
-        odds = math.log(t / (all_tox + PRIOR - t)) - math.log(o / (all_other + PRIOR - o))
-        if odds > 0 and odds / math.sqrt(1 / t + 1 / o) >= MIN_Z:
-            model.units[unit] = odds
-    if not model.units:
-        return model
-
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [[s for s in map(model.word, words_of(t)) if s] for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "n": [len(words_of(t)) for t in b["text"]], "hits": out})
+def _fitted(rows: DataFrame, units: dict[str, float]) -> Model:
+    """A model of these units, with its background and the distribution of chance scores in the clean texts of `rows`."""
+    model = Model(units)
 
-    seen = rows.mapInPandas(hits, "y int, n long, hits array<double>").toPandas()
+    def hits(text):
+        got = [model.scored(t) for t in text.to_pylist()]
+        return None, [[n for n, _ in got], [[s for _, s in h] for _, h in got]]
+
+    seen = with_python(rows, [F.col("y")], [F.col("text")], "n long, hits array<double>", hits).withColumnRenamed("k0", "y").toPandas()
     size = {y: max(1, seen.n[seen.y == y].sum()) for y in (0, 1)}
     share = {y: (sum(map(len, seen.hits[seen.y == y])) + 0.5) / (size[y] + 1) for y in (0, 1)}
     model.background = min(-1e-3, math.log((1 - share[1]) / (1 - share[0])))
     null = Counter(round(s, 2) for h in seen.hits[seen.y == 0] for s in h) or Counter({round(max(model.units.values()), 2): 0.5})
     model.lam, model.k = extreme_value(null, size[0], model.background)
-    features = rows.mapInPandas(_evidence(model), "y int, best double, total double").toPandas()
-    if features.y.nunique() > 1:
-        model.weights = fit_logistic(features[["best", "total"]].to_numpy(), features.y.to_numpy())
     return model
 
 
-def _evidence(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            e = [model.evidence(t) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "best": [x[0] for x in e], "total": [x[1] for x in e]})
+def _features(rows: DataFrame, model: Model) -> pd.DataFrame:
+    def run(text):
+        e = [model.evidence(t) for t in text.to_pylist()]
+        return None, [[x[0] for x in e], [x[1] for x in e]]
+
+    return with_python(rows, [F.col("y")], [F.col("text")], "best double, total double", run).withColumnRenamed("k0", "y").toPandas()
+
+
+def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Model:
+    """Units of the whole sample. The calibration sees texts as new ones are seen: each half is scored by the units of the other half."""
+    rows = cut(sample(docs, labels, "toxic", n, held, per_class).withColumn("half", (F.crc32(F.col("text").cast("binary")) % 2).cast("int")))
+    counts = _sample_counts(rows)
+    if "" not in counts.index:
+        return Model()
+    size, counts = counts.loc[""], counts.drop("")
+    corpus, total = _corpus_counts(docs, list(counts.index))
 
-    return run
+    def units(*halves: int) -> dict[str, float]:
+        of = lambda name: sum(counts[f"{name}{h}"].to_numpy() for h in halves)
+        return _significant(counts.index, of("tox"), of("other"), of("texts"), corpus, total, *(sum(size[f"{x}{h}"] for h in halves) for x in ("tox", "other")))
+
+    if not (whole := units(0, 1)):
+        return Model()
+    model = _fitted(rows, whole)
+    seen = []
+    for h in (0, 1):
+        if some := units(1 - h):
+            seen.append(_features(rows.filter(F.col("half") == h), _fitted(rows.filter(F.col("half") != h), some)))
+    seen = pd.concat(seen) if len(seen) == 2 else _features(rows, model)  # too few labels for halves
+    if seen.y.nunique() > 1:
+        model.weights = fit_logistic(seen[["best", "total"]].to_numpy(), seen.y.to_numpy())
+    return model
 
 
 def extreme_value(null: Counter, n: int, background: float) -> tuple[float, float]:
@@ -231,11 +269,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, n: int = 3, held: int =
     """doc_id, held_out, score, predicted, n_passages, passage_words for every document."""
     model = train(docs, labels, n, held)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            e = np.array([model.evidence(t) for t in b["text"]], float).reshape(-1, 4)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": probability(e[:, :2], model.weights), "n_passages": e[:, 2].astype("int64"), "passage_words": e[:, 3].astype("int64")})
+    def run(text):
+        e = np.array([model.evidence(t) for t in text.to_pylist()], float).reshape(-1, 4)
+        return None, [probability(e[:, :2], model.weights), e[:, 2].astype("int64"), e[:, 3].astype("int64")]
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(n) == held).alias("held_out"), text_of().alias("text"))
-    out = src.mapInPandas(run, "doc_id long, held_out boolean, score double, n_passages long, passage_words long")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "passage_words")
+    out = with_python(docs, [F.col("doc_id").cast("long"), fold(n) == held], [text_of()], "score double, n_passages long, passage_words long", run)
+    return out.select(F.col("k0").alias("doc_id"), F.col("k1").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "passage_words")
