@@ -4,18 +4,19 @@ White space is a safe boundary for the word tokenizer (it drops white space and
 there, however long it is, and a piece that has been seen is not encoded again. New pieces go to the library in batches
 balanced by bytes.
 
-Defined cases: a null text is empty (0 bytes, 0 tokens); every input row gives one row; other columns are ignored.
+Defined cases: a null text is empty (0 bytes, 0 tokens); every input row gives one row, repeated rows too; ids pass through unchanged, null
+included; empty tables give an empty result; other columns are ignored. A very long text is split at its white space; what holds none (a
+run of text of any length) goes to the library as one piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, with_python
 
 #: Pieces whose length an executor's Python worker remembers; the memory starts anew beyond that.
 MEMORY_PIECES = 600_000
@@ -42,17 +43,17 @@ class Counter:
         batch, size = [], 0
         for p in pieces:
             batch.append(p)
-            size += len(p)
+            size += len(p.encode("utf-8", "replace"))
             if size >= BATCH_BYTES:
                 self.known.update(zip(batch, self.encode(batch)))
                 batch, size = [], 0
         if batch:
             self.known.update(zip(batch, self.encode(batch)))
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str], n_bytes: list[int] | None = None) -> list[int]:
         out, start, size = [], 0, 0
-        for i, t in enumerate(texts):  # groups of texts of similar size, so that memory follows bytes and not rows
-            size += len(t)
+        for i, n in enumerate(n_bytes or map(len, texts)):  # groups of texts of similar size, so that memory follows bytes and not rows
+            size += n
             if size >= 4 * BATCH_BYTES or i == len(texts) - 1:
                 out += self._group(texts[start : i + 1])
                 start, size = i + 1, 0
@@ -77,7 +78,9 @@ class Counter:
 SAFE = {9: " ", 10: " ", 13: " "}
 
 
+@functools.cache
 def word_counter(path: str) -> Counter:
+    """The counter of a file, kept by the worker with what it has learned."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,10 +96,10 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 2048) -> D
     """doc_id, n_bytes, n_tokens, over_limit for every row of `df`. `path`: a tokenizers file that every executor has."""
     name = path
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts, n_bytes):
         counter = word_counter(name or tokenizer_path())
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": counter.count(b["text"].tolist())})
+        return None, [counter.count(texts.to_pylist(), n_bytes.to_pylist())]
 
-    src = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
-    return src.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    size = F.octet_length(text_of()).cast("long")
+    out = with_python(df, [F.col("doc_id").cast("long"), size], [text_of(), size], "n_tokens long", run).withColumnsRenamed({"k0": "doc_id", "k1": "n_bytes"})
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
