@@ -72,31 +72,33 @@ QUERIES = {
 ORACLES = {"op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql()}
 
 
-# Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that stay, with the columns of documents.
+# Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that stay, with the columns of documents. Each states what it does with
+# odd rows through its operator; in all of them ids, null ids and further columns pass through unchanged, repeated rows are as many
+# rows (but in the near-duplicate stage, which keeps one), null and empty texts count as empty, and an empty table stays empty.
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).filter("quality_predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts to be good. Without labels every score is 0.5 and none stays."""
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates; all null and empty texts are one class."""
     bounded_batches(spark)
-    return near_duplicates.keep_one(docs).select(*docs.columns)
+    return near_duplicates.keep_one(docs)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents without benchmark items; without a benchmark, all."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced."""
+    """All documents, with their secrets replaced and n_chars that of the new text; a null text stays null, with its n_chars."""
     bounded_batches(spark)
     out = secrets_scan.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n = F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
