@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents through quality, near-duplicates, decontamination, secrets and mixing."""
+"""The corpus pipeline: documents through quality, near-duplicates, decontamination, secrets and mixing.
+
+Defined cases are those of the stages (quarry/llm/queries.py): ids and further columns pass through, null and empty texts are empty, repeated
+rows leave one, an empty table gives an empty result. Rows are lost only by a stage's decision."""
 
 from __future__ import annotations
 
