@@ -49,3 +49,26 @@ def test_vector_blocks_give_the_brute_force_neighbours(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, int(j)) for i in range(0, 200, 20) for j in [j for j in np.argsort(-(u @ u[i])) if j != i][:3]}
     assert {(r.query, r.id) for r in got.collect()} == want
+
+
+def test_masking_literal_cases():
+    m = P.mask_text
+    assert m("mail jane.doe+ci@example.co.kr, cc Ops@Example.invalid, again JANE.DOE+ci@example.co.kr") == "mail [EMAIL_1], cc [EMAIL_2], again [EMAIL_1]"
+    assert m("call 010-2345-6789 / 01023456789 / 010.2345.6789") == "call [PHONE_1] / [PHONE_1] / [PHONE_1]"
+    assert m("office 02-345-6789, 031 234 5678, 070-1234-5678") == "office [PHONE_1], [PHONE_2], [PHONE_3]"
+    assert m("intl +82 10-2345-6789, +44 20 7946 0958, +1 (415) 555-0132") == "intl [PHONE_1], [PHONE_2], [PHONE_3]"
+    assert m("US (415) 555-0132 or 415-555-0132") == "US [PHONE_1] or [PHONE_1]"
+    assert m("RRN 900101-1234567 and 0412313234567") == "RRN [RRN_1] and 0412313234567"
+    assert m("rrn=8001011234560") == "rrn=[RRN_1]"
+    assert m("card 4111 1111 1111 1111, 4111-1111-1111-1111, 5500000000000004") == "card [CARD_2], [CARD_2], [CARD_1]"
+    assert m("amex 3782 822463 10005") == "amex [CARD_1]" and m("SSN 078-05-1120") == "SSN [SSN_1]"
+    for same in (
+        'version "2.345.678.9012" // semver 10.2345.6789',
+        "1791292686000L 1791292686000000L 4111111111111112L 4111111111111112 0.0102345678",
+        "9f86d081884c7d659a2feaeaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a 550e8400-e29b-41d4-a716-446655440000 192.168.10.200",
+        "lodash@4.17.21 @types/node@20.1.0 git@github.com:org/repo.git ssh://git@github.com/org/repo.git 2026-10-07 12:34:56",
+        "user_01023456789 A010-2345-6789 file:src/App.java:120 000-12-3456 901301-1234567 +1 23",
+        "010-2345\n-6789\njane\n@example.invalid",
+        "",
+    ):
+        assert m(same) == same
