@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import graph as G
 from quarry.operators import tables as A
-from quarry.plans.derived import view, with_views
+from quarry.plans.derived import VIEWS, view, with_views
 from quarry.sources.tables import export_json, read_table
 from quarry.streaming import jobs
 
@@ -31,21 +31,44 @@ def query(sql: str | None):
     return add
 
 
-@query("""+
-e AS (SELECT source, target, edge_type, CASE confidence WHEN 'CONFIRMED' THEN 3 WHEN 'LIKELY' THEN 2 ELSE 1 END AS s FROM g_edges),
+WALK = """e AS (SELECT source, target, edge_type, CASE confidence WHEN 'CONFIRMED' THEN 3 WHEN 'LIKELY' THEN 2 ELSE 1 END AS s FROM g_edges),
 w AS (SELECT 'region:0' AS node, ['region:0'] AS seen, 0 AS d, 3 AS s, NULL::VARCHAR AS t
- UNION ALL SELECT e.source, list_append(seen, e.source), d + 1, least(w.s, e.s), e.edge_type FROM w JOIN e ON e.target = w.node WHERE d < 4 AND NOT list_contains(seen, e.source))
+ UNION ALL SELECT e.source, list_append(seen, e.source), d + 1, least(w.s, e.s), e.edge_type FROM w JOIN e ON e.target = w.node WHERE d < 4 AND NOT list_contains(seen, e.source))"""
+
+
+@query(f"""+ {WALK}
 SELECT 'region:0' AS start, node, min(d) AS min_depth, count(*) AS path_count, max(s) AS strength, arg_min(t, (d, t)) AS first_edge_type,
- CASE WHEN max(s) = 1 THEN 'CANDIDATE_IMPACT' ELSE 'CONFIRMED_DEPENDENCY' END AS impact_group FROM w WHERE d > 0 GROUP BY node""")
+ CASE WHEN max(s) = 3 THEN 'CONFIRMED_DEPENDENCY' ELSE 'CANDIDATE_IMPACT' END AS impact_group FROM w WHERE d > 0 GROUP BY node""")
 def impact(spark, d):
     """Everything that depends on a region, over simple paths of up to four edges."""
     return G.impact(view(spark, d, "g_edges"), spark.sql("SELECT 'region:0' AS start"), 4)
 
 
-@query("""+ one AS (SELECT DISTINCT target AS node FROM g_edges WHERE source = 'nation:3' ORDER BY node LIMIT 500)
-SELECT node, 1 AS hop FROM one UNION ALL SELECT DISTINCT target, 2 FROM g_edges JOIN one ON source = node WHERE target <> 'nation:3' AND target NOT IN (SELECT node FROM one)""")
+@query(f"""+ {WALK}, n AS (SELECT DISTINCT node FROM w WHERE d > 0), r AS (SELECT sum(CASE node_type WHEN 'API_ENDPOINT' THEN 4 WHEN 'FE_ROUTE' THEN 4 WHEN 'COMPONENT' THEN 2 WHEN 'CLASS' THEN 2 ELSE 1 END)::BIGINT AS score FROM n JOIN g_nodes ON natural_key = node)
+SELECT 'region:0' AS start, score, CASE WHEN score >= 20 THEN 'HIGH' WHEN score >= 8 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r""")
+def impact_risk(spark, d):
+    """The same walk without counting paths, weighed."""
+    found = G.impact(view(spark, d, "g_edges"), spark.sql("SELECT 'region:0' AS start"), 4, count_paths=False)
+    return G.risk_score(found.select("start", "node"), view(spark, d, "g_nodes"))
+
+
+@query("""+ e AS (SELECT source, target, edge_type, CASE confidence WHEN 'CONFIRMED' THEN 3 WHEN 'LIKELY' THEN 2 ELSE 1 END AS s FROM g_edges),
+st AS (SELECT concat('nation:', n_nationkey) AS start FROM nation), one AS (SELECT start, e.source AS node, e.s, e.edge_type AS t, 1 AS d FROM st JOIN e ON target = start),
+two AS (SELECT start, e.source AS node, least(one.s, e.s) AS s, e.edge_type AS t, 2 AS d FROM one JOIN e ON target = node WHERE e.source NOT IN (start, node)), w AS (FROM one UNION ALL FROM two)
+SELECT start, node, min(d) AS min_depth, count(*) AS path_count, max(s) AS strength, arg_min(t, (d, t)) AS first_edge_type,
+ CASE WHEN max(s) = 3 THEN 'CONFIRMED_DEPENDENCY' ELSE 'CANDIDATE_IMPACT' END AS impact_group FROM w GROUP BY start, node""")
+def impact_batch(spark, d):
+    """What depends on each nation, over up to two edges."""
+    return G.impact(view(spark, d, "g_edges"), read_table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("start")), 2)
+
+
+@query("""+ ok AS (SELECT natural_key FROM g_nodes WHERE node_type <> 'AMBIGUOUS'), e AS (SELECT * FROM g_edges WHERE source IN (FROM ok) AND target IN (FROM ok)),
+one AS (SELECT * FROM e WHERE target = 'nation:3' ORDER BY source, target, edge_type LIMIT 501), two AS (SELECT DISTINCT * FROM e WHERE source <> 'nation:3' AND target IN (SELECT source FROM one) ORDER BY source, target, edge_type LIMIT 501),
+w AS (SELECT 1 AS depth, source, target, edge_type, confidence, source AS node FROM one UNION ALL SELECT 2, source, target, edge_type, confidence, source FROM two)
+SELECT depth, source, target, edge_type, confidence, node, (SELECT count(*) FROM w) > 500 AS truncated FROM w ORDER BY depth, node, source, target, edge_type LIMIT 500""")
 def neighbourhood(spark, d):
-    return G.neighbourhood(view(spark, d, "g_edges"), "nation:3")
+    """What leads to a nation in one or two steps, with the cap and its flag (they are the feature)."""
+    return G.neighbourhood(view(spark, d, "g_nodes"), view(spark, d, "g_edges"), "nation:3", "in", depth=2)
 
 
 @query("""+ ok AS (SELECT natural_key FROM g_nodes WHERE node_type <> 'AMBIGUOUS')
@@ -55,9 +78,9 @@ def graph_overview(spark, d):
     return G.overview(view(spark, d, "g_nodes"), view(spark, d, "g_edges"))
 
 
-@query("SELECT natural_key, node_type, name FROM g_nodes WHERE node_type = 'FE_ROUTE' AND natural_key NOT IN (SELECT source FROM g_edges WHERE edge_type = 'CONSUMES')")
+@query("""+ c AS (SELECT source FROM g_edges JOIN g_nodes ON target = natural_key WHERE edge_type = 'CONTAINS' AND node_type = 'COMPONENT') SELECT natural_key, name FROM g_nodes WHERE node_type = 'FE_ROUTE' AND natural_key NOT IN (FROM c)""")
 def orphan_routes(spark, d):
-    return G.without_edge(view(spark, d, "g_nodes"), view(spark, d, "g_edges"), "FE_ROUTE", "CONSUMES").select("natural_key", "node_type", "name")
+    return G.orphan_routes(view(spark, d, "g_nodes"), view(spark, d, "g_edges")).select("natural_key", "name")
 
 
 @query("SELECT l_suppkey AS natural_key, CASE WHEN count(DISTINCT l_shipdate::DATE) > 1 THEN 'AMBIGUOUS' ELSE max_by(l_returnflag, (l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) END AS node_type, max_by(l_linestatus, (l_orderkey * 10 + l_linenumber) * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'N' THEN 4 ELSE 0 END) AS name, CASE WHEN count(DISTINCT l_shipdate::DATE) <= 1 THEN max(l_shipdate::DATE::VARCHAR) END AS path FROM lineitem GROUP BY l_suppkey")
@@ -80,11 +103,18 @@ def directory_tree(spark, d):
     return G.directory_tree(view(spark, d, "g_files"))
 
 
-NORM = "lower(regexp_replace({0}, '\\$?\\{{[^}}/]*\\}}|:[A-Za-z_][A-Za-z0-9_]*', '{{}}', 'g'))"
+NORM = "lower(regexp_replace({0}, '\\$?\\{{[^}}/]+\\}}|:[A-Za-z_][A-Za-z0-9_]*', '{{}}', 'g'))"
+BARE = "regexp_replace(regexp_replace(trim({0}), '^[^\\n]*?://[^/]*', ''), '\\?.*$', '', 's')"
+
 
+def _path_sql(c: str) -> str:
+    p = f"(CASE WHEN {BARE.format(c)} LIKE '/%' THEN '' ELSE '/' END || {BARE.format(c)})"
+    return f"CASE WHEN length({p}) > 1 AND {p} LIKE '%/' THEN {p}[:-2] ELSE {p} END"
 
-@query(f"""+ c AS (SELECT DISTINCT *, {NORM.format('path')} AS norm FROM g_calls), e AS (SELECT concat(method, ':', path) AS endpoint, method AS em, path AS ep, {NORM.format('path')} AS en FROM g_endpoints),
-m AS (SELECT caller, method, path, endpoint, CASE WHEN path = ep THEN 3 WHEN norm = en THEN 2 WHEN norm <> '/' AND en <> '/' AND (ends_with(norm, en) OR ends_with(en, norm)) THEN 1 ELSE 0 END AS grade FROM c JOIN e ON method = em OR method = 'ANY' OR em = 'ANY')
+
+@query(f"""+ c1 AS (SELECT DISTINCT caller, method, path, {_path_sql('path')} AS p FROM g_calls), c AS (SELECT *, {NORM.format('p')} AS norm FROM c1),
+e1 AS (SELECT concat(method, ':', path) AS endpoint, method AS em, {_path_sql('path')} AS ep FROM g_endpoints), e AS (SELECT *, {NORM.format('ep')} AS en FROM e1),
+m AS (SELECT caller, method, path, endpoint, CASE WHEN p = ep THEN 3 WHEN norm = en THEN 2 WHEN norm <> '/' AND en <> '/' AND (ends_with(norm, en) OR ends_with(en, norm)) THEN 1 ELSE 0 END AS grade FROM c JOIN e ON upper(method) = em OR em = 'ANY')
 SELECT caller, method, path, arg_min(endpoint, (-grade, endpoint)) AS endpoint, max(grade) AS grade FROM m WHERE grade > 0 GROUP BY ALL""")
 def link_calls(spark, d):
     e = view(spark, d, "g_endpoints").select(F.concat("method", F.lit(":"), "path").alias("endpoint"), "method", "path")
@@ -108,10 +138,33 @@ def line_counts(spark, d):
     return view(spark, d, "g_files").select("path", T.count_lines(F.col("text")).alias("line_count"))
 
 
-@query("""SELECT path, CASE doc_id % 6 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN 'sql' WHEN 3 THEN 'markdown' WHEN 4 THEN 'python' END AS language,
- CASE WHEN doc_id % 5 = 0 THEN 'TESTING' ELSE CASE doc_id % 6 WHEN 0 THEN 'BACKEND' WHEN 1 THEN 'FRONTEND' WHEN 2 THEN 'DATABASE' WHEN 3 THEN 'DOCUMENTATION' WHEN 4 THEN 'BACKEND' END END AS area FROM g_files""")
+#: Paths of many kinds: every ending and folder that tells a language or an area, combined over the documents.
+ENDINGS = "java kt kts ts tsx mts cts js jsx mjs cjs py go sql yml yaml tf md xml gradle sh bash json html htm css scss properties toml swift rs rb php cs c h cpp hpp bin vue TXT".split()
+NAMES = ["F", "Dockerfile", "dockerfile", "dockerfile-notes", "build.gradle.kts", "pom.xml", "package.json", "docker-compose.yml", "a.test.ts", "b.spec.cjs", "Makefile", "x."]
+FOLDERS = ["", "docs/", "x/docs/", "src/main/java/", "src/pages/", "a/frontend/", "a/backend/", "db/migration/", ".github/workflows/", "a/tests/", "__tests__/", "a\\b/"]
+
+
+def _pick(values: list[str], by: str) -> str:
+    quoted = [f"concat('{x.partition(chr(92))[0]}', chr(92), '{x.partition(chr(92))[2]}')" if chr(92) in x else f"'{x}'" for x in values]
+    return f"CASE {by} {' '.join(f'WHEN {i} THEN {q}' for i, q in enumerate(quoted))} END"
+
+
+PATHS = f"concat({_pick(FOLDERS, f'doc_id % {len(FOLDERS)}')}, {_pick(NAMES, f'doc_id % 7 * (doc_id % 3) % {len(NAMES)}')}, CASE WHEN doc_id % 2 = 0 THEN {_pick([f'.{x}' for x in ENDINGS], f'doc_id % {len(ENDINGS)}')} ELSE '' END)"
+VIEWS["g_paths"] = f"SELECT doc_id, {PATHS} AS path FROM documents"
+LANGUAGE_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "go": "go", "sql": "sql", "yml": "yaml", "yaml": "yaml", "tf": "hcl", "md": "markdown", "xml": "xml", "gradle": "gradle", "sh": "shell", "bash": "shell", "json": "json", "html": "html", "htm": "html",
+    "css": "css", "scss": "scss", "properties": "properties", "toml": "toml", "swift": "swift", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp"}.items())
+
+
+@query(rf"""+ p AS (SELECT doc_id, path, replace(path, chr(92), '/') AS q FROM g_paths), f AS (SELECT *, lower(q) AS low, regexp_extract(q, '[^/]*$') AS file FROM p)
+SELECT doc_id, path, CASE WHEN file IN ('Dockerfile', 'dockerfile') THEN 'dockerfile' WHEN file LIKE '%.gradle.kts' THEN 'gradle' ELSE CASE lower(regexp_extract(file, '\.([^.]+)$', 1)) {LANGUAGE_SQL} END END AS language,
+ CASE WHEN regexp_matches(low, '(^|/)(test|tests|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$') THEN 'TESTING' WHEN q LIKE '%src/main/java%' OR low LIKE '%.java' THEN 'BACKEND'
+ WHEN regexp_matches(low, '\.[tj]sx$|/frontend/|src/pages/|src/components/') OR regexp_matches(low, '\.(ts|js|mjs)$') AND NOT low LIKE '%/backend/%' THEN 'FRONTEND' WHEN q LIKE '%db/migration%' OR low LIKE '%.sql' THEN 'DATABASE'
+ WHEN q LIKE '%.github/workflows%' THEN 'DEVOPS' WHEN low LIKE '%dockerfile%' OR low LIKE '%docker-compose%' OR low LIKE '%.tf' THEN 'INFRASTRUCTURE' WHEN low LIKE '%.md' OR q LIKE 'docs/%' OR q LIKE '%/docs/%' THEN 'DOCUMENTATION'
+ WHEN regexp_matches(low, '(\.gradle|\.gradle\.kts|pom\.xml|package\.json)$') THEN 'BUILD_TOOLING' END AS area FROM f""")
 def language_and_area(spark, d):
-    return view(spark, d, "g_files").select("path", T.detect_language(F.col("path")).alias("language"), T.tag_area(F.col("path")).alias("area"))
+    return view(spark, d, "g_paths").select("doc_id", "path", T.detect_language(F.col("path")).alias("language"), T.tag_area(F.col("path")).alias("area"))
 
 
 @query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
@@ -153,10 +206,10 @@ def capability_coverage(spark, d):
     return A.coverage(o)
 
 
-@query("SELECT n_nationkey % 7 AS area, least(1.0, round(sum(CASE WHEN n_nationkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4))::DOUBLE AS score, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS technologies, least(1.0, round(sum(CASE WHEN n_nationkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4)) >= 0.5 AS selected FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_custkey < 30 GROUP BY 1")
+@query("SELECT n_nationkey % 7 + c_custkey // 4 * 10 AS area, least(1.0, round(sum(CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4))::DOUBLE AS score, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS technologies, least(1.0, round(sum(CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4)) >= 0.5 AS selected FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def area_scores(spark, d):
-    n = read_table(spark, d, "nation").join(read_table(spark, d, "customer").filter("c_custkey < 30"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return A.area_scores(n.select((F.col("n_nationkey") % 7).alias("area"), F.when(F.col("n_nationkey") % 2 == 0, 0.25).otherwise(0.125).alias("weight"), F.col("n_name").alias("technology")))
+    n = read_table(spark, d, "nation").join(read_table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return A.area_scores(n.select(F.expr("n_nationkey % 7 + c_custkey div 4 * 10").alias("area"), (F.when(F.col("c_custkey") % 2 == 0, 0.25).otherwise(0.125)).alias("weight"), F.col("n_name").alias("technology")))
 
 
 @query("""WITH r AS (SELECT event_type, coalesce(value, 'Infinity'::DOUBLE) AS v FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM r)
@@ -242,14 +295,20 @@ def text_search(spark, d):
     return read_table(spark, d, "documents").filter(T.text_match(F.col("text"), "license under")).select("doc_id", "lang")
 
 
-@query(None)
+def _trigrams_sql(c: str) -> str:
+    words = f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, c_name, {_trigrams_sql('c_name')} AS a, {_trigrams_sql("'Customer#000000012'")} AS b FROM customer), s AS (SELECT c_custkey, c_name, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS similarity FROM t)
+SELECT * FROM s WHERE similarity >= 0.75""")
 def trigram_search(spark, d):
-    """Parts by similarity of their name to a query, best first within the result."""
-    p = read_table(spark, d, "part").select("p_partkey", "p_name", T.trigram_similarity(F.col("p_name"), F.lit("spring green")).alias("similarity"))
-    return p.filter("similarity >= 0.3")
+    """Customers whose name is like the one asked for."""
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name", T.trigram_similarity(F.col("c_name"), F.lit("Customer#000000012")).alias("similarity"))
+    return c.filter("similarity >= 0.75")
 
 
-@query("SELECT p_partkey, '/' || trim(regexp_replace(p_name, '[^a-z]+', '/', 'g'), '/') AS path, lower(regexp_replace(p_brand, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
+@query("SELECT p_partkey, regexp_replace('/' || regexp_replace(p_name, '[^a-z]+', '/', 'g'), '^//', '/') AS path, lower(regexp_replace(p_brand, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
 def route_names(spark, d):
     p = read_table(spark, d, "part")
     return p.select("p_partkey", T.url_path(F.regexp_replace("p_name", "[^a-z]+", "/")).alias("path"), T.to_snake_case(F.col("p_brand")).alias("snake"))
@@ -262,6 +321,7 @@ def vector_top_k(spark, d):
     return A.cosine_top_k(v, v.filter("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q")), 5)
 
 
-@query(None)
+@query("""SELECT to_json({'natural_key': natural_key, 'node_type': node_type, 'name': name})::VARCHAR AS value FROM g_nodes""")
 def export_graph(spark, d):
-    return export_json(G.overview(view(spark, d, "g_nodes"), view(spark, d, "g_edges")))
+    """Every node as a JSON line."""
+    return export_json(view(spark, d, "g_nodes").select("natural_key", "node_type", "name"))

@@ -90,7 +90,7 @@ def annotator_differences(spark, d):
     return R.annotator_differences(a, b, ["quality", "toxic"])
 
 
-@query("SELECT (SELECT count(*) FROM (FROM g_base EXCEPT ALL FROM g_target)) AS only_left, (SELECT count(*) FROM (FROM g_target EXCEPT ALL FROM g_base)) AS only_right, false AS equal")
+@query("+ x AS (SELECT (SELECT count(*) FROM (FROM g_base EXCEPT ALL FROM g_target)) AS only_left, (SELECT count(*) FROM (FROM g_target EXCEPT ALL FROM g_base)) AS only_right) SELECT *, only_left = 0 AND only_right = 0 AS equal FROM x")
 def compare_dumps(spark, d):
     return R.compare_dumps(view(spark, d, "g_base"), view(spark, d, "g_target"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Language by file extension and by file name.
+#: Language by file extension.
 LANGUAGES = {
-    "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go",
-    "rs": "rust", "rb": "ruby", "cs": "csharp", "vue": "vue", "svelte": "svelte", "sql": "sql", "tf": "terraform", "yml": "yaml", "yaml": "yaml", "json": "json",
-    "xml": "xml", "md": "markdown", "html": "html", "css": "css", "scss": "scss", "sh": "shell", "gradle": "gradle", "properties": "properties", "toml": "toml",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript",
+    "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "sql": "sql", "yml": "yaml", "yaml": "yaml", "tf": "hcl", "md": "markdown", "xml": "xml", "gradle": "gradle",
+    "sh": "shell", "bash": "shell", "json": "json", "html": "html", "htm": "html", "css": "css", "scss": "scss", "properties": "properties", "toml": "toml", "swift": "swift",
+    "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp",
 }
 
 
@@ -22,26 +25,70 @@ def extension(path: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, r"\."), -1)))
 
 
+def _slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def detect_language(path: Column) -> Column:
-    """Language of a path; null where unknown."""
+    """Language of a path by its file name; null where unknown."""
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    name = F.lower(base_name(path))
-    return F.when(name.startswith("dockerfile"), "dockerfile").when(name.endswith(".gradle.kts"), "gradle").otherwise(F.try_element_at(table, F.coalesce(extension(path), F.lit(""))))
+    name = base_name(_slashes(path))
+    by_extension = F.try_element_at(table, F.coalesce(extension(_slashes(path)), F.lit("")))
+    return F.when(name.isin("Dockerfile", "dockerfile"), "dockerfile").when(name.endswith(".gradle.kts"), "gradle").otherwise(by_extension)
+
+
+#: What makes a path one of an area, in the order in which the areas are tried: endings and parts of the path in lower case,
+#: and parts and beginnings of the path as it is.
+AREAS = {
+    "BACKEND": {"ends": (".java",), "holds": ("src/main/java",)},
+    "FRONTEND": {"ends": (".tsx", ".jsx"), "holds_lower": ("/frontend/", "src/pages/", "src/components/")},
+    "DATABASE": {"ends": (".sql",), "holds": ("db/migration",)},
+    "DEVOPS": {"holds": (".github/workflows",)},
+    "INFRASTRUCTURE": {"ends": (".tf",), "holds_lower": ("dockerfile", "docker-compose")},
+    "DOCUMENTATION": {"ends": (".md",), "holds": ("/docs/",), "begins": ("docs/",)},
+    "BUILD_TOOLING": {"ends": (".gradle", ".gradle.kts", "pom.xml", "package.json")},
+}
+TEST_PATH = r"(^|/)(test|tests|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$"
 
 
 def tag_area(path: Column) -> Column:
-    """Area of a path: the first rule that holds."""
-    p, ext = F.lower(path), F.coalesce(extension(path), F.lit(""))
-    return (
-        F.when(p.rlike(r"(^|/)(test|tests|__tests__|spec)/") | p.rlike(r"\.(test|spec)\.[a-z]+$"), "TESTING")
-        .when(ext.isin("java", "kt", "go", "py", "rb", "cs"), "BACKEND")
-        .when(ext.isin("tsx", "jsx", "vue", "svelte", "css", "scss", "html"), "FRONTEND")
-        .when((ext == "sql") | p.contains("/migration/"), "DATABASE")
-        .when(p.contains(".github/workflows/") | base_name(p).startswith("dockerfile"), "DEVOPS")
-        .when(ext == "tf", "INFRASTRUCTURE")
-        .when((ext == "md") | p.startswith("docs/"), "DOCUMENTATION")
-        .when(base_name(p).isin("pom.xml", "package.json", "build.gradle", "build.gradle.kts"), "BUILD_TOOLING")
-    )
+    """Area of a path: the first rule that holds; null without one."""
+    p = _slashes(path)
+    low = F.lower(p)
+    out = F.when(low.rlike(TEST_PATH), "TESTING")
+    for area, rule in AREAS.items():
+        tests = [low.endswith(x) for x in rule.get("ends", ())] + [F.contains(low, F.lit(x)) for x in rule.get("holds_lower", ())]
+        tests += [F.contains(p, F.lit(x)) for x in rule.get("holds", ())] + [F.startswith(p, F.lit(x)) for x in rule.get("begins", ())]
+        if area == "FRONTEND":  # scripts are the front end's unless they lie in the back end
+            tests.append(low.rlike(r"\.(ts|js|mjs)$") & ~F.contains(low, F.lit("/backend/")))
+        out = out.when(reduce(lambda a, b: a | b, tests), area)
+    return F.when(F.trim(path) != "", out)
+
+
+def count_config_lines(text: Column) -> Column:
+    """Lines of a configuration file for spans: LF, CRLF and CR end a line; at least one."""
+    return F.greatest(F.size(F.split(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")), F.lit(1))
+
+
+def line_of(text: Column, token: str) -> Column:
+    """Number of the first line that holds the token; null where none does."""
+    at = F.instr(text, token)
+    return F.when(at > 0, at - F.length(F.replace(F.substring(text, F.lit(1), at - 1), F.lit("\n"), F.lit(""))))
+
+
+def excerpt(text: Column, most: int = 80) -> Column:
+    """The first line, cut."""
+    return F.substring(F.trim(F.substring_index(text, "\n", 1)), 1, most)
+
+
+def abbrev_sha(sha: Column, n: int = 10) -> Column:
+    return F.substring(sha, 1, n)
+
+
+def format_author(name: Column, email: Column) -> Column:
+    """`name <email>`, or the one that is known; null without either."""
+    n, e = F.nullif(F.trim(name), F.lit("")), F.nullif(F.trim(email), F.lit(""))
+    return F.when(n.isNotNull() & e.isNotNull(), F.concat(n, F.lit(" <"), e, F.lit(">"))).otherwise(F.coalesce(n, e))
 
 
 def count_lines(text: Column) -> Column:
@@ -51,13 +98,15 @@ def count_lines(text: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """The path of a URL: no scheme, host, query or trailing slash, one leading slash."""
-    p = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[?#].*$", "")
-    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(p, "^/+", ""), "/+$", ""))
+    """The path of a URL: no scheme, host, query or one trailing slash, with a leading slash."""
+    p = F.regexp_replace(F.trim(url), r"^[^\n]*?://[^/]*", "")
+    p = F.regexp_replace(p, r"\?[\s\S]*$", "")
+    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+    return F.when((F.length(p) > 1) & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
 
 
 def normalize_template(path: Column) -> Column:
-    return F.lower(F.regexp_replace(path, r"\$?\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*", "{}"))
+    return F.lower(F.regexp_replace(path, r"\$?\{[^}/]+\}|:[A-Za-z_][A-Za-z0-9_]*", "{}"))
 
 
 def join_route(prefix: Column, path: Column) -> Column:
@@ -128,3 +177,26 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.959963984540054) -> Colum
     n, z2 = F.nullif(n, F.lit(0)), z * z
     p = hits / n
     return (p + F.lit(z2) / (n * 2) - F.lit(z) * F.sqrt(p * (F.lit(1) - p) / n + F.lit(z2) / (n * n * 4))) / (F.lit(1) + F.lit(z2) / n)
+
+
+def package_cluster(package: Column, vendor: tuple[str, ...] = ("com", "org", "io", "net", "dev")) -> Column:
+    """The first part of a package that says what it is for: after a vendor's prefix and its name, else the last part."""
+    parts = F.split(package, r"\.")
+    some = F.when(F.get(parts, F.lit(0)).isin(*vendor), F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    return F.when(F.trim(package) != "", F.coalesce(F.get(some, F.lit(0)), F.element_at(parts, -1)))
+
+
+def parse_skip_count(text: Column, most: int = 2_147_483_647) -> Column:
+    """A recorded count: digits only, within bounds; null otherwise."""
+    n = F.when(text.rlike(r"^[0-9]{1,18}$"), text.try_cast("long"))
+    return F.when(n <= most, n)
+
+
+def meta_get(metadata: Column, key: str) -> Column:
+    return F.get_json_object(metadata, f"$.{key}")
+
+
+def meta_merge(old: Column, new: Column) -> Column:
+    """Two JSON objects merged at their first level, the new one's keys winning; keys in order. Values stay as text."""
+    both = F.map_zip_with(*[F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")) for c in (old, new)], lambda k, a, b: F.coalesce(b, a))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both))))

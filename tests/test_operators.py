@@ -11,13 +11,15 @@ from quarry.streaming import jobs
 def test_impact_counts_paths_and_keeps_the_weakest_edge(spark):
     edges = spark.createDataFrame([("controller", "target", "CALLS", "CONFIRMED"), ("retry", "target", "CALLS", "LIKELY"), ("retry", "controller", "CALLS", "CONFIRMED"), ("page", "retry", "CALLS", "POSSIBLE")], "source string, target string, edge_type string, confidence string")
     got = {r.node: (r.min_depth, r.path_count, r.strength, r.impact_group) for r in G.impact(edges, spark.sql("SELECT 'target' AS start")).collect()}
+    nodes = spark.createDataFrame([("controller", "CLASS"), ("retry", "METHOD"), ("page", "METHOD")], "natural_key string, node_type string")
+    assert G.risk_score(G.impact(edges, spark.sql("SELECT 'target' AS start"), count_paths=False), nodes).first()[1:] == (4, "LOW")
     assert got == {"controller": (1, 1, 3, "CONFIRMED_DEPENDENCY"), "retry": (1, 2, 3, "CONFIRMED_DEPENDENCY"), "page": (2, 2, 1, "CANDIDATE_IMPACT")}
 
 
 def test_link_calls_grades(spark):
     ends = spark.createDataFrame([("a", "GET", "/users/{id}"), ("b", "ANY", "/todos"), ("c", "GET", "/x")], "endpoint string, method string, path string")
-    calls = spark.createDataFrame([("1", "GET", "/users/{id}"), ("2", "GET", "/users/${id}"), ("3", "POST", "/api/todos"), ("4", "POST", "/x")], "caller string, method string, path string")
-    assert {r.caller: (r.endpoint, r.grade) for r in G.link_calls(calls, ends).collect()} == {"1": ("a", 3), "2": ("a", 2), "3": ("b", 1)}
+    calls = spark.createDataFrame([("1", "GET", "/users/{id}"), ("2", "GET", "/users/${id}"), ("3", "POST", "/api/todos"), ("4", "POST", "/x"), ("5", "get", "https://h.example.com/users/{id}/?q=1"), ("6", "ANY", "/x")], "caller string, method string, path string")
+    assert {r.caller: (r.endpoint, r.grade) for r in G.link_calls(calls, ends).collect()} == {"1": ("a", 3), "2": ("a", 2), "3": ("b", 1), "5": ("a", 3)}
 
 
 def test_pack_skips_what_does_not_fit(spark):
