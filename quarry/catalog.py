@@ -121,13 +121,6 @@ def link_calls(spark, d):
     return G.link_calls(view(spark, d, "g_calls"), e)
 
 
-@query("""+ t AS (SELECT *, coalesce(sum(CASE WHEN size <= 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY snapshot_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g_files)
-SELECT snapshot_id, path, size, CASE WHEN b >= 200 THEN 'EXCLUDED_COUNT' WHEN size > 3000 THEN 'EXCLUDED_SIZE' ELSE 'ACCEPTED' END AS status FROM t""")
-def file_inventory(spark, d):
-    """File statuses under a size and a count cap (the caps are the feature)."""
-    return A.inventory(view(spark, d, "g_files").select("snapshot_id", "path", "size"), 3000, 200)
-
-
 @query("SELECT project, sha256(text) AS content_hash, max(size) AS size, count(*) AS copies FROM g_files GROUP BY ALL")
 def content_manifest(spark, d):
     return A.build_manifest(view(spark, d, "g_files"))
@@ -200,12 +193,6 @@ def top_technologies(spark, d):
     return A.first_by(n, ["project"], [F.desc("n"), F.col("technology")], 3).drop("rank")
 
 
-@query("""SELECT substr(event_type, 1, 1) AS capability, count(*) AS targeted, count(*) FILTER (value >= 20) AS succeeded, count(*) FILTER (value < 20 AND value >= 5) AS failed, count(*) FILTER (value IS NULL OR value < 5) AS unmeasured FROM events GROUP BY 1""")
-def capability_coverage(spark, d):
-    o = read_table(spark, d, "events").select(F.substring("event_type", 1, 1).alias("capability"), F.when(F.col("value") >= 20, "SUCCESS").when(F.col("value") >= 5, "FAILED").alias("status"))
-    return A.coverage(o)
-
-
 @query("SELECT n_nationkey % 7 + c_custkey // 4 * 10 AS area, least(1.0, round(sum(CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4))::DOUBLE AS score, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS technologies, least(1.0, round(sum(CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0.125 END), 4)) >= 0.5 AS selected FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def area_scores(spark, d):
     n = read_table(spark, d, "nation").join(read_table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))

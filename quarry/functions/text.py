@@ -118,9 +118,9 @@ def to_snake_case(name: Column) -> Column:
 
 
 def path_prefix(path: Column) -> Column:
-    """First segment of a path; null where it is empty or a template."""
-    s = F.try_element_at(F.split(F.regexp_replace(path, "^/+", ""), "/"), F.lit(1))
-    return F.when((s != "") & ~s.startswith("{") & ~s.startswith(":"), s)
+    """First segment of a path in lower case; null where it is blank or a template."""
+    s = F.substring_index(F.regexp_replace(path, "^/", ""), "/", 1)
+    return F.when((F.trim(s) != "") & ~s.startswith("{"), F.lower(s))
 
 
 def trigrams(text: Column) -> Column:
@@ -179,11 +179,17 @@ def wilson_lower(hits: Column, n: Column, z: float = 1.959963984540054) -> Colum
     return (p + F.lit(z2) / (n * 2) - F.lit(z) * F.sqrt(p * (F.lit(1) - p) / n + F.lit(z2) / (n * n * 4))) / (F.lit(1) + F.lit(z2) / n)
 
 
-def package_cluster(package: Column, vendor: tuple[str, ...] = ("com", "org", "io", "net", "dev")) -> Column:
-    """The first part of a package that says what it is for: after a vendor's prefix and its name, else the last part."""
-    parts = F.split(package, r"\.")
-    some = F.when(F.get(parts, F.lit(0)).isin(*vendor), F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
-    return F.when(F.trim(package) != "", F.coalesce(F.get(some, F.lit(0)), F.element_at(parts, -1)))
+#: First parts of packages that name a vendor.
+VENDORS = ("com", "org", "net", "io")
+
+
+def package_cluster(key: Column) -> Column:
+    """Of a Java type's key, the part of its package that says what it is for: the third after a vendor's prefix, else the first; the last
+    where there are fewer. Null for other keys and types without a package."""
+    name = F.regexp_extract(key, r"^java:(.+)\.[^.]*$", 1)
+    parts = F.split(name, r"\.")
+    at = F.when((F.size(parts) >= 2) & F.get(parts, F.lit(0)).isin(*VENDORS), 2).otherwise(0)
+    return F.when(name != "", F.lower(F.coalesce(F.get(parts, at), F.element_at(parts, -1))))
 
 
 def parse_skip_count(text: Column, most: int = 2_147_483_647) -> Column:

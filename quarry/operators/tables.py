@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def inventory(files: DataFrame, max_size: int = 1 << 20, max_files: int = 50_000) -> DataFrame:
-    """snapshot_id, path, size, status of every file: EXCLUDED_SIZE, EXCLUDED_COUNT once `max_files` earlier paths are accepted, else ACCEPTED."""
-    ok = (F.col("size") <= max_size).cast("long")
-    before = F.coalesce(F.sum(ok).over(W.partitionBy("snapshot_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("_b", before).select("snapshot_id", "path", "size", F.when(F.col("_b") >= max_files, "EXCLUDED_COUNT").when(F.col("size") > max_size, "EXCLUDED_SIZE").otherwise("ACCEPTED").alias("status"))
+from quarry.operators.ordered import running_before
 
 
 def build_manifest(files: DataFrame) -> DataFrame:
@@ -42,12 +37,6 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.coalesce(col, F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
 
 
-def coverage(outcomes: DataFrame) -> DataFrame:
-    """capability, targeted, succeeded, failed, unmeasured, from (capability, status); a null status is unmeasured, never zero."""
-    n = lambda s: F.count_if(F.coalesce("status", F.lit("UNMEASURED")) == s)
-    return outcomes.groupBy("capability").agg(F.count("*").alias("targeted"), n("SUCCESS").alias("succeeded"), n("FAILED").alias("failed"), n("UNMEASURED").alias("unmeasured"))
-
-
 def area_scores(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     """area, score (sum of weights, at most 1, four decimals), technologies, selected."""
     s = signals.groupBy("area").agg(F.least(F.lit(1.0), F.round(F.sum("weight"), 4)).alias("score"), F.array_join(F.array_sort(F.collect_set("technology")), ",").alias("technologies"))
@@ -55,11 +44,20 @@ def area_scores(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """keys, p (the value at rank ceil(share * n)), worst, n; a null value is a failed sample and counts as infinite."""
-    v = F.coalesce(F.col(value), F.lit(float("inf")))
-    w = W.partitionBy(*keys)
-    d = df.select(*keys, v.alias("v")).withColumn("r", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
-    return d.groupBy(*keys).agg(F.min(F.when(F.col("r") >= F.ceil(F.lit(share) * F.col("n")), F.col("v"))).alias("p"), F.max("v").alias("worst"), F.count("*").alias("n"))
+    """keys, p (the value at rank ceil(share * n)), worst, n; a null value is a failed sample and counts as infinite.
+
+    Equal values are counted first; the ranks are running sums over ranges of values, so no task holds all of a key."""
+    v = df.select(*keys, F.coalesce(F.col(value), F.lit(float("inf"))).alias("v")).groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    n = v.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("v").alias("worst"))
+    r = running_before(v, keys, ["v"], "c", "before").join(n, keys)
+    at = F.when(F.col("before") + F.col("c") >= F.ceil(F.lit(share) * F.col("n")), F.col("v"))
+    return r.groupBy(*keys).agg(F.min(at).alias("p"), F.max("worst").alias("worst"), F.max("n").alias("n"))
+
+
+def slo_verdict(samples: DataFrame, limits: DataFrame) -> DataFrame:
+    """key, p, worst, n, verdict of samples (key, value): PASS if the 95th percentile is within the key's limit, UNMEASURED without samples."""
+    r = limits.join(nearest_rank(samples, ["key"], "value"), "key", "left")
+    return r.select("key", "p", "worst", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "UNMEASURED").when(F.col("p") <= F.col("limit"), "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def sampling_gaps(samples: DataFrame, max_gap_ms: int) -> DataFrame:

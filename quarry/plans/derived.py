@@ -47,6 +47,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """`sql` with the views it names, for DuckDB."""
     used = [n for n in VIEWS if n in sql]
-    duck = lambda s: s.replace("unix_millis(", "epoch_ms(").replace("sha2(", "sha256(").replace(", 256)", ")")
+    duck = lambda s: s.replace("unix_millis(", "epoch_ms(").replace("sha2(", "sha256(").replace(", 256)", ")").replace(" div ", " // ").replace("array(", "list_value(")
     head = ",\n".join(f"{n} AS ({duck(VIEWS[n])})" for n in used)
     return f"WITH RECURSIVE {head}{', ' if used and sql.startswith('+') else ''}{sql.removeprefix('+')}" if used else sql

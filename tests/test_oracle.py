@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from quarry import catalog, catalog_identity, catalog_records  # noqa: F401
+from quarry import catalog, catalog_files, catalog_graph, catalog_identity, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
