@@ -55,8 +55,8 @@ VIEWS.update({
 })
 
 
-@query("SELECT natural_key, node_type, path FROM n_nodes WHERE node_type IN ('COMPONENT', 'HOOK', 'METHOD', 'CLASS', 'DB_ENTITY') AND area_type = 'BACKEND' AND (contains(lower(name), 'bra') OR contains(lower(natural_key), 'bra') OR contains(lower(path), '/4/'))"
-       .replace("contains(lower(name), 'bra') OR contains(lower(natural_key), 'bra') OR contains(lower(path), '/4/')", "contains(lower(name), '/4/') OR contains(lower(natural_key), '/4/') OR coalesce(contains(lower(path), '/4/'), false)"))
+@query("""SELECT natural_key, node_type, path FROM n_nodes WHERE node_type IN ('COMPONENT', 'HOOK', 'METHOD', 'CLASS', 'DB_ENTITY') AND area_type = 'BACKEND'
+ AND (contains(lower(name), '/4/') OR contains(lower(natural_key), '/4/') OR coalesce(contains(lower(path), '/4/'), false))""")
 def node_listing(spark, d):
     return L.list_nodes(view(spark, d, "n_nodes"), area="BACKEND", q="/4/", category="symbols").select("natural_key", "node_type", "path")
 

@@ -79,6 +79,24 @@ def ledger(requests: DataFrame) -> DataFrame:
     return requests.groupBy("installation", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum(cost).alias("liability"), F.sum(held).alias("held"), F.count_if(F.col("status").isin("RESERVED", "DISPATCHED")).alias("open_requests"))
 
 
+def admit_reservation(requests: DataFrame, gates: DataFrame, new: DataFrame) -> DataFrame:
+    """installation, decision of new reservations (installation, day, micro_usd) against gates (installation, day_limit, month_limit): DENIED with two
+    requests open, any conflict, a zero limit, or if what is held, new and settled would pass the limit of the day or the month; else ADMITTED."""
+    settled = F.col("status") == "SETTLED"
+    cost = F.when(settled, F.col("actual")).otherwise(F.greatest("floor", "reserved", F.coalesce("actual", F.lit(0))))
+    r = new.join(gates, "installation", "left").join(requests.select("installation", F.col("day").alias("on"), "conflict", F.col("status").isin("RESERVED", "DISPATCHED").alias("open"), settled.alias("settled"), cost.alias("cost")), "installation", "left")
+    held = F.coalesce(F.sum(F.when(~F.col("settled"), F.col("cost"))), F.lit(0))
+    within = lambda same: F.coalesce(F.sum(F.when(F.col("settled") & same, F.col("cost"))), F.lit(0))
+    g = r.groupBy("installation", "day", "micro_usd", "day_limit", "month_limit").agg(
+        F.count_if("open").alias("open"), F.coalesce(F.bool_or("conflict"), F.lit(False)).alias("conflict"), held.alias("held"),
+        within(F.col("on") == F.col("day")).alias("today"), within(F.trunc("on", "month") == F.trunc("day", "month")).alias("month"),
+    )
+    limit = lambda c: F.coalesce(F.col(c), F.lit(0))
+    full = (F.col("held") + F.col("micro_usd") + F.col("today") > limit("day_limit")) | (F.col("held") + F.col("micro_usd") + F.col("month") > limit("month_limit"))
+    denied = (F.col("open") >= 2) | F.col("conflict") | (limit("day_limit") == 0) | (limit("month_limit") == 0) | full
+    return g.select("installation", F.when(denied, "DENIED").otherwise("ADMITTED").alias("decision"))
+
+
 def accuracy(gold: DataFrame, observed: DataFrame) -> DataFrame:
     """cell, tp, fp, fn, precision, recall of two tables (cell, case, target); no cases give null, not zero."""
     g, o = gold.distinct().withColumn("g", F.lit(1)), observed.distinct().withColumn("o", F.lit(1))
