@@ -194,7 +194,7 @@ def _corpus_counts(docs: DataFrame, units: list[str]) -> tuple[np.ndarray, int]:
         n = max(LAST, -(-n // FAN_IN))
         parts = parts.repartition(n).mapInPandas(add, "n binary")
     total = np.zeros(len(index) + 1, "int64")
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         total += np.frombuffer(r.n, "int64")
     return total[:-1], int(total[-1])
 
