@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 K = 3
 #: Most k-grams of all templates together; more are refused, since the table is broadcast.
@@ -91,6 +91,7 @@ def passages(df: DataFrame, templates: Iterable[Template] = TEMPLATES, min_cover
         .join(F.broadcast(template_grams(df.sparkSession, templates)), "gram")
         .select("doc_id", "text_key", "template", "label", "phrase", "n_grams", "n_must", "t_pos", "must", "pos", (F.col("pos") - F.col("t_pos")).alias("diag"))
     )
+    hits = cut(hits)  # few rows, used twice
     key = ["doc_id", "text_key", "template", "label", "phrase", "n_grams", "n_must"]
     # A diagonal's votes as a set: repeated rows of a document do not vote twice.
     whole = hits.filter("phrase").groupBy(*key, "diag").agg(F.count_distinct("t_pos").alias("votes")).filter(F.col("votes") == F.col("n_grams"))
