@@ -234,10 +234,13 @@ def step_verdicts(steps: DataFrame, edges: DataFrame, forward: tuple[str, ...] =
     e = edges.select("edge_id", "source", "target", "edge_type", "confidence")
     ahead = e.filter(F.col("edge_type").isin(*forward)).select("edge_id", F.col("source").alias("from"), F.col("target").alias("node"), "edge_type", "confidence")
     back = e.filter(F.col("edge_type").isin(*reverse)).select("edge_id", F.col("target").alias("from"), F.col("source").alias("node"), "edge_type", "confidence")
-    to = s.filter("not entry").select("flow", "seq", "node").join(ahead.unionByName(back), "node")
+    # Of the edges between two nodes only the strongest can count.
+    order = F.struct(rank(F.col("confidence")), -F.col("edge_id"))
+    links = ahead.unionByName(back).groupBy("from", "node").agg(F.max_by(F.struct("edge_id", "edge_type", "confidence"), order).alias("l")).select("from", "node", "l.*")
+    to = s.filter("not entry").select("flow", "seq", "node").join(links, "node")
     earlier = steps.groupBy("flow", F.col("node").alias("from")).agg(F.min("seq").alias("before"))
     to = to.join(earlier, ["flow", "from"]).filter("before < seq")
-    best = to.groupBy("flow", "seq").agg(F.max_by(F.struct("edge_type", "confidence"), F.struct(rank(F.col("confidence")), -F.col("edge_id"))).alias("v"))
+    best = to.groupBy("flow", "seq").agg(F.max_by(F.struct("edge_type", "confidence"), order).alias("v"))
     return s.select("flow", "seq", "node", "entry").join(best, ["flow", "seq"], "left").select("flow", "seq", "node", "entry", "v.edge_type", "v.confidence")
 
 
