@@ -192,12 +192,16 @@ CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+
 
 
 def candidates(text: str, taken: list[tuple]) -> Iterator[tuple[int, int, str]]:
-    """Runs with letters and digits outside the base spans."""
+    """Runs with letters and digits outside the base spans, which are sorted by their starts."""
+    i, reach = 0, 0  # base spans that start before the run's end, and how far they reach
     for m in CANDIDATE.finditer(text):
         t = m[0].strip("=.-_/+")
         a = m.start() + m[0].index(t)
         b = a + len(t)
-        if len(t) >= LEAST and not any(x[0] < b and a < x[1] for x in taken):
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if len(t) >= LEAST and reach <= a:
             yield a, b, t
 
 
