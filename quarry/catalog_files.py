@@ -198,7 +198,7 @@ def commit_churn(spark, d):
     return H.commit_churn(view(spark, d, "h_lines"))
 
 
-@query("""+ j AS (SELECT DISTINCT path, sha, committed_at FROM h_files JOIN h_commits USING (project_id, sha)) SELECT path, sha, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC NULLS FIRST, sha)::INT AS rank FROM j QUALIFY rank <= 5""")
+@query("""+ j AS (SELECT DISTINCT project_id, path, sha, committed_at FROM h_files JOIN h_commits USING (project_id, sha)) SELECT project_id, path, sha, row_number() OVER (PARTITION BY project_id, path ORDER BY committed_at DESC NULLS LAST, sha)::INT AS rank FROM j QUALIFY rank <= 5""")
 def commits_for_paths(spark, d):
     f = view(spark, d, "h_files")
     return H.commits_for_paths(view(spark, d, "h_commits"), f, f.select("path"))

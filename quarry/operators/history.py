@@ -50,10 +50,10 @@ def commit_churn(diff_lines: DataFrame) -> DataFrame:
 
 
 def commits_for_paths(commits: DataFrame, commit_files: DataFrame, paths: DataFrame, k: int = 5) -> DataFrame:
-    """path, sha, rank of the newest k commits that touch each path."""
+    """project_id, path, sha, rank of the newest k commits of a project that touch each path; those without a time come last."""
     j = commit_files.join(paths.select("path").distinct(), "path", "left_semi").select("project_id", "sha", "path").distinct().join(commits.select("project_id", "sha", "committed_at"), ["project_id", "sha"])
-    rank = F.row_number().over(W.partitionBy("path").orderBy(F.desc_nulls_first("committed_at"), "sha"))
-    return j.withColumn("rank", rank).filter(F.col("rank") <= k).select("path", "sha", "rank")
+    rank = F.row_number().over(W.partitionBy("project_id", "path").orderBy(F.desc_nulls_last("committed_at"), "sha"))
+    return j.withColumn("rank", rank).filter(F.col("rank") <= k).select("project_id", "path", "sha", "rank")
 
 
 def review_context(pulls: DataFrame, commit_files: DataFrame, findings: DataFrame, files: int = 40, most: int = 30) -> DataFrame:
