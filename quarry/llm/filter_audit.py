@@ -35,7 +35,7 @@ COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lo
 def own_failures(text: Column) -> Column:
     """The filters A to D that a text fails, as the low four bits of a mask."""
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
-    capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     distinct = F.size(F.array_distinct(words))
     fails = (F.size(words) < MIN_WORDS, 100 * distinct < 50 * F.size(words), 100 * capitals > 2 * F.length(text), text.rlike("[#$%&*|]"))
     return reduce(add, [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)])
