@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, html_text, license_scan, mixing, near_duplicates, quality_classifier, quality_rules, secrets_scan, token_counts, toxicity
+from . import decontamination, filter_audit, html_text, jaccard_join, license_scan, mixing, near_duplicates, quality_classifier, quality_rules, secrets_scan, token_counts, toxicity
 from .common import bounded_batches, table
 
 
@@ -53,6 +53,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,11 +74,12 @@ QUERIES = {
         op8_mixing,
         op9_token_counts,
         op10_license_scan,
+        op12_jaccard_join,
         op13_filter_audit,
     )
 }
 
-ORACLES = {"op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql(), "op13_filter_audit": filter_audit.sql()}
+ORACLES = {"op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql(), "op12_jaccard_join": jaccard_join.sql(), "op13_filter_audit": filter_audit.sql()}
 
 
 # Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that stay, with the columns of documents. Each states what it does with
