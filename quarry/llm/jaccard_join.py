@@ -45,8 +45,8 @@ SLOT_BITS = 16
 #: Buckets of up to so many members are held against all their components at once; in larger ones each round adds so many hubs; rounds end
 #: when fewer than this share of the tested pairs link.
 SMALL, HUBS, YIELD = 8, 3, 0.001
-#: Members of a tile.
-TILE = 512
+#: In the end, pairs of buckets of up to PAIRED members are joined as rows; larger buckets are compared inside tasks, in tiles of so many members.
+PAIRED, TILE = 24, 512
 #: Vectors that a task adds up, and that are left for the driver.
 FAN_IN, LAST = 32, 8
 
@@ -226,7 +226,11 @@ def _by_hubs(placed: DataFrame, hubs: int, small: bool) -> DataFrame:
 def _finished(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a < b) of different components that share a bucket and pass the Hamming test: all of them, without a limit.
 
-    Each has a member outside the bucket's largest component; TILE of those at a time meet the bucket's members, TILE at a time."""
+    Those of small buckets, a bounded number for each member, are joined. In a larger one each pair has a member outside the bucket's largest
+    component; TILE of those at a time meet the bucket's members, TILE at a time."""
+    few, placed = placed.filter(F.col("n") <= PAIRED).select("key", "id", "comp"), placed.filter(F.col("n") > PAIRED)
+    met = few.withColumnsRenamed({"id": "a", "comp": "ca"}).join(few.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").filter("a < b and ca <> cb")
+    few = _passes(met.select("a", "b").distinct(), nodes)
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("size"))
     main = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.m")) / TILE).cast("int").alias("tx"), F.ceil(F.col("size") / TILE).cast("int").alias("ty"))
@@ -260,7 +264,7 @@ def _finished(placed: DataFrame, nodes: DataFrame) -> DataFrame:
         found = np.sort(np.concatenate(out), axis=1)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]}, dtype="int64")
 
-    return y.unionByName(x).groupBy("key", "px", "py").applyInPandas(compare, "a long, b long").distinct()
+    return y.unionByName(x).groupBy("key", "px", "py").applyInPandas(compare, "a long, b long").unionByName(few).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
