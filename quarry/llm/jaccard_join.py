@@ -155,11 +155,15 @@ def _sketched(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     return cut(out.withColumnRenamed("k0", "doc_id").withColumn("row", F.monotonically_increasing_id()))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small: a few numbers a row, BROADCAST_NODES rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+
 def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, shingles of the nodes given as (id, doc_id, f1, f2), read from their texts again."""
     key = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("of")
-    some = nodes.select(key()).distinct()
-    src = docs.select(key(), text_of().alias("text")).join(F.broadcast(some) if some.count() <= BROADCAST_NODES else some, "of", "left_semi")
+    src = docs.select(key(), text_of().alias("text")).join(_small(nodes.select(key()).distinct()), "of", "left_semi")
 
     def run(text):
         sets = [shingle_set(w) for w in ascii_words(text)]
@@ -167,7 +171,7 @@ def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return None, [[a for a, _ in ids], [b for _, b in ids], [s.view(np.int64) for s in sets]]
 
     out = with_python(src, [F.col("of")], [F.col("text")], "f1 long, f2 long, shingles array<long>", run).withColumnRenamed("k0", "of")
-    return cut(out.join(nodes.select(key(), "f1", "f2", "id"), ["of", "f1", "f2"]).select("id", "shingles").dropDuplicates(["id"]))
+    return cut(out.join(_small(nodes.select(key(), "f1", "f2", "id")), ["of", "f1", "f2"]).select("id", "shingles").dropDuplicates(["id"]))
 
 
 def _passes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,8 +186,10 @@ def _passes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.filter(near & (off * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Only the texts in them are read again."""
+    some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    shingles = _shingles(docs, cut(some.select("id", "doc_id", "f1", "f2")))
 
     def run(sa, sb):
         keep = []
@@ -273,14 +279,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = ["f1", "f2", "n"]
     nodes = rows.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("id"))
     nodes = cut(nodes)
-    held = rows.select(F.col("row").alias("id"), "keys", "dense").join(nodes.select("id", "doc_id", *same), "id")
-    members = cut(held.select(F.explode("keys").alias("key"), "id"))
+    # All but one row of each set are left out: by a broadcast where they are few.
+    copies = rows.filter("n > 0").select("row", *same).join(nodes.select("id", *same), same).filter("row <> id").select("row")
+    held = rows.filter("n > 0").join(_small(cut(copies)), "row", "left_anti").select(F.col("row").alias("id"), "keys", "dense")
+    members = held.select(F.explode("keys").alias("key"), "id")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(members.join(sizes, "key"))
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    inside = cut(held.drop("keys").join(degree, "id"))
+    inside = cut(nodes.join(held.select("id", "dense"), "id").join(degree, "id"))
     shared = cut(shared.join(inside.select("id", "degree"), "id"))
-    shingles = _shingles(docs, inside)
     comps, tested, links, turn, last = None, None, None, 1, False
     while True:
         placed = _placed(shared, comps)
@@ -290,7 +297,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             pairs = _passes(_by_hubs(placed, 1 if turn == 1 else HUBS * (turn - 1), turn > 1), inside)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut(_verified(pairs, shingles))
+        new = cut(_verified(pairs, docs, inside))
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if found:
