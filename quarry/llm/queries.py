@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, html_text, jaccard_join, license_scan, mixing, near_duplicates, quality_classifier, quality_rules, secrets_scan, token_counts, toxicity
+from . import decontamination, filter_audit, html_text, jaccard_join, license_scan, mixing, near_duplicates, quality_classifier, quality_rules, secrets_scan, spelling_variants, token_counts, toxicity
 from .common import bounded_batches, table
 
 
@@ -53,6 +53,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_mixing,
         op9_token_counts,
         op10_license_scan,
+        op11_spelling_variants,
         op12_jaccard_join,
         op13_filter_audit,
     )
