@@ -264,7 +264,7 @@ def _finished(placed: DataFrame, nodes: DataFrame) -> DataFrame:
                     off = stacks[s] ^ (d[:s] ^ d[s:])
                 else:
                     continue
-                ok = (yc[at] != c) & (ym[at] | (yi[at] > i)) & (np.bitwise_count(off).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (yn[at] + n) * (100 - PERCENT))
+                ok = (yc[at] != c) & (ym[at] | (yi[at] > i)) & (np.bitwise_count(off.view(np.uint64)).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (yn[at] + n) * (100 - PERCENT))
                 ok &= np.maximum(yn[at], n) * PERCENT <= np.minimum(yn[at], n) * 100
                 out.append(np.stack([np.full(ok.sum(), i), yi[at][ok]], axis=1))
         found = np.sort(np.concatenate(out), axis=1)
