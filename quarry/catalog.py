@@ -176,10 +176,11 @@ def snapshot_diff(spark, d):
     return A.diff(view(spark, d, "g_base"), view(spark, d, "g_target"))
 
 
-@query("""SELECT a.category, a.key AS old_key, b.key AS new_key FROM g_base a JOIN g_target b ON a.fingerprint = b.fingerprint
-WHERE a.key NOT IN (SELECT key FROM g_target) AND b.key NOT IN (SELECT key FROM g_base)""")
+@query("""SELECT a.category, a.key AS old_key, b.key AS new_key FROM r_base a JOIN r_target b ON a.fingerprint = b.fingerprint
+WHERE trim(a.fingerprint) <> '' AND a.key NOT IN (SELECT key FROM r_target) AND b.key NOT IN (SELECT key FROM r_base)""")
 def rename_candidates(spark, d):
-    return A.renames(view(spark, d, "g_base"), view(spark, d, "g_target"))
+    """Moved files; some fingerprints are blank and match nothing."""
+    return A.renames(view(spark, d, "r_base"), view(spark, d, "r_target"))
 
 
 @query("SELECT project_id, sha, committed_at FROM g_commits QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY committed_at DESC NULLS FIRST, sha) = 1")

@@ -19,7 +19,7 @@ LANG = "CASE doc_id % 7 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN
 STATUS = "CASE doc_id % 11 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'UNSUPPORTED' WHEN 4 THEN 'TARGETED' WHEN 5 THEN 'LEGACY_UNMEASURED' ELSE 'UNMEASURED' END"
 VIEWS.update({
     "n_files": f"SELECT doc_id % 3 AS snapshot_id, concat(source, '/', lang, '/', CASE WHEN doc_id % 5 = 0 THEN 'test/' WHEN doc_id % 13 = 1 THEN 'build/' ELSE 'main/' END, CASE WHEN doc_id % 37 = 3 THEN '.env' ELSE 'F' END, doc_id, {EXTENSION}) AS path, n_chars AS size, coalesce(text, '') AS text, doc_id % 17 = 0 AS submodule, doc_id FROM documents",
-    "n_given": f"SELECT doc_id % 3 AS root, concat(lang, '/', CASE WHEN doc_id % 5 = 0 THEN 'test/' WHEN doc_id % 13 = 1 THEN 'build/' ELSE 'main/' END, CASE WHEN doc_id % 37 = 3 THEN '.env' ELSE 'F' END, doc_id, {EXTENSION}) AS path, n_chars AS size, CASE doc_id % 29 WHEN 0 THEN 'password = \"hunter22\"' WHEN 1 THEN 'token = \"${{X}}\"' ELSE 'plain' END AS text, CASE WHEN doc_id % 19 = 2 THEN 'symlink' WHEN doc_id % 23 = 2 THEN 'hard_link' ELSE 'file' END AS kind FROM documents",
+    "n_given": f"SELECT doc_id % 3 AS root, concat(lang, '/', CASE WHEN doc_id % 5 = 0 THEN 'test/' WHEN doc_id % 13 = 1 THEN 'build/' WHEN doc_id % 31 = 4 THEN 'lib/sub/in/' ELSE 'main/' END, CASE WHEN doc_id % 37 = 3 THEN '.env' WHEN doc_id % 13 = 1 AND doc_id % 4 = 0 THEN 'node_modules/F' ELSE 'F' END, doc_id, {EXTENSION}) AS path, n_chars AS size, CASE doc_id % 29 WHEN 0 THEN 'password = \"hunter22\"' WHEN 1 THEN 'token = \"${{X}}\"' ELSE 'plain' END AS text, CASE WHEN doc_id % 19 = 2 THEN 'symlink' WHEN doc_id % 23 = 2 THEN 'hard_link' ELSE 'file' END AS kind FROM documents UNION ALL SELECT DISTINCT doc_id % 2, concat(lang, '/lib/sub/.git'), 10, 'gitdir: x', 'file' FROM documents UNION ALL SELECT doc_id % 3, concat('top', doc_id, '.java'), 10, 'plain', 'file' FROM documents WHERE doc_id % 50 = 0",
     "o_files": f"SELECT doc_id % 3 AS snapshot_id, concat('f', doc_id) AS path, {LANG} AS language, {STATUS} AS status, CASE WHEN doc_id % 4 = 0 THEN 'AMBIGUOUS_SYMBOL_IDENTITY' END AS reason, doc_id % 6 = 0 AS targeted FROM documents",
     "o_given": "SELECT concat('f', doc_id) AS path, CASE doc_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'TARGETED' WHEN 3 THEN NULL ELSE 'UNMEASURED' END AS status, CASE doc_id % 3 WHEN 0 THEN 'PARSED' WHEN 1 THEN 'free text' END AS reason FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT concat('f', doc_id), 'SUCCESS', 'AGAIN' FROM documents WHERE doc_id % 10 = 0",
     "o_asked": "SELECT concat('f', doc_id) AS path FROM documents WHERE doc_id % 9 <> 0",
@@ -29,15 +29,16 @@ VIEWS.update({
     "h_commits": "SELECT o_custkey % 20 AS project_id, md5(concat('c', o_orderkey)) AS sha, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS committed_at FROM orders",
     "h_files": "SELECT o_custkey % 20 AS project_id, md5(concat('c', o_orderkey)) AS sha, CASE o_orderkey % 9 WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'web/package.json' WHEN 2 THEN 'infra/main.tf' WHEN 3 THEN 'go.mod' WHEN 4 THEN 'web/go.mod' ELSE concat('src/', o_custkey % 30, '.java') END AS path, CASE o_orderkey % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'DELETE' ELSE 'MODIFY' END AS change_type FROM orders",
     "h_pulls": "SELECT o_custkey % 20 AS project_id, o_orderkey AS number, CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'Open' ELSE 'Merged' END AS state, md5(concat('c', o_orderkey)) AS head_sha FROM orders",
-    "h_findings": "SELECT l_orderkey % 20 AS project_id, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS severity, CASE WHEN l_orderkey % 3 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "h_findings": "SELECT l_orderkey % 20 AS project_id, l_orderkey * 10 + l_linenumber AS id, CASE CAST(min(l_quantity) AS INT) % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, min(l_returnflag) AS category, concat('Finding ', min(l_partkey) % 40) AS title, CASE WHEN l_orderkey % 3 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "h_places": "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS finding_id, l_partkey AS evidence_id, CASE WHEN l_partkey % 4 <> 0 THEN concat('src/', l_suppkey, '.java') END AS path, CASE WHEN l_partkey % 3 <> 0 THEN l_linenumber END AS line FROM lineitem WHERE l_partkey % 9 <> 0 UNION ALL SELECT DISTINCT l_orderkey * 10 + l_linenumber, -l_suppkey, 'again.java', 7 FROM lineitem WHERE l_linenumber = 2",
     "h_lines": "SELECT md5(concat('c', l_orderkey)) AS sha, concat('p', l_partkey) AS path, CASE WHEN l_quantity >= 20 THEN '+' ELSE '-' END AS sign FROM lineitem",
     "h_snapshots": "SELECT o_custkey % 20 AS project_id, o_orderkey AS snapshot_id, CASE WHEN o_orderstatus = 'F' THEN 'READY' ELSE 'FAILED' END AS status, o_orderkey % 2 = 0 AS legacy FROM orders",
     "h_noted": "SELECT o_orderkey AS snapshot_id FROM orders WHERE o_orderkey % 7 = 0",
     "c_now": "SELECT concat('f', doc_id) AS path, sha2(concat(coalesce(text, ''), CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END), 256) AS content_hash, concat('x', doc_id % 4) AS context_hash FROM documents WHERE doc_id % 7 <> 0",
     "c_was": "SELECT concat('f', doc_id) AS path, sha2(coalesce(text, ''), 256) AS content_hash, concat('x', doc_id % 3) AS context_hash FROM documents WHERE doc_id % 6 <> 0",
-    "c_want": "SELECT doc_id AS key, quality AS value FROM labels WHERE doc_id % 9 <> 0",
+    "c_want": "SELECT doc_id AS key, quality AS value FROM labels WHERE doc_id % 9 <> 0 UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 40 = 1 AND doc_id % 9 <> 0",
     "c_is": "SELECT doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS value FROM labels WHERE doc_id % 8 <> 0 UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 15 = 0",
-    "c_skip": "SELECT doc_id AS key FROM labels WHERE doc_id % 5 = 0",
+    "c_skip": "SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END AS value FROM labels WHERE doc_id % 9 = 0",
     "c_steps": "SELECT o_orderpriority AS kind, concat('flow', o_custkey) AS name, o_orderkey AS seq, CASE WHEN o_orderkey % 5 <> 0 THEN concat('n', o_custkey % 7) END AS node, o_orderstatus AS description FROM orders",
 })
 
@@ -72,23 +73,25 @@ def ignored_paths(spark, d):
     return N.ignored(view(spark, d, "n_given").select("path"), RULES)
 
 
-ADMITTED = f"""e AS (SELECT root, path, CASE WHEN kind = 'symlink' THEN 'SYMLINK' WHEN path LIKE '%/build/%' THEN 'GENERATED_DIRECTORY' WHEN path LIKE '%/.env%' THEN 'SECRET_PATH' WHEN kind = 'hard_link' THEN 'HARD_LINK' WHEN {IGNORED} THEN 'IGNORED' WHEN size > 3000 THEN 'OVERSIZED'
- WHEN path LIKE '%.bin' THEN 'BINARY' WHEN NOT (path LIKE 'en/%' OR path LIKE 'de/%') THEN 'OUT_OF_SCOPE' END AS r, text LIKE 'password%' AS secret FROM n_given),
+ADMITTED = f"""sub AS (SELECT DISTINCT root, regexp_extract(path, '^(.*/sub)/.git$', 1) AS pruned FROM n_given WHERE path LIKE '%/.git'),
+p AS (SELECT g.*, CASE WHEN path LIKE '%/%' AND split_part(path, '/', 1) NOT IN ('en', 'de') THEN split_part(path, '/', 1) WHEN regexp_matches(path, '/(build|node_modules)/') THEN regexp_extract(path, '^(.*?/(build|node_modules))/', 1) WHEN sub.pruned IS NOT NULL THEN sub.pruned END AS pruned FROM n_given g LEFT JOIN sub ON sub.root = g.root AND starts_with(path, sub.pruned || '/')),
+e AS (SELECT root, path, pruned, CASE WHEN regexp_matches(pruned, '/(build|node_modules)$') THEN 'GENERATED_DIRECTORY' WHEN pruned LIKE '%/sub' THEN 'SUBMODULE' WHEN pruned IS NOT NULL THEN 'OUT_OF_SCOPE' WHEN kind = 'symlink' THEN 'SYMLINK' WHEN path LIKE '%/.env%' THEN 'SECRET_PATH' WHEN kind = 'hard_link' THEN 'HARD_LINK' WHEN {IGNORED} THEN 'IGNORED' WHEN size > 3000 THEN 'OVERSIZED'
+ WHEN path LIKE '%.bin' THEN 'BINARY' WHEN path NOT LIKE '%/%' THEN 'OUT_OF_SCOPE' END AS r, text LIKE 'password%' AS secret FROM p),
 l AS (SELECT *, coalesce(sum((r IS NULL AND NOT secret)::INT) OVER (PARTITION BY root ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e),
-a AS (SELECT root, path, coalesce(r, CASE WHEN b >= 100 THEN 'FILE_LIMIT' WHEN secret THEN 'SECRET_CONTENT' END) AS reason FROM l)"""
+a AS (SELECT root, path, pruned, coalesce(r, CASE WHEN b >= 100 THEN 'FILE_LIMIT' WHEN secret THEN 'SECRET_CONTENT' END) AS reason FROM l)"""
 
 
 def _admitted(spark, d):
     return N.admit(view(spark, d, "n_given"), RULES, ["en", "de"], [], 3000, 100)
 
 
-@query(f"+ {ADMITTED} SELECT root, path, reason FROM a")
+@query(f"+ {ADMITTED} SELECT root, path, pruned, reason FROM a")
 def admission(spark, d):
     """Why each file of a tree is kept out (size and number are limited: the feature)."""
-    return _admitted(spark, d).select("root", "path", "reason")
+    return _admitted(spark, d).select("root", "path", "pruned", "reason")
 
 
-@query(f"+ {ADMITTED} SELECT root, reason, count(*) AS n FROM a WHERE reason IS NOT NULL GROUP BY ALL")
+@query(f"+ {ADMITTED} SELECT root, reason, count(*) FILTER (pruned IS NULL) + count(DISTINCT pruned) AS n FROM a WHERE reason IS NOT NULL GROUP BY ALL")
 def exclusion_counts(spark, d):
     return N.exclusion_counts(_admitted(spark, d))
 
@@ -204,10 +207,11 @@ def commits_for_paths(spark, d):
     return H.commits_for_paths(view(spark, d, "h_commits"), f, f.select("path"))
 
 
-@query("""+ c AS (SELECT DISTINCT p.project_id, number, path FROM h_pulls p JOIN h_files f ON f.project_id = p.project_id AND f.sha = head_sha), w AS (SELECT * FROM h_findings WHERE status <> 'DISMISSED' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY severity, id) <= 30)
-SELECT project_id, number, 'FILE' AS kind, path AS item FROM c QUALIFY row_number() OVER (PARTITION BY project_id, number ORDER BY path) <= 40 UNION ALL SELECT p.project_id, number, 'FINDING', w.id::VARCHAR FROM h_pulls p JOIN w USING (project_id)""")
+@query("""+ w AS (SELECT project_id, id, severity, category, title, path, line, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, id, evidence_id)::INT AS place FROM h_findings JOIN h_places ON finding_id = id WHERE status <> 'DISMISSED' QUALIFY place <= 30),
+c AS (SELECT p.project_id, number, row_number() OVER (PARTITION BY p.project_id, number ORDER BY path, change_type)::INT AS place, path, change_type FROM h_pulls p JOIN h_files f ON f.project_id = p.project_id AND f.sha = head_sha QUALIFY place <= 40)
+SELECT project_id, number, 'FILE' AS kind, place, path AS item, change_type AS detail, NULL AS at FROM c UNION ALL SELECT p.project_id, number, 'FINDING', place, w.id::VARCHAR, concat_ws(' ', severity, category, title), path || ':' || coalesce(line, 1) FROM h_pulls p JOIN w USING (project_id)""")
 def review_context(spark, d):
-    return H.review_context(view(spark, d, "h_pulls"), view(spark, d, "h_files"), view(spark, d, "h_findings"))
+    return H.review_context(*[view(spark, d, n) for n in ("h_pulls", "h_files", "h_findings", "h_places")])
 
 
 @query("""+ o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY snapshot_id DESC) AS k FROM h_snapshots WHERE status = 'READY' AND legacy) SELECT project_id, snapshot_id FROM o WHERE k > 2 AND snapshot_id NOT IN (FROM h_noted)""")
@@ -220,8 +224,9 @@ def source_changes(spark, d):
     return C.source_changes(view(spark, d, "c_now"), view(spark, d, "c_was"))
 
 
-@query("""+ a AS (SELECT key, max(value) AS v, count(*) AS n FROM c_is GROUP BY key), j AS (SELECT coalesce(w.key, a.key) AS key, CASE WHEN n IS NULL THEN 'MISSING' WHEN w.key IS NULL THEN 'UNEXPECTED' WHEN n > 1 THEN 'DUPLICATE' WHEN v <> value THEN 'CHANGED' END AS problem FROM c_want w FULL JOIN a ON a.key = w.key)
-SELECT * FROM j WHERE problem IS NOT NULL AND key NOT IN (FROM c_skip)""")
+@query("""+ w AS (SELECT key, min(value) AS want, count(*) AS nw FROM c_want GROUP BY key), g AS (SELECT key, min(value) AS got, count(*) AS ng FROM c_is GROUP BY key), j AS (SELECT coalesce(w.key, g.key) AS key, want, nw, got, ng, ng IS NOT NULL AND NOT EXISTS (FROM c_skip s WHERE s.key = g.key AND s.value = g.got) AS ok FROM w FULL JOIN g ON w.key = g.key),
+r AS (SELECT key, 'MISSING' AS problem, want, NULL AS got FROM j WHERE nw > 0 AND NOT ok UNION ALL SELECT key, 'UNEXPECTED', want, got FROM j WHERE nw IS NULL AND ok UNION ALL SELECT key, 'CHANGED', want, got FROM j WHERE nw > 0 AND ok AND want <> got
+ UNION ALL SELECT key, 'DUPLICATE_EXPECTED', want, CASE WHEN ok THEN got END FROM j WHERE nw > 1 UNION ALL SELECT key, 'DUPLICATE_ACTUAL', want, CASE WHEN ok THEN got END FROM j WHERE ng > 1) SELECT * FROM r""")
 def verified_facts(spark, d):
     return C.verify_facts(*[view(spark, d, n) for n in ("c_want", "c_is", "c_skip")])
 

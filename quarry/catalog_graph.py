@@ -43,7 +43,7 @@ VIEWS.update({
     "n_methods": "SELECT concat('method', c_custkey) AS method, concat('t', c_custkey) AS owner, concat('m', c_custkey % 4) AS name, CASE c_custkey % 2 WHEN 0 THEN array('int') ELSE array('char') END AS params FROM customer",
     "n_imports": "SELECT concat('f', doc_id) AS importer, concat('pkg.m', doc_id % 60) AS module FROM documents",
     "n_modules": "SELECT DISTINCT concat('pkg/m', doc_id % 45, CASE WHEN doc_id % 4 = 0 THEN '/__init__.py' ELSE '.py' END) AS path FROM documents",
-    "n_steps": "SELECT l_orderkey AS flow, l_linenumber AS seq, concat('n', max(l_suppkey) % 10) AS node, concat('n', l_orderkey % 10) AS entry_node FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "n_steps": "SELECT l_orderkey AS flow, l_linenumber AS seq, concat('n', max(l_suppkey) % 10) AS node, concat('n', l_orderkey % 10) AS entry_node, CASE WHEN max(l_partkey) % 3 = 0 THEN max(l_partkey) END AS edge_id FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "n_relations": "SELECT c_custkey AS edge_id, concat('n', c_custkey % 10) AS source, concat('n', c_custkey div 10 % 10) AS target, CASE c_custkey % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'EXPOSES' ELSE 'IMPORTS' END AS edge_type, CASE c_custkey div 7 % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'LIKELY' ELSE 'POSSIBLE' END AS confidence FROM customer",
     "n_processes": "SELECT o_orderkey div 40 AS sample, CAST(7 AS BIGINT) AS owner, o_orderkey % 40 AS pid, (o_orderkey % 40) div 2 AS ppid, CAST(o_custkey AS BIGINT) AS rss_kib, CASE WHEN o_orderkey % 40 = 33 THEN CAST(7 AS BIGINT) END AS scope_owner FROM orders",
     "n_seen": "SELECT l_returnflag AS cell, l_linestatus AS edge_type, concat('f', l_orderkey % 300) AS path, l_linenumber AS span, concat('t', l_suppkey % 12) AS target, CASE WHEN l_partkey % 3 = 0 THEN 'CONFIRMED' ELSE 'LIKELY' END AS confidence FROM lineitem",
@@ -239,11 +239,11 @@ def backend_flows(spark, d):
     return D.backend_flows(view(spark, d, "n_nodes"), view(spark, d, "n_edges"))
 
 
-@query("""+ a AS (SELECT flow, min(seq) AS anchor FROM n_steps WHERE node = entry_node GROUP BY flow), s AS (SELECT n_steps.*, coalesce(seq = anchor, false) AS entry FROM n_steps LEFT JOIN a USING (flow)),
+@query("""+ a AS (SELECT flow, min(seq) AS anchor FROM n_steps WHERE node = entry_node AND edge_id IS NULL GROUP BY flow), s AS (SELECT n_steps.*, coalesce(seq = anchor, false) AS entry FROM n_steps LEFT JOIN a USING (flow)),
 r AS (SELECT edge_id, source AS f, target AS node, edge_type, confidence FROM n_relations WHERE edge_type = 'CALLS' UNION ALL SELECT edge_id, target, source, edge_type, confidence FROM n_relations WHERE edge_type = 'EXPOSES'),
 v AS (SELECT s.flow, s.seq, r.edge_type, r.confidence FROM s JOIN r ON r.node = s.node WHERE NOT entry AND EXISTS (SELECT 1 FROM n_steps e WHERE e.flow = s.flow AND e.node = r.f AND e.seq < s.seq)
- QUALIFY row_number() OVER (PARTITION BY s.flow, s.seq ORDER BY CASE r.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'LIKELY' THEN 1 ELSE 2 END, edge_id) = 1)
-SELECT s.flow, s.seq, node, entry, edge_type, confidence FROM s LEFT JOIN v USING (flow, seq)""")
+ QUALIFY row_number() OVER (PARTITION BY s.flow, s.seq ORDER BY CASE r.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'LIKELY' THEN 1 ELSE 2 END, r.edge_id) = 1)
+SELECT s.flow, s.seq, node, entry, CASE WHEN o.edge_id IS NULL THEN v.edge_type ELSE o.edge_type END AS edge_type, CASE WHEN o.edge_id IS NULL THEN v.confidence ELSE o.confidence END AS confidence FROM s LEFT JOIN v USING (flow, seq) LEFT JOIN n_relations o ON o.edge_id = s.edge_id""")
 def flow_verdicts(spark, d):
     return D.step_verdicts(view(spark, d, "n_steps"), view(spark, d, "n_relations"))
 

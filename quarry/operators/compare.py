@@ -14,14 +14,24 @@ def source_changes(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     return g.select("path", change.alias("change")).filter("change is not null")
 
 
-def verify_facts(expected: DataFrame, actual: DataFrame, ignored: DataFrame) -> DataFrame:
-    """key, problem of two tables (key, value): MISSING, UNEXPECTED, CHANGED, and DUPLICATE where the actual side has a key more than once; keys on
-    the ignore list are left out."""
-    a = actual.groupBy("key").agg(F.max("value").alias("is"), F.count("*").alias("n"))
-    e = expected.groupBy("key").agg(F.max("value").alias("want"))
-    j = e.join(a, "key", "full")
-    problem = F.when(F.col("n").isNull(), "MISSING").when(F.col("want").isNull(), "UNEXPECTED").when(F.col("n") > 1, "DUPLICATE").when(F.col("is") != F.col("want"), "CHANGED")
-    return j.join(ignored.select("key").distinct(), "key", "left_anti").select("key", problem.alias("problem")).filter("problem is not null")
+def verify_facts(expected: DataFrame, actual: DataFrame, allowed: DataFrame) -> DataFrame:
+    """key, problem, want, got of two tables (key, value): MISSING, UNEXPECTED, CHANGED, and beside these DUPLICATE_EXPECTED and DUPLICATE_ACTUAL for a key
+    that a side has more than once (its least value then counts).
+
+    An actual fact is passed over only if exactly it, key and value, is in `allowed`. A key that is both expected and allowed is an error: that check
+    runs a job while the result is built."""
+    clash = allowed.join(expected.select("key"), "key", "left_semi").head(1)
+    if clash:
+        raise ValueError(f"expected and allowed: {clash[0].key}")
+    side = lambda df, value, n: df.groupBy("key").agg(F.min("value").alias(value), F.count("*").alias(n))
+    got = side(actual, "got", "n_got").withColumn("ok", F.lit(True))
+    passed = allowed.select("key", F.col("value").alias("got")).distinct().withColumn("passed", F.lit(True))
+    got = got.join(passed, ["key", "got"], "left").withColumn("ok", F.col("passed").isNull()).drop("passed")
+    j = side(expected, "want", "n_want").join(got, "key", "full")
+    has = F.coalesce("ok", F.lit(False))
+    differs = F.when(F.col("n_want").isNotNull() & ~has, "MISSING").when(F.col("n_want").isNull() & has, "UNEXPECTED").when(F.col("n_want").isNotNull() & (F.col("want") != F.col("got")), "CHANGED")
+    problems = F.array_compact(F.array(differs, F.when(F.col("n_want") > 1, "DUPLICATE_EXPECTED"), F.when(F.col("n_got") > 1, "DUPLICATE_ACTUAL")))
+    return j.select("key", F.explode(problems).alias("problem"), "want", F.when(has, F.col("got")).alias("got"))
 
 
 def split_unchanged(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:

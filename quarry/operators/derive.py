@@ -227,21 +227,25 @@ FORWARD, REVERSE = ("CONSUMES", "CONTAINS", "DECLARES", "CALLS", "READS_WRITES",
 
 
 def step_verdicts(steps: DataFrame, edges: DataFrame, forward: tuple[str, ...] = FORWARD, reverse: tuple[str, ...] = REVERSE) -> DataFrame:
-    """flow, seq, node, entry, edge_type, confidence of flow steps (flow, seq, node, entry_node): the first step of the entry node has no verdict;
-    others take the strongest edge (of equals the least id) that leads to them from an earlier step, or back along a reverse type."""
-    first = steps.filter(F.col("node") == F.col("entry_node")).groupBy("flow").agg(F.min("seq").alias("anchor"))
+    """flow, seq, node, entry, edge_type, confidence of flow steps (flow, seq, node, entry_node, edge_id).
+
+    A step takes the verdict of its recorded edge. Of the others, the first of the entry node is the anchor and has none; the rest, and steps whose recorded
+    edge is gone, take the strongest edge (of equals the least id) that leads to them from an earlier step, or back along a reverse type."""
+    first = steps.filter((F.col("node") == F.col("entry_node")) & F.col("edge_id").isNull()).groupBy("flow").agg(F.min("seq").alias("anchor"))
     s = steps.join(first, "flow", "left").withColumn("entry", F.coalesce(F.col("seq") == F.col("anchor"), F.lit(False)))
     e = edges.select("edge_id", "source", "target", "edge_type", "confidence")
+    s = s.join(e.select("edge_id", F.struct("edge_type", "confidence").alias("own")), "edge_id", "left")
     ahead = e.filter(F.col("edge_type").isin(*forward)).select("edge_id", F.col("source").alias("from"), F.col("target").alias("node"), "edge_type", "confidence")
     back = e.filter(F.col("edge_type").isin(*reverse)).select("edge_id", F.col("target").alias("from"), F.col("source").alias("node"), "edge_type", "confidence")
     # Of the edges between two nodes only the strongest can count.
     order = F.struct(rank(F.col("confidence")), -F.col("edge_id"))
     links = ahead.unionByName(back).groupBy("from", "node").agg(F.max_by(F.struct("edge_id", "edge_type", "confidence"), order).alias("l")).select("from", "node", "l.*")
-    to = s.filter("not entry").select("flow", "seq", "node").join(links, "node")
+    to = s.filter("not entry and own is null").select("flow", "seq", "node").join(links, "node")
     earlier = steps.groupBy("flow", F.col("node").alias("from")).agg(F.min("seq").alias("before"))
     to = to.join(earlier, ["flow", "from"]).filter("before < seq")
     best = to.groupBy("flow", "seq").agg(F.max_by(F.struct("edge_type", "confidence"), order).alias("v"))
-    return s.select("flow", "seq", "node", "entry").join(best, ["flow", "seq"], "left").select("flow", "seq", "node", "entry", "v.edge_type", "v.confidence")
+    s = s.select("flow", "seq", "node", "entry", "own").join(best, ["flow", "seq"], "left").withColumn("v", F.coalesce("own", "v"))
+    return s.select("flow", "seq", "node", "entry", "v.edge_type", "v.confidence")
 
 
 def process_tree_rss(rows: DataFrame, most: int = 64) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import base_name
+from quarry.operators.listing import severity_rank
 
 #: Manifests whose changes mark an era of technology.
 MANIFESTS = ("pom.xml", "package.json", "docker-compose.yml", "docker-compose.yaml", "build.gradle", "build.gradle.kts", "settings.gradle", "go.mod", "requirements.txt", "pyproject.toml")
@@ -56,16 +57,19 @@ def commits_for_paths(commits: DataFrame, commit_files: DataFrame, paths: DataFr
     return j.withColumn("rank", rank).filter(F.col("rank") <= k).select("project_id", "path", "sha", "rank")
 
 
-def review_context(pulls: DataFrame, commit_files: DataFrame, findings: DataFrame, files: int = 40, most: int = 30) -> DataFrame:
-    """project_id, number, kind, item: the first changed paths of each pull request's head commit, and the first findings of its project that
-    are not dismissed, by severity rank and id."""
-    changed = pulls.select("project_id", "number", F.col("head_sha").alias("sha")).join(commit_files.select("project_id", "sha", "path").distinct(), ["project_id", "sha"])
-    first = lambda df, k, *order: df.withColumn("rank", F.row_number().over(W.partitionBy("project_id", "number").orderBy(*order))).filter(F.col("rank") <= k)
-    changed = first(changed, files, "path").select("project_id", "number", F.lit("FILE").alias("kind"), F.col("path").alias("item"))
+def review_context(pulls: DataFrame, commit_files: DataFrame, findings: DataFrame, evidence: DataFrame, files: int = 40, most: int = 30) -> DataFrame:
+    """project_id, number, kind, place, item, detail, at: the first changed files of each pull request's head commit by path, with their change; and the first
+    findings of its project that are not dismissed, by severity and id, once for each place of their evidence (finding_id, evidence_id, path,
+    line). Findings without evidence are left out; a line that is not known is the first."""
+    changed = pulls.select("project_id", "number", F.col("head_sha").alias("sha")).join(commit_files.select("project_id", "sha", "path", "change_type"), ["project_id", "sha"])
+    first = lambda df, k, keys, *order: df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= k)
+    changed = first(changed, files, ["project_id", "number"], "path", "change_type").select("project_id", "number", F.lit("FILE").alias("kind"), "place", F.col("path").alias("item"), F.col("change_type").alias("detail"), F.lit(None).cast("string").alias("at"))
     # A project's findings are cut before they meet its pull requests.
-    worst = findings.filter("status <> 'DISMISSED'").withColumn("rank", F.row_number().over(W.partitionBy("project_id").orderBy("severity", "id"))).filter(F.col("rank") <= most)
-    worst = pulls.select("project_id", "number").join(worst, "project_id").select("project_id", "number", F.lit("FINDING").alias("kind"), F.col("id").cast("string").alias("item"))
-    return changed.unionByName(worst)
+    worst = findings.filter("status <> 'DISMISSED'").join(evidence.withColumnRenamed("finding_id", "id"), "id")
+    worst = first(worst, most, ["project_id"], severity_rank(F.col("severity")), "id", "evidence_id")
+    at = F.concat("path", F.lit(":"), F.coalesce("line", F.lit(1)).cast("string"))
+    worst = worst.select("project_id", F.lit("FINDING").alias("kind"), "place", F.col("id").cast("string").alias("item"), F.concat_ws(" ", "severity", "category", "title").alias("detail"), at.alias("at"))
+    return changed.unionByName(pulls.select("project_id", "number").join(worst, "project_id").select(changed.columns))
 
 
 def retain_snapshots(snapshots: DataFrame, note_refs: DataFrame, keep: int = 2) -> DataFrame:

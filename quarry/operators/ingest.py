@@ -26,17 +26,12 @@ SECRET_FILES = "credentials credentials.json credentials.xml id_rsa id_dsa id_ec
 SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "keychain", "keychain-db")
 
 
-def path_reason(path: Column) -> Column:
-    """SECRET_PATH or GENERATED_DIRECTORY, whichever the first folder or name of the path to be either is; null for others."""
-    parts = F.transform(F.split(path, "/"), F.lower)
-    n = F.size(parts)
-
-    def of(name: Column, i: Column) -> Column:
-        ext = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))
-        secret = name.isin(*SECRET_FOLDERS, *SECRET_FILES) | name.startswith(".env") | F.coalesce(ext.isin(*SECRET_EXTENSIONS), F.lit(False))
-        return F.when(secret, "SECRET_PATH").when(name.isin(".git", ".ds_store") | (i < n - 1) & name.isin(*GENERATED), "GENERATED_DIRECTORY")
-
-    return F.get(F.filter(F.transform(parts, of), lambda r: r.isNotNull()), F.lit(0))
+def name_reason(name: Column, folder: bool) -> Column:
+    """SECRET_PATH or GENERATED_DIRECTORY for the name of a folder or a file; null for others."""
+    name = F.lower(name)
+    ext = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))
+    secret = name.isin(*SECRET_FOLDERS, *SECRET_FILES) | name.startswith(".env") | F.coalesce(ext.isin(*SECRET_EXTENSIONS), F.lit(False))
+    return F.when(secret, "SECRET_PATH").when(name.isin(".git", ".ds_store", *(GENERATED if folder else ())), "GENERATED_DIRECTORY")
 
 
 def is_binary(path: Column, content: Column) -> Column:
@@ -93,23 +88,23 @@ def ignore_regex(line: str) -> tuple[str, bool, bool] | None:
     return ("^" if anchored else "(?:^|/)") + "".join(out) + "$", only, ignored
 
 
-def ignored(paths: DataFrame, rules: list[str]) -> DataFrame:
-    """paths (path of a file) with `ignored`: a path is ignored if a folder above it or itself is, each by the last rule that matches it.
+def _verdict(rules: list[str], path: Column, directory: Column) -> Column:
+    """Whether the last rule that matches a path hides it. The rules are few, so they are one expression."""
+    out = F.lit(False)
+    for form, only, hides in [r for line in rules if (r := ignore_regex(line))]:
+        hit = path.rlike(form) & directory if only else path.rlike(form)
+        out = F.when(hit, F.lit(hides)).otherwise(out)
+    return out
 
-    An ignored folder hides all below it, whatever later rules say. The rules are few, so they are one expression."""
-    compiled = [r for line in rules if (r := ignore_regex(line))]
 
-    def verdict(p: Column, directory: Column) -> Column:
-        out = F.lit(False)
-        for form, only, hides in compiled:  # later rules are asked first
-            hit = p.rlike(form) & directory if only else p.rlike(form)
-            out = F.when(hit, F.lit(hides)).otherwise(out)
-        return out
+def ignored(paths: DataFrame, rules: list[str]) -> DataFrame:
+    """paths (path of a file) with `ignored`: a path is ignored if a folder above it or itself is, each by the last rule that matches it.
 
+    An ignored folder hides all below it, whatever later rules say."""
     parts = F.split("path", "/")
     n = F.size(parts)
     steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("p"), (i < n).alias("d")))
-    return paths.withColumn("ignored", F.exists(steps, lambda s: verdict(s["p"], s["d"])))
+    return paths.withColumn("ignored", F.exists(steps, lambda s: _verdict(rules, s["p"], s["d"])))
 
 
 def in_scope(path: Column, directories: list[str], languages: list[str]) -> Column:
@@ -119,34 +114,62 @@ def in_scope(path: Column, directories: list[str], languages: list[str]) -> Colu
     return ok & (F.coalesce(detect_language(path), F.lit("other")).isin(*languages) if languages else F.lit(True))
 
 
-def admit(files: DataFrame, rules: list[str], directories: list[str], languages: list[str], max_size: int = 1 << 20, max_files: int = 50_000) -> DataFrame:
-    """files (root, path, size, text, kind) with `reason`: the first that keeps the file out, null if it is taken in.
+def pruned_folders(files: DataFrame, rules: list[str], directories: list[str]) -> DataFrame:
+    """root, folder, pruned, reason: of each folder that holds files and lies in or is a folder that is skipped whole, the topmost such folder and why.
+
+    A folder is skipped by the first that holds: SECRET_PATH, GENERATED_DIRECTORY, SUBMODULE (a repository of its own lies in it), OUT_OF_SCOPE
+    (at the top), IGNORED. The different folders are judged, not the files: each once, with its ancestors joined to it."""
+    held = files.filter(F.contains("path", F.lit("/"))).select("root", F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct()
+    parts = F.split("folder", "/")
+    above = held.select("root", "folder", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
+    above = above.select("root", "folder", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("at"))
+    each = above.select("root", "depth", "at").distinct()
+    nested = files.select("root", F.regexp_extract("path", r"^(.+?)/\.git(?:/|$)", 1).alias("at")).filter("at <> ''").distinct().withColumn("nested", F.lit(True))
+    name = F.substring_index("at", "/", -1)
+    outside = (F.col("depth") == 1) & ~name.isin(*directories) if directories else F.lit(False)
+    reason = F.coalesce(
+        name_reason(name, True), F.when(F.col("nested"), "SUBMODULE"), F.when(outside, "OUT_OF_SCOPE"), F.when(_verdict(rules, F.col("at"), F.lit(True)), "IGNORED")
+    )
+    skipped = each.join(nested, ["root", "at"], "left").select("root", "at", reason.alias("reason")).filter("reason is not null")
+    topmost = F.min(F.struct("depth", F.col("at").alias("pruned"), "reason")).alias("t")
+    return above.join(skipped, ["root", "at"]).groupBy("root", "folder").agg(topmost).select("root", "folder", "t.pruned", "t.reason")
 
-    In order: SYMLINK, SECRET_PATH, GENERATED_DIRECTORY, HARD_LINK, IGNORED, OVERSIZED, BINARY, OUT_OF_SCOPE, FILE_LIMIT, SECRET_CONTENT. kind is
-    `file`, `symlink` or `hard_link`."""
-    f = ignored(files, rules)
-    by_name = F.coalesce(extension(F.col("path")).isin(*BINARY_EXTENSIONS), F.lit(False))
+
+def admit(files: DataFrame, rules: list[str], directories: list[str], languages: list[str], max_size: int = 1 << 20, max_files: int = 50_000) -> DataFrame:
+    """files (root, path, size, text, kind) with `reason`, the first that keeps the file out, null if it is taken in, and `pruned`, the folder that is
+    skipped whole with it, if one is.
+
+    First the folders, from the top: see pruned_folders. A file that they leave: SYMLINK, SECRET_PATH, GENERATED_DIRECTORY, HARD_LINK, IGNORED, OVERSIZED, BINARY,
+    OUT_OF_SCOPE (at the root, or by its language), FILE_LIMIT, BINARY, SECRET_CONTENT. kind is `file`, `symlink` or `hard_link`."""
+    path = F.col("path")
+    folders = pruned_folders(files, rules, directories).withColumnRenamed("reason", "folder_reason")
+    f = files.withColumn("folder", F.regexp_extract("path", "^(.*)/", 1)).join(folders, ["root", "folder"], "left")
+    own = name_reason(F.substring_index("path", "/", -1), False)
     reason = (
-        F.when(F.col("kind") == "symlink", "SYMLINK")
-        .when(path_reason(F.col("path")).isNotNull(), path_reason(F.col("path")))
+        F.when(F.col("folder_reason").isNotNull(), F.col("folder_reason"))
+        .when(F.col("kind") == "symlink", "SYMLINK")
+        .when(own.isNotNull(), own)
         .when(F.col("kind") == "hard_link", "HARD_LINK")
-        .when(F.col("ignored"), "IGNORED")
+        .when(_verdict(rules, path, F.lit(False)), "IGNORED")
         .when(F.col("size") > max_size, "OVERSIZED")
-        .when(by_name, "BINARY")
-        .when(~in_scope(F.col("path"), directories, languages), "OUT_OF_SCOPE")
+        .when(F.coalesce(extension(path).isin(*BINARY_EXTENSIONS), F.lit(False)), "BINARY")
+        .when(~in_scope(path, directories, languages), "OUT_OF_SCOPE")
     )
     # Only accepted files count towards the limit.
-    late = F.when(is_binary(F.col("path"), F.col("text")), "BINARY").when(contains_secret(F.col("text"), F.col("path").rlike(CONFIG_FILE)), "SECRET_CONTENT")
+    late = F.when(is_binary(path, F.col("text")), "BINARY").when(contains_secret(F.col("text"), path.rlike(CONFIG_FILE)), "SECRET_CONTENT")
     f = f.withColumn("reason", reason).withColumn("late", F.when(F.col("reason").isNull(), late))
     f = f.withColumn("one", (F.col("reason").isNull() & F.col("late").isNull()).cast("long"))
     f = running_before(f, ["root"], ["path"], "one", "before")
     limit = F.when(F.col("before") >= max_files, "FILE_LIMIT")
-    return f.withColumn("reason", F.coalesce("reason", limit, "late")).drop("one", "before", "ignored", "late")
+    return f.withColumn("reason", F.coalesce("reason", limit, "late")).drop("one", "before", "late", "folder", "folder_reason")
 
 
 def exclusion_counts(admitted: DataFrame) -> DataFrame:
-    """root, reason, n of the files that are kept out."""
-    return admitted.filter("reason is not null").groupBy("root", "reason").agg(F.count("*").alias("n"))
+    """root, reason, n of what is kept out: files, and folders that are skipped whole, which count once."""
+    out = admitted.filter("reason is not null")
+    # A folder's files are put together before they are counted.
+    folders = out.filter("pruned is not null").groupBy("root", "reason", "pruned").agg(F.lit(1).alias("one")).select("root", "reason", "one")
+    return folders.unionByName(out.filter("pruned is null").select("root", "reason", F.lit(1).alias("one"))).groupBy("root", "reason").agg(F.count("*").alias("n"))
 
 
 def preview_counts(files: DataFrame, depths: dict[str, str]) -> DataFrame:

@@ -103,11 +103,15 @@ def layer_call_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM")
 
 
+def severity_rank(severity: Column) -> Column:
+    """1 for the worst; what is not in SEVERITIES comes last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity), F.lit(0)), F.lit(4))
+
+
 def list_findings(findings: DataFrame, severity: str | None = None) -> DataFrame:
     """Findings, worst first, then by category, title, id; `place` numbers them within their snapshot."""
     f = findings if severity is None else findings.filter(F.col("severity") == severity)
-    worst = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(4))
-    return f.orderBy("snapshot_id", worst, "category", "title", "id")
+    return f.orderBy("snapshot_id", severity_rank(F.col("severity")), "category", "title", "id")
 
 
 STATUSES = ("OPEN", "DRAFT", "DONE")

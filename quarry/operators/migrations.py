@@ -79,8 +79,8 @@ def statements(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def items(body: str) -> list[str]:
-    """What commas outside brackets and quotes part."""
+def items(body: str, inside: bool = False) -> list[str]:
+    """What commas outside brackets and quotes part; `inside`: up to the closing bracket, which must come."""
     out, depth, now = [], 0, []
     for x in re.findall(r"'[^']*'|\"[^\"]*\"|`[^`]*`|.", body, re.S):
         depth += (x == "(") - (x == ")")
@@ -91,7 +91,7 @@ def items(body: str) -> list[str]:
             now = []
         else:
             now.append(x)
-    if depth > 0:
+    if depth != -inside:
         raise ValueError("a bracket is not closed")
     return [i.strip() for i in [*out, "".join(now)] if i.strip()]
 
@@ -136,7 +136,7 @@ def events_of(text: str) -> list[tuple]:
         made: list[tuple] = []
         if m := CREATE.match(s):
             made.append(("CREATE", bare(m[1]), None, None, None))
-            made += [("ADD", bare(m[1]), *c, column_line(lines, first, last, c[0])) for i in items((m[2] or "")[1:]) if (c := column(i))]
+            made += [] if not m[2] else [("ADD", bare(m[1]), *c, column_line(lines, first, last, c[0])) for i in items(m[2][1:], True) if (c := column(i))]
         elif m := ALTER.match(s):
             t = bare(m[1])
             made.append(("TOUCH", t, None, None, None))

@@ -22,10 +22,11 @@ def diff(base: DataFrame, target: DataFrame) -> DataFrame:
     return g.select("category", "key", change.alias("change")).filter("change is not null")
 
 
-def renames(base: DataFrame, target: DataFrame) -> DataFrame:
-    """(old_key, new_key): removed and added keys of a category with one fingerprint."""
-    gone, come = base.join(target, ["category", "key"], "left_anti"), target.join(base, ["category", "key"], "left_anti")
-    return gone.select("category", "fingerprint", F.col("key").alias("old_key")).join(come.select("category", "fingerprint", F.col("key").alias("new_key")), ["category", "fingerprint"]).select("category", "old_key", "new_key")
+def renames(base: DataFrame, target: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
+    """(category, old_key, new_key): removed and added keys of a category with one fingerprint, the members' for features. A blank one is none."""
+    known = F.trim(fingerprint) != ""
+    side = lambda a, b, key: a.filter(known).join(b, ["category", "key"], "left_anti").select("category", F.col(fingerprint).alias("f"), F.col("key").alias(key))
+    return side(base, target, "old_key").join(side(target, base, "new_key"), ["category", "f"]).select("category", "old_key", "new_key")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:

@@ -24,6 +24,8 @@ VIEWS = {
  n_chars AS size, coalesce(text, '') AS text, source AS project, doc_id FROM documents""",
     "g_base": "SELECT 'FILE' AS category, concat(source, '/', doc_id) AS key, sha2(coalesce(text, ''), 256) AS fingerprint FROM documents WHERE doc_id % 10 <> 0",
     "g_target": "SELECT 'FILE' AS category, concat(source, '/', CASE WHEN doc_id % 13 = 0 THEN concat('moved-', doc_id) ELSE concat('', doc_id) END) AS key, sha2(CASE WHEN doc_id % 11 = 0 THEN concat(coalesce(text, ''), '!') ELSE coalesce(text, '') END, 256) AS fingerprint FROM documents WHERE doc_id % 7 <> 0",
+    "r_base": "SELECT 'FILE' AS category, concat(source, '/', doc_id) AS key, CASE WHEN doc_id % 26 = 0 THEN ' ' ELSE sha2(coalesce(text, ''), 256) END AS fingerprint FROM documents WHERE doc_id % 10 <> 0",
+    "r_target": "SELECT 'FILE' AS category, concat(source, '/', CASE WHEN doc_id % 13 = 0 THEN concat('moved-', doc_id) ELSE concat('', doc_id) END) AS key, CASE WHEN doc_id % 26 = 0 THEN ' ' WHEN doc_id % 11 = 0 THEN sha2(concat(coalesce(text, ''), '!'), 256) ELSE sha2(coalesce(text, ''), 256) END AS fingerprint FROM documents WHERE doc_id % 7 <> 0",
     "g_commits": "SELECT o_orderkey AS commit_id, o_custkey % 20 AS project_id, md5(concat('c', o_orderkey)) AS sha, o_orderdate AS committed_at FROM orders",
     "g_samples": "SELECT user_id AS run, event_id AS seq, CAST(unix_millis(CAST(date_trunc('second', ts) AS TIMESTAMP)) AS BIGINT) AS t_ms, value FROM events",
     "g_usage": "SELECT user_id, ts, event_id, CAST(floor(coalesce(value, 0)) AS BIGINT) AS tokens FROM events",

@@ -64,9 +64,9 @@ def test_scalars_of_metadata_and_lines(spark):
         D.layer_of(F.array().cast("array<string>"), F.array(F.lit("MyJpaRepository"))).alias("repo"),
         N.is_binary(F.lit("a/b.PNG"), F.lit("x")).alias("png"),
         N.is_binary(F.lit("a/b.txt"), F.lit("x\x00y")).alias("nul"),
-        N.path_reason(F.lit("a/node_modules/x.js")).alias("generated"),
-        N.path_reason(F.lit("a/.ssh/x")).alias("secret"),
-        N.path_reason(F.lit("a/build")).alias("file"),
+        N.name_reason(F.lit("node_modules"), True).alias("generated"),
+        N.name_reason(F.lit(".SSH"), True).alias("secret"),
+        N.name_reason(F.lit("build"), False).alias("file"),
     ).first()
     assert r.merged == '{"a":"1","b":"3"}' and (r.vendor, r.own, r.none) == ("shop", "shop", None)
     assert (r.lines, r.empty, r.at, r.author, r.mail, r.n, r.bad, r.sha) == (3, 1, 2, "N <e@x>", "e@x", 12, None, "0123456789")
