@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.catalog import query
+from quarry.catalog_graph import BACKEND
+from quarry.operators import derive as D
 from quarry.operators import migrations as M
 from quarry.plans.derived import VIEWS, view
 
 VIEWS.update({
+    "f_edges": """SELECT concat('order:', o_orderkey) AS source, concat('part:', o_custkey % 40 * 5 + 1) AS target, 'CONSUMES' AS edge_type, 'CONFIRMED' AS confidence FROM orders WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT concat('order:', o_orderkey), concat('part:', o_custkey % 23 * 5 + 6), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey % 23 * 5 + 6 <> o_custkey % 40 * 5 + 1
+ UNION ALL SELECT concat('order:', o_orderkey), concat('part:', o_custkey % 30 * 5 + 5), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT concat('order:', o_orderkey), concat('order:', o_orderkey), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 31 = 0
+ UNION ALL SELECT concat('region:', n_regionkey), concat('nation:', n_nationkey), 'DEPLOYED_IN', 'CONFIRMED' FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT concat('pod:', s_suppkey), concat('nation:', s_nationkey), 'DEPLOYED_IN', 'CONFIRMED' FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT concat('pod:', s_suppkey), concat('nation:', (s_nationkey + 9) % 25), 'DEPLOYED_IN', 'CONFIRMED' FROM supplier WHERE s_suppkey % 2 = 0
+ UNION ALL SELECT concat('supplier:', s_suppkey), concat('topic:', s_nationkey), CASE WHEN s_suppkey % 2 = 0 THEN 'PUBLISHES' ELSE 'SUBSCRIBES' END, 'CONFIRMED' FROM supplier UNION ALL SELECT concat('supplier:', s_suppkey), concat('topic:', s_nationkey), 'SUBSCRIBES', 'CONFIRMED' FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'gone', concat('topic:', n_nationkey), 'PUBLISHES', 'CONFIRMED' FROM nation""",
+    "f_nodes": "SELECT concat('pod:', s_suppkey) AS natural_key, 'CONTAINER' AS node_type, concat('Pod ', s_suppkey) AS name, concat('k8s/', s_suppkey, '.yaml') AS path, 1 AS line_start, 'INFRASTRUCTURE' AS area_type, '{}' AS metadata FROM supplier UNION ALL SELECT concat('topic:', n_nationkey), 'QUEUE_TOPIC', concat('Topic ', n_name), concat('src/', n_nationkey, '.java'), 1, 'BACKEND', '{}' FROM nation",
     "m_files": r"""SELECT CAST(c_nationkey AS BIGINT) AS project, concat('db/migration/V1_', c_custkey, '__create.sql') AS path, concat('-- it''s for ', c_name, ';', chr(10), 'create table if not exists app."t', c_custkey, '" (', chr(10), '  id bigint primary key,', chr(10), '  name varchar(20) default ''a;b'',', chr(10), '  seg numeric(10,2) not null,', chr(10), '  constraint k check (id > 0)', chr(10), ');', chr(10), '/* done; */') AS text FROM customer
  UNION ALL SELECT CAST(c_nationkey AS BIGINT), concat('db/migration/V2_', o_orderkey, '__change.sql'), CASE WHEN o_orderkey % 41 = 0 THEN concat('drop table if exists t', c_custkey, ' cascade;') WHEN o_orderkey % 43 = 0 THEN concat('alter table t', c_custkey, ' add column "broken int;')
   WHEN o_orderkey % 5 = 0 THEN concat('ALTER TABLE t', c_custkey, ' DROP COLUMN c', o_orderkey % 3, ' CASCADE;') WHEN o_orderkey % 5 = 1 THEN concat('create index i', o_orderkey, ' on t', c_custkey, ' (id);') WHEN o_orderkey % 5 = 2 THEN concat('insert into t', c_custkey, ' values (1, $x$create table no (id int);$x$);', chr(10), 'alter table t', c_custkey, ' add column C', o_orderkey % 3, ' double precision default 0, alter column name type text;')
@@ -45,3 +53,32 @@ def migration_outcomes(spark, d):
 @query("""+ m AS (SELECT project, path, regexp_extract(text, '[ .]"?([tu][0-9]+)"?[ (]', 1) AS "table" FROM m_files WHERE path NOT LIKE 'src/%' AND text NOT LIKE 'drop%' AND text NOT LIKE '%"broken%') SELECT * FROM m""")
 def migration_dependencies(spark, d):
     return M.migration_dependencies(view(spark, d, "m_files"))
+
+
+ALL = "fn AS (SELECT natural_key AS node, node_type, name FROM n_nodes UNION ALL SELECT natural_key, node_type, name FROM f_nodes), fe AS (SELECT source, target, edge_type FROM n_edges UNION ALL SELECT source, target, edge_type FROM f_edges)"
+
+
+def _graph(spark, d):
+    return view(spark, d, "n_nodes").unionByName(view(spark, d, "f_nodes")), view(spark, d, "n_edges").unionByName(view(spark, d, "f_edges"))
+
+
+@query(f"""+ {BACKEND}, {ALL}, o AS (SELECT DISTINCT source AS flow, target AS node, edge_type, fn.node_type, fn.name FROM fe JOIN fn ON fn.node = target WHERE source <> target AND edge_type IN ('CONSUMES', 'CONTAINS') AND source IN (SELECT node FROM fn WHERE node_type = 'FE_ROUTE')),
+u AS (SELECT flow, node, name FROM o WHERE edge_type = 'CONSUMES'), i AS (SELECT flow, node, name FROM o WHERE edge_type = 'CONTAINS' AND node_type = 'COMPONENT' AND NOT EXISTS (FROM u WHERE u.flow = o.flow AND u.node = o.node)),
+s AS (SELECT node AS flow, 0 AS b, '' AS k, 0 AS q, node, NULL::VARCHAR AS edge_type, 'Route ' || name AS description FROM fn WHERE node_type = 'FE_ROUTE' UNION ALL SELECT flow, 1, node, 0, node, 'CONTAINS', name FROM i UNION ALL SELECT flow, 2, node, 0, node, 'CONSUMES', 'CONSUMES ' || name FROM u
+ UNION ALL SELECT u.flow, 2, u.node, b.seq, b.node, NULL, fn.name FROM u JOIN backend b ON b.flow = u.node JOIN fn ON fn.node = b.node UNION ALL SELECT flow, 2, node, 1, node, NULL, name FROM u WHERE node NOT IN (SELECT flow FROM backend)),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY b, CASE WHEN b = 1 THEN k END DESC NULLS LAST, k, q)::INT AS seq, count(*) OVER (PARTITION BY flow) AS n FROM s) SELECT 'FE_BE' AS kind, flow, seq, node, edge_type, description FROM r WHERE n > 1""")
+def fe_be_flows(spark, d):
+    """From front-end routes through what they consume to the back end."""
+    return D.fe_be_flows(*_graph(spark, d))
+
+
+@query(f"""+ {ALL}, s AS (SELECT node AS flow, 0 AS b, node, NULL::VARCHAR AS edge_type, name AS description FROM fn WHERE node_type = 'CONTAINER' UNION ALL SELECT DISTINCT c.node, 1, t.node, edge_type, 'DEPLOYED_IN ' || t.name FROM fe JOIN fn c ON c.node = source AND c.node_type = 'CONTAINER' JOIN fn t ON t.node = target WHERE edge_type = 'DEPLOYED_IN'),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY b, node)::INT AS seq, count(*) OVER (PARTITION BY flow) AS n FROM s) SELECT 'INFRA' AS kind, flow, seq, node, edge_type, description FROM r WHERE n > 1""")
+def infra_flows(spark, d):
+    return D.infra_flows(*_graph(spark, d))
+
+
+@query(f"""+ {ALL}, s AS (SELECT node AS flow, 1 AS b, node, NULL::VARCHAR AS edge_type, name AS description FROM fn WHERE node_type = 'QUEUE_TOPIC' UNION ALL SELECT DISTINCT t.node, 0, c.node, edge_type, edge_type || ' ' || c.name FROM fe JOIN fn c ON c.node = source JOIN fn t ON t.node = target AND t.node_type = 'QUEUE_TOPIC' WHERE edge_type IN ('PUBLISHES', 'SUBSCRIBES')),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY b, edge_type, node)::INT AS seq, count(*) OVER (PARTITION BY flow) AS n FROM s) SELECT 'EVENT' AS kind, flow, seq, node, edge_type, description FROM r WHERE n > 1""")
+def event_flows(spark, d):
+    return D.event_flows(*_graph(spark, d))

@@ -229,12 +229,17 @@ def feature_links(spark, d):
     return D.feature_links(seeds, n, view(spark, d, "n_edges"))
 
 
-@query("""+ n AS (SELECT natural_key AS node, node_type AS t, json_extract_string(metadata, '$.layer') AS l, json_extract_string(metadata, '$.handlerKey') AS handler FROM n_nodes), f AS (SELECT node AS flow, handler FROM n WHERE t = 'API_ENDPOINT'),
+#: Steps of back-end flows, as a chain of expressions over n_nodes and n_edges.
+BACKEND = """n AS (SELECT natural_key AS node, node_type AS t, json_extract_string(metadata, '$.layer') AS l, json_extract_string(metadata, '$.handlerKey') AS handler FROM n_nodes), f AS (SELECT node AS flow, handler FROM n WHERE t = 'API_ENDPOINT'),
 b AS (SELECT DISTINCT flow, e.source AS controller, handler FROM f JOIN n_edges e ON e.target = flow AND edge_type = 'EXPOSES'), s0 AS (SELECT DISTINCT flow, controller, n.node FROM b JOIN n_edges e ON e.source = controller AND edge_type = 'DECLARES' JOIN n ON n.node = e.target AND t = 'METHOD' WHERE e.target = b.handler),
 x AS (SELECT e.source, e.target, e.edge_type FROM n_edges e JOIN n ON n.node = e.source WHERE edge_type IN ('CALLS', 'READS_WRITES') AND t <> 'DB_ENTITY' AND coalesce(l <> 'REPOSITORY', true)),
 w AS (SELECT flow, controller, node, 0 AS d, '' AS o FROM s0 UNION ALL SELECT flow, controller, x.target, d + 1, o || chr(1) || edge_type || chr(2) || x.target FROM w JOIN x ON x.source = node WHERE d < 5),
 a AS (SELECT flow, controller, node, min(row(d, o)) AS p FROM w GROUP BY ALL UNION ALL SELECT flow, controller, controller, row(-1, '') FROM b), g AS (SELECT flow, node, min(row(controller, p)) AS p FROM a WHERE node IN (SELECT node FROM n) GROUP BY ALL),
-k AS (SELECT flow, node, row_number() OVER (PARTITION BY flow ORDER BY p, node) AS seq FROM g) SELECT flow, 1 AS seq, flow AS node FROM f UNION ALL SELECT flow, (seq + 1)::INT, node FROM k WHERE seq <= 25""")
+k AS (SELECT flow, node, row_number() OVER (PARTITION BY flow ORDER BY p, node) AS seq FROM g),
+backend AS (SELECT flow, 1 AS seq, flow AS node FROM f UNION ALL SELECT flow, (seq + 1)::INT, node FROM k WHERE seq <= 25)"""
+
+
+@query(f"+ {BACKEND} FROM backend")
 def backend_flows(spark, d):
     return D.backend_flows(view(spark, d, "n_nodes"), view(spark, d, "n_edges"))
 

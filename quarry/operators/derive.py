@@ -189,15 +189,16 @@ def feature_links(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
     return got.join(n, "node").select("feature", "node", role.alias("role")).filter("role is not null")
 
 
-def backend_flows(nodes: DataFrame, edges: DataFrame, depth: int = 5, most: int = 25) -> DataFrame:
+def backend_flows(nodes: DataFrame, edges: DataFrame, depth: int = 5, most: int = 25, only: DataFrame | None = None) -> DataFrame:
     """(flow, seq, node): an endpoint, then for each controller that exposes it the controller, its handler (the method that the endpoint
     names), and what calls and reads lead to, breadth first up to `depth` steps; repositories and entities lead no further. The endpoint and the first
-    `most` others.
+    `most` others. `only`: the endpoints (flow) that are asked for.
 
     The order of a breadth-first walk is (depth, order of the node that leads on, edge type, target), carried along as one sortable text; a
     node counts where it comes first."""
     n = nodes.select(F.col("natural_key").alias("node"), "node_type", meta_get(F.col("metadata"), "layer").alias("layer"), meta_get(F.col("metadata"), "handlerKey").alias("handler"))
     ends = n.filter("node_type = 'API_ENDPOINT'").select(F.col("node").alias("flow"), "handler")
+    ends = ends if only is None else ends.join(only, "flow", "left_semi")
     by = edges.filter("edge_type = 'EXPOSES'").select(F.col("target").alias("flow"), F.col("source").alias("controller")).distinct().join(ends, "flow")
     declared = edges.filter("edge_type = 'DECLARES'").select(F.col("source").alias("controller"), F.col("target").alias("node")).distinct()
     level = by.join(declared, "controller").filter(F.col("node") == F.col("handler")).join(n.filter("node_type = 'METHOD'").select("node"), "node", "left_semi")
@@ -222,6 +223,60 @@ def backend_flows(nodes: DataFrame, edges: DataFrame, depth: int = 5, most: int
     return ends.select("flow", F.lit(1).alias("seq"), F.col("flow").alias("node")).unionByName(once)
 
 
+def _numbered(steps: DataFrame, kind: str, *order: Column) -> DataFrame:
+    """The steps of flows with two steps or more, numbered from 1."""
+    w = W.partitionBy("flow")
+    s = steps.withColumn("seq", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w)).filter("n > 1")
+    return s.select(F.lit(kind).alias("kind"), "flow", "seq", "node", "edge_type", "description")
+
+
+def fe_be_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (FE_BE), flow, seq, node, edge_type, description: from each front-end route its components, the last by key in front, then what it consumes by key,
+    each with its back-end steps. A node that is both consumed and contained is only consumed. Routes with neither have no flow.
+
+    A step that an edge leads to carries the edge's type."""
+    n = nodes.select(F.col("natural_key").alias("node"), "node_type", "name")
+    routes = n.filter("node_type = 'FE_ROUTE'").select(F.col("node").alias("flow"), F.col("name").alias("route"))
+    out = edges.filter(F.col("edge_type").isin("CONSUMES", "CONTAINS") & (F.col("source") != F.col("target"))).select(F.col("source").alias("flow"), F.col("target").alias("node"), "edge_type").distinct()
+    out = out.join(routes, "flow", "left_semi").join(n, "node")
+    consumed = out.filter("edge_type = 'CONSUMES'")
+    inside = out.filter("edge_type = 'CONTAINS' and node_type = 'COMPONENT'").join(consumed, ["flow", "node"], "left_anti")
+    back = backend_flows(nodes, edges, only=consumed.select(F.col("node").alias("flow")).distinct()).select(F.col("flow").alias("of"), F.col("seq").alias("part"), "node")
+    own = consumed.select(F.col("node").alias("of")).distinct().join(back.select("of").distinct(), "of", "left_anti").select("of", F.lit(1).alias("part"), F.col("of").alias("node"))
+    back = back.unionByName(own).join(n.select("node", "name"), "node")
+    none = F.lit(None).cast("string")
+    steps = routes.select("flow", F.lit(0).alias("block"), F.lit("").alias("of"), F.lit(0).alias("part"), F.col("flow").alias("node"), none.alias("edge_type"), F.concat(F.lit("Route "), "route").alias("description"))
+    steps = steps.unionByName(inside.select("flow", F.lit(1).alias("block"), F.col("node").alias("of"), F.lit(0).alias("part"), "node", "edge_type", F.col("name").alias("description")))
+    steps = steps.unionByName(consumed.select("flow", F.lit(2).alias("block"), F.col("node").alias("of"), F.lit(0).alias("part"), "node", "edge_type", F.concat(F.lit("CONSUMES "), "name").alias("description")))
+    behind = consumed.select("flow", F.col("node").alias("of")).join(back, "of")
+    steps = steps.unionByName(behind.select("flow", F.lit(2).alias("block"), "of", "part", "node", none.alias("edge_type"), F.col("name").alias("description")))
+    return _numbered(steps, "FE_BE", F.col("block"), F.when(F.col("block") == 1, F.col("of")).desc(), F.col("of"), F.col("part"))
+
+
+def _around(nodes: DataFrame, edges: DataFrame, kind: str, types: tuple[str, ...], near: str, far: str) -> tuple[DataFrame, DataFrame]:
+    """(centres, neighbours) of nodes of a kind: (flow, name), and (flow, node, edge_type, description) along edges of the types."""
+    n = nodes.select(F.col("natural_key").alias("node"), "node_type", "name")
+    centres = n.filter(F.col("node_type") == kind).select(F.col("node").alias("flow"), "name")
+    e = edges.filter(F.col("edge_type").isin(*types)).select(F.col(near).alias("flow"), F.col(far).alias("node"), "edge_type").distinct()
+    e = e.join(centres.select("flow"), "flow", "left_semi").join(n.select("node", "name"), "node")
+    return centres, e.select("flow", "node", "edge_type", F.concat("edge_type", F.lit(" "), "name").alias("description"))
+
+
+def infra_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (INFRA), flow, seq, node, edge_type, description: each container, then what it is deployed in by key; containers that are deployed nowhere have no flow."""
+    centres, to = _around(nodes, edges, "CONTAINER", ("DEPLOYED_IN",), "source", "target")
+    head = centres.select("flow", F.lit(0).alias("block"), F.col("flow").alias("node"), F.lit(None).cast("string").alias("edge_type"), F.col("name").alias("description"))
+    return _numbered(head.unionByName(to.withColumn("block", F.lit(1))), "INFRA", F.col("block"), F.col("node"))
+
+
+def event_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (EVENT), flow, seq, node, edge_type, description: what publishes to a topic, what subscribes to it, by key, then the topic; a topic that nothing touches has
+    no flow."""
+    centres, to = _around(nodes, edges, "QUEUE_TOPIC", ("PUBLISHES", "SUBSCRIBES"), "target", "source")
+    tail = centres.select("flow", F.lit(1).alias("block"), F.col("flow").alias("node"), F.lit(None).cast("string").alias("edge_type"), F.col("name").alias("description"))
+    return _numbered(tail.unionByName(to.withColumn("block", F.lit(0))), "EVENT", F.col("block"), F.col("edge_type"), F.col("node"))
+
+
 #: Edge types that lead from a step to a later one, and those that lead back.
 FORWARD, REVERSE = ("CONSUMES", "CONTAINS", "DECLARES", "CALLS", "READS_WRITES", "DEPLOYED_IN"), ("EXPOSES",)
 

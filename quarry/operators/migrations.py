@@ -25,7 +25,7 @@ VERSIONED = r"(?i)^V(\d+(?:[._]\d+)*)__.*\.sql$"
 PIECE = re.compile(r"--[^\n]*|/\*.*?\*/|'[^']*'|\"[^\"]*\"|`[^`]*`|(\$\w*\$).*?\1|;|[^-/'\"`$;]+|.", re.S)
 NAME = r"(?:\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|[\w$]+)"
 TABLE = rf"((?:{NAME}\s*\.\s*)*{NAME})"
-CREATE = re.compile(rf"create\s+(?:(?:global|local)\s+)?(?:temp(?:orary)?\s+|unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?{TABLE}\s*(\(.*)?$", re.I | re.S)
+CREATE = re.compile(rf"create\s+(?:(?:global|local)\s+)?(?:temp(?:orary)?\s+|unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?{TABLE}\s*(\(.*|as\s.*)?$", re.I | re.S)
 ALTER = re.compile(rf"alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?{TABLE}\s+(.*)$", re.I | re.S)
 DROP = re.compile(r"drop\s+table\s+(?:if\s+exists\s+)?(.*?)(?:\s+(?:cascade|restrict))?\s*$", re.I | re.S)
 INDEX = re.compile(rf"create\s+(?:unique\s+)?index\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?({NAME})?\s*on\s+(?:only\s+)?{TABLE}", re.I | re.S)
@@ -136,7 +136,7 @@ def events_of(text: str) -> list[tuple]:
         made: list[tuple] = []
         if m := CREATE.match(s):
             made.append(("CREATE", bare(m[1]), None, None, None))
-            made += [] if not m[2] else [("ADD", bare(m[1]), *c, column_line(lines, first, last, c[0])) for i in items(m[2][1:], True) if (c := column(i))]
+            made += [] if not (m[2] or "").startswith("(") else [("ADD", bare(m[1]), *c, column_line(lines, first, last, c[0])) for i in items(m[2][1:], True) if (c := column(i))]
         elif m := ALTER.match(s):
             t = bare(m[1])
             made.append(("TOUCH", t, None, None, None))

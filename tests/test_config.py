@@ -123,3 +123,26 @@ def test_broken_files_change_nothing(spark):
     assert [r[3] for r in replay(spark, *files)] == ["x", "t"]
     assert rows(M.migration_outcomes(df), "path", "status") == [(V.format(i), "SUCCESS" if i in (1, 6) else "FAILED") for i in range(1, 7)]
     assert M.replay_migrations(df.limit(0)).count() == 0
+
+
+# Flows.
+
+
+def test_flows_put_later_components_in_front(spark):
+    nodes = [("r", "FE_ROUTE", "R", "{}"), ("ca", "COMPONENT", "A", "{}"), ("cb", "COMPONENT", "B", "{}"), ("hook", "HOOK", "H", "{}"), ("e", "API_ENDPOINT", "E", '{"handlerKey":"m"}'), ("c", "CLASS", "C", '{"layer":"CONTROLLER"}'), ("m", "METHOD", "list", "{}"), ("x", "METHOD", "save", "{}"), ("lone", "FE_ROUTE", "L", "{}"), ("k", "CONTAINER", "K", "{}"), ("k2", "CONTAINER", "K2", "{}"), ("q", "QUEUE_TOPIC", "Q", "{}"), ("q2", "QUEUE_TOPIC", "Q2", "{}")]
+    edges = [("r", "ca", "CONTAINS"), ("r", "cb", "CONTAINS"), ("r", "hook", "CONTAINS"), ("r", "e", "CONSUMES"), ("r", "ca", "CONSUMES"), ("r", "r", "CONSUMES"), ("r", "gone", "CONSUMES"), ("c", "e", "EXPOSES"), ("c", "m", "DECLARES"), ("c", "x", "DECLARES"), ("k", "c", "DEPLOYED_IN"), ("k2", "gone", "DEPLOYED_IN"), ("m", "q", "SUBSCRIBES"), ("x", "q", "PUBLISHES"), ("m", "q", "PUBLISHES")]
+    n, e = spark.createDataFrame(nodes, "natural_key string, node_type string, name string, metadata string"), spark.createDataFrame(edges, "source string, target string, edge_type string")
+    steps = lambda f: rows(f(n, e), "flow", "seq", "node", "edge_type", "description")
+    assert steps(D.fe_be_flows) == [
+        ("r", 1, "r", None, "Route R"),
+        ("r", 2, "cb", "CONTAINS", "B"),
+        ("r", 3, "ca", "CONSUMES", "CONSUMES A"),
+        ("r", 4, "ca", None, "A"),
+        ("r", 5, "e", "CONSUMES", "CONSUMES E"),
+        ("r", 6, "e", None, "E"),
+        ("r", 7, "c", None, "C"),
+        ("r", 8, "m", None, "list"),
+    ]
+    assert steps(D.infra_flows) == [("k", 1, "k", None, "K"), ("k", 2, "c", "DEPLOYED_IN", "DEPLOYED_IN C")]
+    assert [r[2:4] for r in steps(D.event_flows)] == [("m", "PUBLISHES"), ("x", "PUBLISHES"), ("m", "SUBSCRIBES"), ("q", None)]
+    assert D.fe_be_flows(n, e.limit(0)).count() == 0
