@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from quarry.catalog import query
 from quarry.catalog_graph import BACKEND
 from quarry.operators import derive as D
+from quarry.operators import config as Y
 from quarry.operators import migrations as M
 from quarry.plans.derived import VIEWS, view
 
 VIEWS.update({
+    "y_files": """SELECT concat('app', c_custkey, '/docker-compose.yml') AS path, concat('# services', chr(10), 'services:', chr(10), '  web', c_custkey, ':', chr(10), '    image: \"web:', c_nationkey, '\"   # now', chr(10), '    ports:', chr(10), '      - \"', c_custkey, ':80\"', chr(10), '      - 9', c_custkey, chr(10),
+  CASE WHEN c_custkey % 3 = 0 THEN concat('    environment:', chr(10), '      - A=1', chr(10), '      - B', chr(10)) ELSE concat('    environment:', chr(10), '      KEY', c_custkey, ': a=b', chr(10)) END, CASE WHEN c_custkey % 2 = 0 THEN concat('    depends_on: [db, cache]', chr(10)) ELSE concat('    depends_on:', chr(10), '      db:', chr(10), '        condition: ready', chr(10)) END,
+  CASE c_custkey % 4 WHEN 0 THEN concat('    build: ./web', chr(10)) WHEN 1 THEN concat('    build:', chr(10), '      context: ../x', chr(10), '      dockerfile: D', chr(10)) ELSE '' END, '  db:', chr(10), '    image: ', CASE WHEN c_custkey % 10 = 7 THEN '&main ' ELSE '' END, 'postgres # main', chr(10)) AS text FROM customer
+ UNION ALL SELECT concat('k8s/', s_suppkey, '.yaml'), concat(CASE WHEN s_suppkey % 3 = 0 THEN concat('kind: List', chr(10), 'items:', chr(10), '- kind: Deployment', chr(10), '  metadata: ', chr(10), '    name: pod', s_suppkey, chr(10), '  spec:', chr(10), '    replicas: ', s_suppkey % 5, chr(10), '    template:', chr(10), '      spec:', chr(10), '        containers:', chr(10), '        - image: i', s_suppkey, chr(10), '        - name: x', chr(10), '          image: side', chr(10), '- kind: Pod', chr(10))
+  ELSE concat('---', chr(10), 'kind: StatefulSet', chr(10), 'metadata:', chr(10), '  namespace: ', chr(39), 'ns', s_nationkey, chr(39), chr(10), '  name: pod', s_suppkey, chr(10), '---', chr(10), 'kind: Service', chr(10), 'metadata:', chr(10), '  labels: {}', chr(10), '---', chr(10), '# empty', chr(10)) END) FROM supplier
+ UNION ALL SELECT concat('.github/workflows/w', s_suppkey, '.yml'), concat(CASE WHEN s_suppkey % 2 = 0 THEN concat('name: Build ', s_name, chr(10), 'on: push', chr(10)) ELSE concat('on:', chr(10), '  push:', chr(10), '    branches: [main]', chr(10), '  schedule:', chr(10), '    - cron: daily', chr(10)) END, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE concat('jobs:', chr(10), '  test:', chr(10), '    runs-on: ubuntu', chr(10), '    steps:', chr(10), '      - uses: actions/checkout@v4', chr(10), '      - name: Run', chr(10), '        run: |', chr(10), '          make #all', chr(10), '            more: x', chr(10), '  lint:', chr(10), '    needs: test', chr(10)) END) FROM supplier
+ UNION ALL SELECT concat('src/application-', c_custkey, '.yml'), concat('server:', chr(10), '  port: 1', chr(10), CASE c_custkey % 5 WHEN 0 THEN concat('spring:', chr(10), '  datasource:', chr(10), '    url: jdbc:postgresql://localhost:5432/x', chr(10)) WHEN 1 THEN concat('datasource:', chr(10), '  url: jdbc:mysql://mysql/x', chr(10), 'redis:', chr(10), '  host: r', c_custkey, chr(10)) WHEN 2 THEN concat('spring:', chr(10), '  datasource:', chr(10), '    url: jdbc:mysql://far/x', chr(10), '  data:', chr(10), '    redis:', chr(10), '      port: 1', chr(10), '  redis:', chr(10), '    host: old', chr(10), '---', chr(10), 'kafka: {}', chr(10)) ELSE '' END) FROM customer""",
     "f_edges": """SELECT concat('order:', o_orderkey) AS source, concat('part:', o_custkey % 40 * 5 + 1) AS target, 'CONSUMES' AS edge_type, 'CONFIRMED' AS confidence FROM orders WHERE o_orderkey % 3 = 0
  UNION ALL SELECT concat('order:', o_orderkey), concat('part:', o_custkey % 23 * 5 + 6), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey % 23 * 5 + 6 <> o_custkey % 40 * 5 + 1
  UNION ALL SELECT concat('order:', o_orderkey), concat('part:', o_custkey % 30 * 5 + 5), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT concat('order:', o_orderkey), concat('order:', o_orderkey), 'CONSUMES', 'LIKELY' FROM orders WHERE o_orderkey % 31 = 0
@@ -82,3 +90,57 @@ def infra_flows(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY b, edge_type, node)::INT AS seq, count(*) OVER (PARTITION BY flow) AS n FROM s) SELECT 'EVENT' AS kind, flow, seq, node, edge_type, description FROM r WHERE n > 1""")
 def event_flows(spark, d):
     return D.event_flows(*_graph(spark, d))
+
+
+def _rows(spark, d):
+    return Y.yaml_rows(view(spark, d, "y_files"))
+
+
+@query("""+ r AS (SELECT path AS file FROM y_files WHERE text LIKE '%&main%') SELECT file, 'anchors and tags are not read' AS reason FROM r""")
+def refused_yaml(spark, d):
+    """Files that are not read whole, each with the reason."""
+    return _rows(spark, d).filter("kind = 'REFUSED'").select("file", F.substring_index("value", ":", 1).alias("reason"))
+
+
+COMPOSED = """s AS (SELECT concat('app', c_custkey, '/docker-compose.yml') AS file, concat('web', c_custkey) AS service, 3 AS line, concat('web:', c_nationkey) AS image, concat(c_custkey, ':80,9', c_custkey) AS ports, CASE WHEN c_custkey % 3 = 0 THEN 'A,B' ELSE concat('KEY', c_custkey) END AS environment_keys, CASE WHEN c_custkey % 2 = 0 THEN 'db,cache' ELSE 'db' END AS depends_on,
+ CASE c_custkey % 4 WHEN 0 THEN './web' WHEN 1 THEN '../x' END AS context, CASE c_custkey % 4 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN 'D' END AS dockerfile FROM customer WHERE c_custkey % 10 <> 7
+ UNION ALL SELECT concat('app', c_custkey, '/docker-compose.yml'), 'db', 8 + CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END + CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END, 'postgres', '', '', '', NULL, NULL FROM customer WHERE c_custkey % 10 <> 7)"""
+
+
+def _joined(df, *columns):
+    return df.select(*[F.array_join(c, ",").alias(c) if c in columns else c for c in df.columns])
+
+
+@query(f"WITH {COMPOSED} FROM s")
+def compose_services(spark, d):
+    return _joined(Y.compose_services(_rows(spark, d)), "ports", "environment_keys", "depends_on")
+
+
+@query("""WITH s AS (SELECT concat('k8s/', s_suppkey, '.yaml') AS file, s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT file, 0 AS document, '[0]' AS item, 'CONTAINER' AS node_type, concat('container:pod', k) AS natural_key, 'Deployment' AS kind, concat('pod', k) AS name, '' AS namespace, concat('', k % 5) AS replicas, concat('i', k, ',side') AS images FROM s WHERE k % 3 = 0
+UNION ALL SELECT file, 0, '', 'CONTAINER', concat('container:pod', k), 'StatefulSet', concat('pod', k), concat('ns', n), NULL, '' FROM s WHERE k % 3 <> 0 UNION ALL SELECT file, 1, '', 'CLOUD_RESOURCE', 'cloud:kubernetes.service:service', 'Service', 'service', '', NULL, '' FROM s WHERE k % 3 <> 0""")
+def cluster_resources(spark, d):
+    return _joined(Y.cluster_resources(_rows(spark, d)), "images").drop("line")
+
+
+@query("""WITH s AS (SELECT concat('.github/workflows/w', s_suppkey, '.yml') AS file, concat('w', s_suppkey, '.yml') AS f, s_suppkey AS k, s_name FROM supplier), j AS (SELECT unnest(['test', 'lint']) AS job),
+x AS (SELECT s.*, coalesce(job, 'default') AS job FROM s LEFT JOIN j ON k % 7 <> 0)
+SELECT file, 0 AS document, concat('ci:', f, ':', job) AS natural_key, CASE WHEN k % 2 = 0 THEN concat('Build ', s_name) ELSE f END AS workflow, job, CASE WHEN k % 2 = 0 THEN 'push' ELSE 'push,schedule' END AS triggers, CASE WHEN job = 'test' THEN 'ubuntu' END AS runs_on, CASE WHEN job = 'test' THEN 'uses=actions/checkout@v4,name=Run,run=make #all' ELSE '' END AS steps FROM x""")
+def ci_jobs(spark, d):
+    return _joined(Y.ci_jobs(_rows(spark, d)), "triggers", "steps")
+
+
+SET = """a AS (SELECT concat('src/application-', c_custkey, '.yml') AS file, c_custkey % 5 AS m, CASE c_custkey % 5 WHEN 0 THEN 'datasource' WHEN 1 THEN 'datasource,redis' WHEN 2 THEN 'datasource,redis,kafka' ELSE '' END AS configured, CASE c_custkey % 5 WHEN 0 THEN 'jdbc:postgresql://localhost:5432/x' WHEN 1 THEN 'jdbc:mysql://mysql/x' WHEN 2 THEN 'jdbc:mysql://far/x' END AS datasource_url, CASE WHEN c_custkey % 5 = 1 THEN concat('r', c_custkey) END AS redis_host FROM customer)"""
+
+
+@query(f"WITH {SET} SELECT file, concat('config:', file) AS natural_key, configured, datasource_url, redis_host FROM a")
+def application_settings(spark, d):
+    return _joined(Y.application_settings(_rows(spark, d)), "configured").drop("urls")
+
+
+@query(f"""WITH {COMPOSED}, {SET} SELECT DISTINCT concat('container:', service) AS source, concat('container:', unnest(string_split(depends_on, ','))) AS target, 'DEPLOYED_IN' AS edge_type, 'CONFIRMED' AS confidence FROM s WHERE depends_on <> ''
+UNION ALL SELECT concat('config:', file), 'container:postgres', 'CONFIGURED_BY', 'POSSIBLE' FROM a WHERE m = 0 UNION ALL SELECT concat('config:', file), 'container:mysql', 'CONFIGURED_BY', 'POSSIBLE' FROM a WHERE m = 1 UNION ALL SELECT concat('config:', file), 'container:redis', 'CONFIGURED_BY', 'POSSIBLE' FROM a WHERE m IN (1, 2)""")
+def config_edges(spark, d):
+    """What configuration says runs on what."""
+    r = _rows(spark, d)
+    return Y.config_edges(Y.compose_services(r), Y.application_settings(r))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import compare as C
+from quarry.operators import config
 from quarry.operators import derive as D
 from quarry.operators import history as H
 from quarry.operators import ingest as N
@@ -146,3 +147,44 @@ def test_flows_put_later_components_in_front(spark):
     assert steps(D.infra_flows) == [("k", 1, "k", None, "K"), ("k", 2, "c", "DEPLOYED_IN", "DEPLOYED_IN C")]
     assert [r[2:4] for r in steps(D.event_flows)] == [("m", "PUBLISHES"), ("x", "PUBLISHES"), ("m", "SUBSCRIBES"), ("q", None)]
     assert D.fe_be_flows(n, e.limit(0)).count() == 0
+
+
+# YAML.
+
+
+def test_yaml_rows_and_refusals():
+    text = "# head\na:\n  - x: 1 # no\n    y: 'it''s'\n  - \"q\\\"#\"\n  -\n    - z\nb: [p, \"q, r\"]\nc: |\n  one\n    two: #\n\nd: http://h:1/x#y\ne:\n- f\ng:\n---\n{}\n---\nh: []\n...\n"
+    got = [(d, "/".join(p), k, v, n) for d, p, k, v, n in config.read_yaml(text)]
+    assert got == [
+        (0, "", "MAP", None, 2),
+        (0, "a", "LIST", None, 2),
+        (0, "a/[0]", "MAP", None, 3),
+        (0, "a/[0]/x", "SCALAR", "1", 3),
+        (0, "a/[0]/y", "SCALAR", "it's", 4),
+        (0, "a/[1]", "SCALAR", 'q"#', 5),
+        (0, "a/[2]", "LIST", None, 6),
+        (0, "a/[2]/[0]", "SCALAR", "z", 7),
+        (0, "b", "LIST", None, 8),
+        (0, "b/[0]", "SCALAR", "p", 8),
+        (0, "b/[1]", "SCALAR", "q, r", 8),
+        (0, "c", "SCALAR", "one\n  two: #", 9),
+        (0, "d", "SCALAR", "http://h:1/x#y", 13),
+        (0, "e", "LIST", None, 14),
+        (0, "e/[0]", "SCALAR", "f", 15),
+        (0, "g", "SCALAR", None, 16),
+        (1, "", "MAP", None, 18),
+        (2, "", "MAP", None, 20),
+        (2, "h", "LIST", None, 20),
+    ]
+    for bad in ("a: &x 1", "a: *x", "a: !t 1", "a: {b: c}", "a: [[1], 2]", "a:\n\tb: 1", "words", "a: 1\n  b: 2", "a:\n    b: 1\n  c: 2", 'a: "open'):
+        assert [r[2] for r in config.read_yaml(bad)] == ["REFUSED"], bad
+    assert config.read_yaml("") == config.read_yaml("# only\n---\n") == []
+
+
+def test_deep_and_empty_files(spark):
+    deep = "".join("  " * i + f"k{i}:\n" for i in range(200))
+    df = spark.createDataFrame([("a.yml", None), ("b.YAML", deep), ("c.txt", "a: 1"), ("compose.yml", "services:\n  web:\n    ports: 80\n    build: {}\n  db:\n")], "path string, text string")
+    got = config.yaml_rows(df)
+    assert {r.file: r.kind for r in got.filter("file = 'b.YAML'").collect()} == {"b.YAML": "REFUSED"}
+    services = {r.service: r for r in config.compose_services(got).collect()}
+    assert services["web"].ports == ["80"] and services["web"].context == "." and services["db"].context is None and services["db"].ports == []
