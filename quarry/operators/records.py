@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import last_wins
+from quarry.operators.ordered import running_before
 
 #: The forms of references in notes, by the kind of their subject.
 NOTE_REFS = {
@@ -98,11 +99,43 @@ def valid_summaries(files: DataFrame, summaries: DataFrame, strict: bool = False
 
 def merge_commits(existing: DataFrame, incoming: DataFrame, max_commits: int = 10_000) -> DataFrame:
     """project_id, sha, committed_at, message: incoming rows replace those of their key; the newest `max_commits` of a project
-    are kept, and `omitted` counts the others. Pull requests merge alike by last_wins on (project_id, number)."""
+    are kept, and `omitted` counts the others. Ranks are running counts over ranges of the order, so no task holds a project."""
     both = existing.withColumn("load", F.lit(0)).unionByName(incoming.withColumn("load", F.lit(1)))
-    one, w = last_wins(both, ["project_id", "sha"], "load"), W.partitionBy("project_id")
-    k = one.withColumn("k", F.row_number().over(w.orderBy(F.desc_nulls_last("committed_at"), "sha"))).withColumn("omitted", F.greatest(F.count("*").over(w) - max_commits, F.lit(0)))
-    return k.filter(F.col("k") <= max_commits).select("project_id", "sha", "committed_at", "message", "omitted")
+    one = last_wins(both, ["project_id", "sha"], "load").select("project_id", "sha", "committed_at", "message")
+    one = one.withColumns({"_none": F.col("committed_at").isNull(), "_back": -F.unix_micros(F.col("committed_at").cast("timestamp")), "_one": F.lit(1).cast("long")})
+    ranked = running_before(one, ["project_id"], ["_none", "_back", "sha"], "_one", "_before")
+    n = one.groupBy("project_id").agg(F.greatest(F.count("*") - max_commits, F.lit(0)).alias("omitted"))
+    return ranked.filter(F.col("_before") < max_commits).join(n, "project_id").select("project_id", "sha", "committed_at", "message", "omitted")
+
+
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """The children of the incoming parents are those in `new`, also where these are none; other parents keep theirs. Children without a parent in
+    `parents` (keys, incoming) are gone with it."""
+    p = parents.select(*keys, "incoming").groupBy(*keys).agg(F.max("incoming").alias("incoming"))
+    both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    return both.join(p, keys).filter(F.col("_new") == F.col("incoming")).select(*old.columns).distinct()
+
+
+def replace_history(commits: DataFrame, files: DataFrame, refs: DataFrame, new_commits: DataFrame, new_files: DataFrame, new_refs: DataFrame, scanned: DataFrame, max_commits: int = 10_000) -> DataFrame:
+    """kind (COMMIT, FILE, BRANCH, TAG), project_id, key, child, detail: a project's history after a scan, in one table, so that one write replaces it whole.
+
+    Commits (project_id, sha, committed_at, message) are replaced by key and capped; the files (project_id, sha, path, change_type) of a scanned commit are replaced as
+    a whole; the refs (project_id, kind, name, head_sha) of a scanned project (project_id) too. What belongs to a commit that is not kept goes with it."""
+    kept = merge_commits(commits, new_commits, max_commits)
+    fresh = new_commits.select("project_id", "sha").distinct().withColumn("incoming", F.lit(True))
+    parents = kept.select("project_id", "sha", "message").join(fresh, ["project_id", "sha"], "left").withColumn("incoming", F.coalesce("incoming", F.lit(False)))
+    own = replace_children(files, new_files, parents, ["project_id", "sha"])
+    refs = refs.join(scanned.select("project_id").distinct(), "project_id", "left_anti").unionByName(new_refs.join(scanned.select("project_id").distinct(), "project_id", "left_semi"))
+    none = F.lit(None).cast("string")
+    out = parents.select(F.lit("COMMIT").alias("kind"), "project_id", F.col("sha").alias("key"), none.alias("child"), F.col("message").alias("detail"))
+    out = out.unionByName(own.select(F.lit("FILE").alias("kind"), "project_id", F.col("sha").alias("key"), F.col("path").alias("child"), F.col("change_type").alias("detail")))
+    return out.unionByName(refs.select("kind", "project_id", F.col("name").alias("key"), none.alias("child"), F.col("head_sha").alias("detail")))
+
+
+def merge_pulls(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Pull requests by (project_id, number): an incoming row replaces the stored one whole, other rows stay."""
+    both = existing.withColumn("_load", F.lit(0)).unionByName(incoming.withColumn("_load", F.lit(1)))
+    return last_wins(both, ["project_id", "number"], "_load").select(*existing.columns)
 
 
 def replace_evidence(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -188,3 +188,56 @@ def test_deep_and_empty_files(spark):
     assert {r.file: r.kind for r in got.filter("file = 'b.YAML'").collect()} == {"b.YAML": "REFUSED"}
     services = {r.service: r for r in config.compose_services(got).collect()}
     assert services["web"].ports == ["80"] and services["web"].context == "." and services["db"].context is None and services["db"].ports == []
+
+
+# Digests, notes, histories.
+
+
+def test_digests_do_not_depend_on_partitions(spark):
+    from quarry.operators import digests as G
+
+    made = [(s, f"p{i:04d}", i, f"h{i}") for s, n in ((1, 700), (2, 5), (3, 16), (4, 17)) for i in range(n)]
+    df = spark.createDataFrame(made, "snapshot_id int, path string, size int, content_hash string")
+    one = rows(G.manifest_digest(df.repartition(1)), "snapshot_id", "digest", "files", "bytes")
+    assert one == rows(G.manifest_digest(df.repartition(64)), "snapshot_id", "digest", "files", "bytes") == rows(G.manifest_digest(df.repartition(4, "path")), "snapshot_id", "digest", "files", "bytes")
+    tree = lambda d: dict(rows(G.tree_digest(d, ["snapshot_id"], "path", F.col("path"), fan=4), "snapshot_id", "digest"))
+    assert tree(df.filter("snapshot_id = 3"))[3] == tree(df)[3] != tree(df)[4]  # other keys' heights do not matter
+    sealed = G.manifest_digest(df, "p")
+    moved = df.withColumn("size", F.when((F.col("snapshot_id") == 1) & (F.col("path") == "p0001"), 2).when((F.col("snapshot_id") == 1) & (F.col("path") == "p0002"), 1).otherwise(F.col("size"))).filter("not (snapshot_id = 2 and size = 4) and snapshot_id <> 4")
+    assert rows(G.verify_seal(moved, sealed, "p"), "snapshot_id", "verdict") == [(1, "CHANGED"), (2, "COUNT"), (3, "VALID"), (4, "MISSING")]
+    assert {r.verdict for r in G.verify_seal(df, sealed, "other").collect()} == {"CHANGED"}
+
+
+def test_patterns_in_texts_are_those_of_every_pair(spark):
+    import random
+
+    from quarry.operators import matching as K
+
+    rnd = random.Random(4)
+    piece = lambda: rnd.choice(["src", "Main", "a", "b1", "é", "x_y", "Makefile", "tsx", "-", "aa"])
+    texts = [(s, i, rnd.choice([None, "", "".join(piece() + rnd.choice(["/", ".", " ", "", "\n"]) for _ in range(rnd.randint(1, 14)))])) for i in range(150) for s in (rnd.randint(0, 1),)]
+    patterns = sorted({(s, "".join(piece() + rnd.choice(["/", ".", ""]) for _ in range(rnd.randint(1, 4)))) for _ in range(120) for s in (0, 1)} | {(0, ""), (0, "%"), (1, "..")})
+    got = K.contained(spark.createDataFrame(texts, "scope int, id int, text string"), spark.createDataFrame(patterns, "scope int, pattern string"), "scope")
+    want = [(s, i, p) for s, i, t in texts for q, p in patterns if s == q and p and p.lower() in (t or "").lower()]
+    assert rows(got, "scope", "id", "pattern") == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_scan_replaces_what_belongs_to_its_commits(spark):
+    from quarry.operators import records as R
+
+    c = "project_id int, sha string, committed_at timestamp, message string"
+    f, r = "project_id int, sha string, path string, change_type string", "project_id int, kind string, name string, head_sha string"
+    at = lambda d: __import__("datetime").datetime(2024, 1, d)
+    out = R.replace_history(
+        spark.createDataFrame([(1, "a", at(1), "old"), (1, "b", at(2), "old"), (2, "a", None, "other")], c),
+        spark.createDataFrame([(1, "a", "x", "ADD"), (1, "b", "y", "ADD"), (2, "a", "z", "ADD"), (9, "gone", "w", "ADD")], f),
+        spark.createDataFrame([(1, "TAG", "t", "a"), (2, "TAG", "t", "a")], r),
+        spark.createDataFrame([(1, "b", at(2), "new"), (1, "c", at(3), "new")], c),
+        spark.createDataFrame([(1, "c", "q", "ADD"), (1, "a", "ignored", "ADD")], f),
+        spark.createDataFrame([(1, "BRANCH", "main", "c"), (2, "BRANCH", "no", "c")], r),
+        spark.createDataFrame([(1,)], "project_id int"),
+        max_commits=3,
+    )
+    assert rows(out, "kind", "project_id", "key", "child", "detail") == [("BRANCH", 1, "main", None, "c"), ("COMMIT", 1, "a", None, "old"), ("COMMIT", 1, "b", None, "new"), ("COMMIT", 1, "c", None, "new"), ("COMMIT", 2, "a", None, "other"), ("FILE", 1, "a", "x", "ADD"), ("FILE", 1, "c", "q", "ADD"), ("FILE", 2, "a", "z", "ADD"), ("TAG", 2, "t", None, "a")]
