@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import staged
+
 
 def rank(confidence: Column) -> Column:
     return F.when(confidence == "CONFIRMED", 3).when(confidence == "LIKELY", 2).otherwise(1)
@@ -47,20 +49,20 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 5, count_paths: boo
     least depth, number of paths, the strongest path's weakest confidence, and the first edge type by (depth, type). Only a confirmed path
     makes a confirmed dependency.
 
-    Counting paths is exponential in dense graphs; without the count a level keeps one row for each node, its strongest path. A level
-    feeds the next and the result, so it is kept (and computed anew where an executor is lost)."""
+    Counting paths is exponential in dense graphs; without the count a level keeps one row for each node, its strongest path. With it, paths over the same nodes
+    (in another order, or by parallel edges) are one row with their number. A level feeds the next and the result, so it is written: jobs run while the result is
+    built."""
     e = edges.select("source", "target", "edge_type", rank(F.col("confidence")).alias("strength"))
-    level = starts.select("start", F.col("start").alias("node"), F.array("start").alias("seen"), F.lit(3).alias("weakest"))
+    level = starts.select("start", F.col("start").alias("node"), F.array("start").alias("seen"), F.lit(3).alias("weakest"), F.lit(1).cast("long").alias("n"))
     out = None
     for d in range(1, depth + 1):
         fresh = ~F.array_contains("seen", F.col("source")) if count_paths else F.col("source") != F.col("start")
         level = level.join(e, level["node"] == e["target"]).filter(fresh)
-        seen = F.concat("seen", F.array("source")) if count_paths else F.col("seen")
-        level = level.select("start", F.col("source").alias("node"), seen.alias("seen"), F.least("weakest", "strength").alias("weakest"), "edge_type")
-        if not count_paths:
-            level = level.groupBy("start", "node").agg(F.first("seen").alias("seen"), F.max("weakest").alias("weakest"), F.min("edge_type").alias("edge_type"))
-        level = level.persist() if d < depth else level
-        part = level.groupBy("start", "node").agg(F.lit(d).alias("depth"), F.count("*").alias("paths"), F.max("weakest").alias("weakest"), F.min("edge_type").alias("edge_type"))
+        seen = F.array_sort(F.concat("seen", F.array("source"))) if count_paths else F.lit(None).cast("array<string>")
+        level = level.select("start", F.col("source").alias("node"), seen.alias("seen"), F.least("weakest", "strength").alias("weakest"), "edge_type", "n")
+        if d < depth:
+            level = staged(level.groupBy("start", "node", "seen").agg(F.max("weakest").alias("weakest"), F.min("edge_type").alias("edge_type"), F.sum("n").alias("n")))
+        part = level.groupBy("start", "node").agg(F.lit(d).alias("depth"), F.sum("n").alias("paths"), F.max("weakest").alias("weakest"), F.min("edge_type").alias("edge_type"))
         out = part if out is None else out.unionByName(part)
         level = level.drop("edge_type")
     paths = F.sum("paths") if count_paths else F.lit(None).cast("long")
