@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of, with_python
 
-#: A subtree is a template's if it is on this many different pages of a host and on this share of them, or on so many at any share.
-MIN_PAGES, MIN_SHARE, MANY_PAGES = 3, 0.3, 50
+#: A subtree is a template's if it is on this many different pages of a host and on this share of them. Of an article's own prose only whole
+#: sentences are counted: paragraphs of so many words.
+MIN_PAGES, MIN_SHARE, SENTENCE = 3, 0.3, 4
+#: A form is a page's frame, and not dropped, if it holds an article or main element, or paragraphs of so many characters that are most of the page's text.
+FRAME_CHARS = 200
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +73,8 @@ class Node:
     hash: int = 0
     drop: bool = False
     chars: int = 0  # of text below that is not dropped
+    prose: int = 0  # of that in paragraphs
+    frame: bool = False  # a form that holds an article or main element
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(self.attrs)}
@@ -135,13 +140,15 @@ def mark(node: Node, inside: bool = False) -> None:
             for c in n.children:
                 h.update(c.hash.to_bytes(8, "big") if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "replace"))
             n.hash = int.from_bytes(h.digest(), "big")
-            n.chars = 0 if n.drop else sum(c.chars if isinstance(c, Node) else len(c) for c in n.children)
+            below = [c for c in n.children if isinstance(c, Node)]
+            n.frame = any(c.tag in ("article", "main") and c.chars or c.frame for c in below)
+            _measure(n, below)
             continue
         a = n.attributes() if n.attrs.strip() else {}
         names = f"{a.get('class', '')} {a.get('id', '')}".split()
         form = BARE if n.tag in PROSE else NAMED
         n.drop = (
-            n.tag in DROP
+            n.tag in DROP and n.tag != "form"
             or n.tag == "header" and not within
             or a.get("role") in ROLES
             or n.tag not in ("article", "main") and any(form.fullmatch(x) for x in names)
@@ -152,6 +159,23 @@ def mark(node: Node, inside: bool = False) -> None:
         within = within or n.tag in ("article", "main")
         todo.append((n, within, True))
         todo += [(c, within, False) for c in n.children if isinstance(c, Node)]
+    _drop_forms(node)
+
+
+def _measure(n: Node, below: list[Node]) -> None:
+    n.chars = 0 if n.drop else sum(c.chars if isinstance(c, Node) else len(c) for c in n.children)
+    n.prose = 0 if n.drop else n.chars if n.tag == "p" else sum(c.prose for c in below)
+
+
+def _drop_forms(root: Node) -> None:
+    """Drops the forms, but for those that frame the page, and measures anew what lies above them."""
+    total = root.chars
+    order = list(nodes(root))
+    for n in order:
+        if n.tag == "form" and not n.drop:
+            n.drop = not n.frame and not (n.prose >= FRAME_CHARS and 2 * n.prose >= total)
+    for n in reversed(order):  # children come after their parents
+        _measure(n, [c for c in n.children if isinstance(c, Node)])
 
 
 def nodes(root: Node) -> Iterator[Node]:
@@ -203,15 +227,19 @@ def subtrees(page: str) -> tuple[int, list[int]]:
     root = parse(page)
     mark(root)
     mains = main_elements(root)
-    # Headings and paragraphs of the article are its own words; everything else can be a template's.
-    own = {id(n) for m in mains if m is not root for n in nodes(m) if n.tag in PROSE} | holders(root, mains)
+    # Headings and single words of the article are its own; sentences that other pages have too, and everything else, can be a template's.
+    own = {id(n) for m in mains if m is not root for n in nodes(m) if n.tag in PROSE and not (n.tag in SENTENCES and words_in(n) >= SENTENCE)} | holders(root, mains)
     found = {n.hash for n in nodes(root) if n.tag in BLOCK and not n.drop and id(n) not in own and n.children}
     return signed(hash(tuple(m.hash for m in mains)) & MASK), sorted(map(signed, found))
 
 
 MASK = (1 << 64) - 1
-#: Elements of an article that are never taken for a template, however often a host repeats them.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split())
+#: Elements of an article that are its prose; those of them that are a template's if a host repeats them and they are sentences.
+PROSE, SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split()), frozenset("p blockquote pre".split())
+
+
+def words_in(n: Node) -> int:
+    return len(text_below(n, frozenset()).split())
 
 
 def holders(root: Node, mains: list[Node]) -> set[int]:
@@ -256,12 +284,12 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
     return out.select(F.col("k0").alias("key"), F.col("k1").alias("host"), "main", F.explode("hash").alias("hash"))
 
 
-def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
-    """(host, hash) of the subtrees on many different pages of their host."""
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash) of the subtrees on a large share of the different pages of their host, whatever its size."""
     counts = trees.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = counts.filter(F.col("n") >= min_pages)  # a host of fewer pages has no template
     total = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.filter("hash <> 0").join(total, "host").filter((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many)).select("host", "hash")
+    return counts.filter("hash <> 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

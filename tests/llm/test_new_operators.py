@@ -243,3 +243,59 @@ def test_sql_agrees(spark, name):
     rel = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, SF).select(*rel.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
+# What earlier operators were mended for.
+
+
+def page_rows(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_pages_in_a_form_keep_their_text():
+    from quarry.llm import html_text
+
+    story = "<p>" + "The story goes on and on with many words. " * 8 + "</p>"
+    assert html_text.main_text(f'<form id="aspnetForm"><div class="menu">Home</div><main><article>{story}</article></main></form>').startswith("The story")
+    assert html_text.main_text(f'<body><form action="/x"><input name="v">{story}<button>Send</button></form></body>').startswith("The story")
+    assert html_text.main_text(f"<body><article>{story}</article><form><p>Your name, please</p></form></body>").endswith("words.")
+    assert html_text.main_text("<form><label>User</label><p>Log in here</p></form>") == ""
+
+
+@pytest.mark.parametrize("others", [10, 700])
+def test_what_recurs_is_told_by_its_share(spark, others):
+    """Cells that a few articles of a large host have in common stay, whatever the host's size; a notice in a paragraph of all pages goes."""
+    from quarry.llm import html_text
+
+    notice = "<p>Subscribe to our weekly letter today and save.</p>"
+    made = [(i, "http://h/x", f"<article><p>Text number {i} is here.</p>{notice}<table><tr><td>Total</td><td>{i}</td></tr></table><h2>Summary</h2></article>") for i in range(others // 10)]
+    made += [(1000 + i, "http://h/y", f"<article><p>Another text, number {i}, is here.</p>{notice}<h2>Summary</h2></article>") for i in range(others)]
+    got = {r.page_id: r.text for r in html_text.extract(page_rows(spark, made)).collect()}
+    assert got[0] == "Text number 0 is here. Total 0 Summary" and got[1003] == "Another text, number 3, is here. Summary"
+
+
+def test_templates_are_counted_as_by_hand(spark):
+    from quarry.llm import html_text
+
+    rnd = random.Random(5)
+    blocks = [f"<div>block {i} of the site</div>" for i in range(6)]
+    made = [(i, f"http://h{i % 3}/{i}", "<body>" + "".join(b for k, b in enumerate(blocks) if rnd.random() < k / 6) + f"<p>own words {i // 2}</p></body>") for i in range(60)]
+    found = {(r.host, r.hash) for r in html_text.templates(html_text.page_subtrees(page_rows(spark, made))).collect()}
+    by, pages = collections.defaultdict(set), collections.defaultdict(set)
+    for _, url, page in made:
+        host = url[7:9]
+        main, trees = html_text.subtrees(page)
+        pages[host].add(main)
+        for h in trees:
+            by[host, h].add(main)
+    assert found == {(h, t) for (h, t), m in by.items() if len(m) >= max(html_text.MIN_PAGES, html_text.MIN_SHARE * len(pages[h])) and len(pages[h]) >= html_text.MIN_PAGES}
+
+
+def test_a_sample_has_one_row_an_id(spark):
+    from quarry.llm import labelled
+
+    docs = table(spark, [(i % 4, f"text {i}", "s") for i in range(2000)])
+    labels = spark.createDataFrame([(i, int(i > 1), 0) for i in range(4)], LABELS)
+    got = labelled.sample(docs, labels, "quality", 4, 9, 3000).collect()
+    assert len(got) == 4 and sorted(r.y for r in got) == [0, 0, 1, 1]
+    assert labelled.sample(docs, labels, "quality", 4, 9, 1).count() == 2
