@@ -234,16 +234,16 @@ def fe_be_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind (FE_BE), flow, seq, node, edge_type, description: from each front-end route its components, the last by key in front, then what it consumes by key,
     each with its back-end steps. A node that is both consumed and contained is only consumed. Routes with neither have no flow.
 
-    A step that an edge leads to carries the edge's type."""
+    A step that an edge leads to carries the edge's type. Jobs run while it is built: what routes lead to and the back-end steps are written."""
     n = nodes.select(F.col("natural_key").alias("node"), "node_type", "name")
     routes = n.filter("node_type = 'FE_ROUTE'").select(F.col("node").alias("flow"), F.col("name").alias("route"))
     out = edges.filter(F.col("edge_type").isin("CONSUMES", "CONTAINS") & (F.col("source") != F.col("target"))).select(F.col("source").alias("flow"), F.col("target").alias("node"), "edge_type").distinct()
-    out = out.join(routes, "flow", "left_semi").join(n, "node")
+    out = staged(out.join(routes, "flow", "left_semi").join(n, "node"))
     consumed = out.filter("edge_type = 'CONSUMES'")
     inside = out.filter("edge_type = 'CONTAINS' and node_type = 'COMPONENT'").join(consumed, ["flow", "node"], "left_anti")
-    back = backend_flows(nodes, edges, only=consumed.select(F.col("node").alias("flow")).distinct()).select(F.col("flow").alias("of"), F.col("seq").alias("part"), "node")
+    back = staged(backend_flows(nodes, edges, only=consumed.select(F.col("node").alias("flow")).distinct())).select(F.col("flow").alias("of"), F.col("seq").alias("part"), "node")
     own = consumed.select(F.col("node").alias("of")).distinct().join(back.select("of").distinct(), "of", "left_anti").select("of", F.lit(1).alias("part"), F.col("of").alias("node"))
-    back = back.unionByName(own).join(n.select("node", "name"), "node")
+    back = staged(back.unionByName(own).join(n.select("node", "name"), "node"))
     none = F.lit(None).cast("string")
     steps = routes.select("flow", F.lit(0).alias("block"), F.lit("").alias("of"), F.lit(0).alias("part"), F.col("flow").alias("node"), none.alias("edge_type"), F.concat(F.lit("Route "), "route").alias("description"))
     steps = steps.unionByName(inside.select("flow", F.lit(1).alias("block"), F.col("node").alias("of"), F.lit(0).alias("part"), "node", "edge_type", F.col("name").alias("description")))
