@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and credential formats learned by grammar inference.
 
 The strings that the patterns find are labelled credentials. Per kind, a prefix tree of their character classes is merged, state
-by state, while the merged states' choices are statistically compatible (Hoeffding bound), into a probabilistic automaton. Every other
-long token is scored by the best automaton's likelihood against that of ordinary tokens; tokens likelier by a margin in bits per
-character are secrets of the learned formats.
+by state, while the merged states' choices are statistically compatible (Hoeffding bound), into a probabilistic automaton: first
+within a depth, so that rare states are pooled and lengths kept, then across depths. Its states also keep which characters they saw. Every
+other long token is scored by the best automaton's likelihood against that of an ordinary token or an identifier of random characters;
+tokens likelier by a margin in bits, per character and in all, are secrets of the learned formats. Random characters of the whole alphabet
+without a fixed beginning cannot be told from identifiers and are found by the patterns only.
 
 The automata are fitted on a bounded sample (`PER_KIND` distinct strings of each kind, `ORDINARY` ordinary tokens, taken by MD5; of a
 string the first `MAX_SYMBOLS` characters, after which it counts as going on); all texts are searched whole. Candidates are all runs of
@@ -64,8 +66,11 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 #: Character classes: (symbol, characters).
 CLASSES = {"d": "0123456789", "a": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ", "p": "+/_.=-"}
-SYMBOL = str.maketrans({c: s for s, cs in CLASSES.items() for c in cs})
+CLASS = {c: s for s, cs in CLASSES.items() for c in cs}
+SYMBOL = str.maketrans(CLASS)
 SIZE = {s: len(cs) for s, cs in CLASSES.items()}
+#: Pseudo-count of a step or an end that was not seen; states seen less often are not merged with states of another depth.
+UNSEEN, LEAST_SEEN = 0.02, 12
 
 
 def symbols(token: str) -> str:
@@ -74,7 +79,8 @@ def symbols(token: str) -> str:
 
 @dataclass
 class Automaton:
-    """Probabilistic automaton over symbols; state 0 starts. Probabilities are smoothed, an unknown step restarts."""
+    """Probabilistic automaton over characters; state 0 starts. Of a state, `steps` has (target, bits) of the characters seen there, and of each
+    class, as `<class>`, those of its other characters; a class not seen restarts."""
 
     steps: list[dict[str, tuple[int, float]]] = field(default_factory=list)
     ends: list[float] = field(default_factory=list)
@@ -82,16 +88,21 @@ class Automaton:
     def bits(self, token: str) -> float:
         """Bits of information of the token under the automaton: less is likelier."""
         state, total = 0, 0.0
-        for s in symbols(token):
-            state, p = self.steps[state].get(s, (0, 1e-4))
-            total -= math.log2(p / SIZE[s])
+        for c in token:
+            now = self.steps[state]
+            state, b = now.get(c) or now[f"<{CLASS[c]}>"]
+            total += b
         return total - math.log2(self.ends[state])
 
 
 class PrefixTree:
+    """Counts of the tokens' class sequences, whose states are merged first within a depth, then across depths."""
+
     def __init__(self, tokens: list[str]):
+        self.tokens = tokens
         self.next: list[dict[str, list]] = [{}]  # symbol -> [target, count]
         self.end, self.seen = [0], [0]
+        self.joined: dict[int, int] = {}  # a state that was merged -> the state that took it
         for t in tokens:
             at = 0
             self.seen[0] += 1
@@ -107,11 +118,23 @@ class PrefixTree:
                 self.seen[at] += 1
             self.end[at] += len(t) <= MAX_SYMBOLS
 
+    def state(self, q: int) -> int:
+        while q in self.joined:
+            q = self.joined[q]
+        return q
+
+    def step(self, q: int, s: str) -> int:
+        """Where symbol s leads from q."""
+        edge = self.next[q][s]
+        edge[0] = self.state(edge[0])
+        return edge[0]
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
     def compatible(self, a: int, b: int, alpha: float) -> bool:
-        todo = [(a, b)]
+        """Whether ends and steps of a and b, and of all that follow them alike, may come from one state."""
+        todo, done = [(a, b)], {(a, b)}
         while todo:
             a, b = todo.pop()
             if self._differ(self.end[a], self.seen[a], self.end[b], self.seen[b], alpha):
@@ -120,15 +143,21 @@ class PrefixTree:
                 x, y = self.next[a].get(s), self.next[b].get(s)
                 if self._differ(x[1] if x else 0, self.seen[a], y[1] if y else 0, self.seen[b], alpha):
                     return False
-                if x and y and x[0] != y[0]:
-                    todo.append((x[0], y[0]))
+                if x and y:
+                    pair = self.step(a, s), self.step(b, s)
+                    if pair[0] != pair[1] and pair not in done:
+                        done.add(pair)
+                        todo.append(pair)
         return True
 
-    def fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to the states from a on."""
+    def join(self, a: int, b: int) -> None:
+        """State a takes b, and what follows b joins what follows a alike."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self.state, todo.pop())
+            if a == b:
+                continue
+            self.joined[b] = a
             self.end[a] += self.end[b]
             self.seen[a] += self.seen[b]
             for s, (t, n) in self.next[b].items():
@@ -137,47 +166,103 @@ class PrefixTree:
                     todo.append((self.next[a][s][0], t))
                 else:
                     self.next[a][s] = [t, n]
-
-    def merged(self, alpha: float = ALPHA) -> Automaton:
-        """State merging: a frontier state joins the first settled state it is compatible with, or is settled itself."""
-        settled, at = [0], 0
-        while True:
-            frontier = [(r, s, self.next[r][s][0]) for r in settled for s in sorted(self.next[r]) if self.next[r][s][0] not in settled]
-            if not frontier:
-                break
-            r, s, b = max(frontier, key=lambda x: (self.seen[x[2]], -x[2]))
-            at += 1
-            for a in settled:
-                if self.compatible(a, b, alpha):
-                    self.next[r][s][0] = a
-                    self.fold(a, b)
+            self.next[b] = {}
+
+    def below(self, layer: list[int]) -> list[int]:
+        """The states one step below, those seen most first."""
+        return sorted({self.step(q, s) for q in layer for s in self.next[q]}, key=lambda q: (-self.seen[q], q))
+
+    def merged(self, alpha: float = ALPHA, least: int = 0) -> Automaton:
+        """Within each depth from the start down, a state joins the first compatible one: rare states so are pooled with others that are as far
+        from the start, and ends stay at their length. Then states of different depths join, where both were seen often enough to tell. States seen less than `least` times count as not seen: no
+        single token is learned by heart."""
+        layer = [0]
+        while layer := self.below(layer):
+            kept: list[int] = []
+            for q in layer:
+                fit = next((k for k in kept if self.compatible(k, q, alpha)), None)
+                if fit is None:
+                    kept.append(q)
+                else:
+                    self.join(fit, q)
+            layer = kept
+        settled, layer = [0], [0]
+        while layer := [q for q in self.below(layer) if q not in settled]:
+            for q in layer:
+                q = self.state(q)
+                if q in settled:
+                    continue
+                often = [k for k in settled if min(self.seen[k], self.seen[q]) >= LEAST_SEEN]
+                fit = next((k for k in often if self.compatible(k, q, alpha)), None)
+                if fit is None:
+                    settled.append(q)
+                else:
+                    self.join(fit, q)
+                settled = [k for k in settled if k not in self.joined]
+            layer = [q for q in layer if q in settled] or []
+        return self._automaton(least)
+
+    def _automaton(self, least: int) -> Automaton:
+        """Probabilities of classes, and of the characters in them: each token takes its one way through the merged states once more."""
+        reached, todo = {0: 0}, [0]
+        while todo:
+            q = todo.pop()
+            for s in sorted(self.next[q]):
+                if self.seen[t := self.step(q, s)] < least:
+                    del self.next[q][s]
+                elif t not in reached:
+                    reached[t] = len(reached)
+                    todo.append(t)
+        chars: dict[int, dict[str, int]] = {q: {} for q in reached}
+        for token in self.tokens:
+            q = 0
+            for c in token[:MAX_SYMBOLS]:
+                if CLASS[c] not in self.next[q]:
                     break
-            else:
-                settled.append(b)
-        index = {q: i for i, q in enumerate(settled)}
+                chars[q][c] = chars[q].get(c, 0) + 1
+                q = self.step(q, CLASS[c])
         steps, ends = [], []
-        for q in settled:
-            n = self.seen[q] + 0.02 * (len(SIZE) + 1)
-            steps.append({s: (index[self.next[q][s][0]] if s in self.next[q] else 0, ((self.next[q][s][1] if s in self.next[q] else 0) + 0.02) / n) for s in SIZE})
-            ends.append((self.end[q] + 0.02) / n)
+        for q in reached:
+            n, here = self.seen[q] + UNSEEN * (len(SIZE) + 1), {}
+            for s, size in SIZE.items():
+                to, m = (reached[self.step(q, s)], self.next[q][s][1]) if s in self.next[q] else (0, 0)
+                own = -math.log2((m + UNSEEN) / n) + math.log2(m + size)
+                here[f"<{s}>"] = to, own
+                here |= {c: (to, own - math.log2(chars[q][c] + 1)) for c in CLASSES[s] if c in chars[q]}
+            steps.append(here)
+            ends.append((self.end[q] + UNSEEN) / n)
         return Automaton(steps, ends)
 
 
+#: Shapes of ordinary identifiers and the bits of a character there: lower or upper case with digits, both, grouped hex, any.
+IDENTIFIERS = [(re.compile(p), math.log2(n)) for p, n in (("[a-z0-9]+", 36), ("[A-Z0-9]+", 36), ("[A-Za-z0-9]+", 62), ("[0-9a-fA-F]+([-_.][0-9a-fA-F]+)+", 17), (".+", 68))]
+#: Bits of being an identifier at all, one token in a hundred, and of its shape; lengths are spread evenly by their logarithm.
+RARE_BITS = math.log2(100) + math.log2(len(IDENTIFIERS))
+LENGTHS = math.log(256 / LEAST)
+
+
 @dataclass
 class Formats:
-    """Automata of the credential kinds and of ordinary tokens, and the margin of each kind."""
+    """Automata of the credential kinds and of ordinary tokens, the margin of each kind, and the least length of its secrets."""
 
     automata: dict[str, Automaton] = field(default_factory=dict)
     ordinary: Automaton | None = None
     margins: dict[str, float] = field(default_factory=dict)
+    least: dict[str, int] = field(default_factory=dict)
+
+    def plain_bits(self, token: str) -> float:
+        """Bits of the token as what texts hold else: a token as those of the ordinary sample, or an identifier of random characters."""
+        each = min(b for p, b in IDENTIFIERS if p.fullmatch(token))
+        return min(self.ordinary.bits(token), RARE_BITS + each * len(token) + math.log2(LENGTHS * len(token)))
 
     def gain(self, kind: str, token: str) -> float:
-        return (self.ordinary.bits(token) - self.automata[kind].bits(token)) / len(token)
+        return (self.plain_bits(token) - self.automata[kind].bits(token)) / len(token)
 
     def kind_of(self, token: str) -> str | None:
         """The kind whose format the token has, if its likelihood exceeds that of ordinary tokens by the margins."""
-        best = max(((self.gain(k, token), k) for k in self.automata), default=(0.0, ""))
-        return best[1] if best[1] and best[0] >= self.margins[best[1]] and best[0] * len(token) >= TOTAL_BITS else None
+        plain = self.plain_bits(token)
+        best = max(((plain - a.bits(token), k) for k, a in self.automata.items() if len(token) >= self.least.get(k, LEAST)), default=(0.0, ""))
+        return best[1] if best[1] and best[0] >= max(self.margins[best[1]] * len(token), TOTAL_BITS) else None
 
     def is_secret(self, token: str, seen: dict[str, bool]) -> bool:
         if token not in seen:
@@ -227,12 +312,14 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND, ordinary: int = ORDINARY) -
     for kind in (*KINDS[:3], "ordinary"):
         rows = found.filter(F.col("kind") == kind).orderBy(F.md5("token"), "token").limit(ordinary if kind == "ordinary" else per_kind)
         got[kind] = [r.token for r in rows.collect()]
-    out = Formats(ordinary=PrefixTree(got["ordinary"]).merged())
+    out = Formats(ordinary=PrefixTree(got["ordinary"]).merged(least=LEAST_SEEN))
     for kind in KINDS[:3]:
         if len(got[kind]) >= 5:
             out.automata[kind] = PrefixTree(got[kind]).merged()
             gains = sorted(out.gain(kind, t) for t in got[kind])
-            out.margins[kind] = max(MARGIN_BITS, gains[len(gains) // 50])
+            # Half the length, and half of what nearly all learned strings gain: a string of another length gains less.
+            out.least[kind] = max(LEAST, min(map(len, got[kind])) // 2)
+            out.margins[kind] = max(MARGIN_BITS, gains[len(gains) // 50] / 2)
     return out
 
 

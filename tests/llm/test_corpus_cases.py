@@ -124,6 +124,63 @@ def test_secret_formats_are_found_without_their_assignment(spark):
     assert all(got[i].n_format == 0 for i in range(200, 400))
 
 
+def _random_text(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_automaton_keeps_length_and_order(spark):
+    """Held-out keys are found; other lengths, shuffled keys and ordinary identifiers are not."""
+    import random
+
+    r = random.Random(11)
+    digits, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: _random_text(r, "etaoinshrdlucmfwyp", r.randint(4, 11))
+    plain = secrets_scan.PrefixTree([word() for _ in range(4000)]).merged()
+    share = lambda f, tokens: sum(f.kind_of(t) is not None for t in tokens) / len(tokens)
+    ordinary = [f"{word()}{r.randint(1, 9999)}" for _ in range(400)] + [f"{word()}_{word()}.v{r.randint(1, 99)}" for _ in range(400)]
+    ordinary += ["-".join(_random_text(r, digits, n) for n in (8, 4, 4, 4, 12)) for _ in range(400)]
+    for count in (60, 130, 1500):
+        hexes = secrets_scan.PrefixTree([_random_text(r, digits, 40) for _ in range(count)]).merged()
+        assert len(hexes.ends) == 41 and hexes.ends[40] > 0.99 > 0.01 > max(hexes.ends[:40])
+        f = secrets_scan.Formats({"hex": hexes}, plain, {"hex": 0.7})
+        assert share(f, [_random_text(r, digits, 40) for _ in range(400)]) >= 0.95
+        assert share(f, [_random_text(r, digits, n) for n in range(8, 13) for _ in range(200)]) < 0.01 > share(f, [t for t in ordinary if len(t) >= 8])
+    access = secrets_scan.PrefixTree(["AKIA" + _random_text(r, upper, 16) for _ in range(100)]).merged()
+    f = secrets_scan.Formats({"access": access}, plain, {"access": 0.8})
+    assert share(f, ["AKIA" + _random_text(r, upper, 16) for _ in range(400)]) >= 0.95
+    assert share(f, [_random_text(r, upper, 20) for _ in range(400)] + [_random_text(r, upper, 16) + "AKIA" for _ in range(400)]) < 0.01
+
+
+def test_automaton_likelihood_is_that_of_counted_steps():
+    """Tokens of one length whose positions are independent: bits by hand from counts at each position."""
+    import math
+
+    tokens = ["a1", "a2", "b1", "a1", "b2", "a3"] * 20
+    got = secrets_scan.PrefixTree(tokens).merged()
+    n, unseen = len(tokens), secrets_scan.UNSEEN
+    step = (n + unseen) / (n + unseen * (len(secrets_scan.SIZE) + 1))
+    char = lambda at, c: (sum(t[at] == c for t in tokens) + 1) / (n + {0: 6, 1: 10}[at])
+    for token in ("a1", "b3", "a9"):
+        assert math.isclose(got.bits(token), -math.log2(step * char(0, token[0]) * step * char(1, token[1]) * step))
+    repeated = secrets_scan.PrefixTree(["ab" * r for r in range(1, 30) for _ in range(max(1, 2000 // 2**r))]).merged()
+    assert len(repeated.ends) < 58  # states of different depths are one where lengths are spread evenly
+
+
+def test_learned_formats_refuse_other_lengths_and_identifiers(spark):
+    import random
+
+    r = random.Random(13)
+    digits, letters = "0123456789abcdef", "etaoinshrdlucmfwyp"
+    sentence = lambda: " ".join(_random_text(r, letters, r.randint(4, 11)) for _ in range(30))
+    key = lambda: "gk_" + _random_text(r, digits, 24)[:21] + "Z"
+    rows = [(i, f"{sentence()} token={key()} then") for i in range(80)] + [(100 + i, sentence()) for i in range(200)]
+    loose, short, other = key(), key()[:11], "-".join(_random_text(r, digits, n) for n in (8, 4, 4, 4, 12))
+    rows += [(900, f"use {loose} here"), (901, f"use {short} here"), (902, f"use {other} here"), (903, f"release {_random_text(r, digits, 7)}9 of user12345678")]
+    got = {x.doc_id: x for x in secrets_scan.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900].spans == f"format:4:{4 + len(loose)}"
+    assert [got[i].spans for i in (901, 902, 903)] == ["", "", ""] and all(got[100 + i].spans == "" for i in range(200))
+
+
 def test_quality_classifier_cases(odd, rows, labels):
     got = quality_classifier.quality_scores(odd, labels)
     assert ids(got.collect()) == ids(rows) and {r.held_out for r in got.collect()} <= {True, False}
