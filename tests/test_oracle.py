@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from quarry import catalog, catalog_config, catalog_files, catalog_graph, catalog_identity, catalog_merge, catalog_records, catalog_scoring, catalog_signals, catalog_text  # noqa: F401
+from quarry import catalog, catalog_config, catalog_export, catalog_files, catalog_graph, catalog_identity, catalog_merge, catalog_records, catalog_scoring, catalog_signals, catalog_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
