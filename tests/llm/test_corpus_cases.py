@@ -292,3 +292,19 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         scratch(Session())
+
+
+def test_topics_follow_the_words_and_not_the_size(spark, monkeypatch):
+    """Three vocabularies: no topic mixes them, whatever the length of a text; a text without a known word says so."""
+    import random
+
+    r = random.Random(3)
+    words = {v: [f"{v}{c}{d}" for c in "abcde" for d in "fghij"] for v in ("plant", "metal", "river")}
+    rows = [(i, " ".join(r.choice(words[v]) for _ in range(20 if i % 2 else 400)), "en", "s") for i, v in enumerate(list(words) * 40)]
+    docs = spark.createDataFrame([*rows, (1000, None, None, None), (1001, "unheard", "en", "s")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(mixing, "rake", lambda cells, targets: cells.selectExpr("*", "0.1D AS share"))  # the topics are all that is looked at
+    got = {x.doc_id: x.topic_class for x in mixing.mix(docs, topic=mixing.topics(docs)).collect()}
+    assert got[1000] == got[1001] == "topic:none"
+    groups = [{got[i] for i in range(120) if i % 3 == v} for v in range(3)]
+    assert not groups[0] & groups[1] and not groups[0] & groups[2] and not groups[1] & groups[2] and "topic:none" not in set.union(*groups)
+    assert {x.topic_class[:6] for x in queries.op8_mixing(spark, SF).select("topic_class").distinct().collect()} == {"topic:"}
