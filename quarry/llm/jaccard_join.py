@@ -204,6 +204,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_python(j, [F.col("a"), F.col("b")], [F.col("sa"), F.col("sb")], "", run).withColumnsRenamed({"k0": "a", "k1": "b"})
 
 
+def _distinct_buckets(shared: DataFrame) -> DataFrame:
+    """(key, id, n) of one bucket of each set of members: near copies meet in scores of equal buckets, which hold the same pairs."""
+    sign = [F.sum(F.shiftrightunsigned(F.xxhash64("id"), 32)).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    one = shared.groupBy("key").agg(F.first("n").alias("n"), *sign).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return shared.join(one, "key", "left_semi")
+
+
 def _placed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The members of buckets that still hold several components, with their component."""
     placed = shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -213,20 +220,27 @@ def _placed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     return placed.join(open_, "key")
 
 
+def _sized(x: str, y: str) -> Column:
+    """Whether sets of these sizes can link."""
+    return F.greatest(x, y) * PERCENT <= F.least(x, y) * 100
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def _by_hubs(placed: DataFrame, hubs: int, small: bool) -> DataFrame:
     """Pairs (a < b) of members and the best members of other components of their bucket: of the `hubs` first components, or of all of a small bucket."""
-    reps = placed.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"))).alias("c"), F.first("n").alias("n"))
+    reps = placed.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"), "size")).alias("c"), F.first("n").alias("n"))
     if hubs == 1:
-        chosen = reps.groupBy("key").agg(F.max(F.struct("c.degree", "c.x", "comp")).alias("c")).select("key", F.col("c.comp").alias("other"), (-F.col("c.x")).alias("rep"))
+        chosen = reps.groupBy("key").agg(F.max(F.struct("c.degree", "c.x", "comp", "c.size")).alias("c"))
+        chosen = chosen.select("key", F.col("c.comp").alias("other"), (-F.col("c.x")).alias("rep"), F.col("c.size").alias("rep_size"))
     else:
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c.degree"), F.desc("c.x")))
         most = F.when(F.col("n") <= SMALL, SMALL).otherwise(hubs) if small else F.lit(hubs)
-        chosen = reps.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("comp").alias("other"), (-F.col("c.x")).alias("rep"))
-    return placed.select("key", "id", "comp").join(chosen, "key").filter("comp <> other").select(*_pair("id", "rep")).distinct()
+        chosen = reps.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("comp").alias("other"), (-F.col("c.x")).alias("rep"), F.col("c.size").alias("rep_size"))
+    pairs = placed.select("key", "id", "comp", "size").join(chosen, "key").filter((F.col("comp") != F.col("other")) & _sized("size", "rep_size"))
+    return pairs.select(*_pair("id", "rep")).distinct()
 
 
 def _finished(placed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,8 +248,9 @@ def _finished(placed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Those of small buckets, a bounded number for each member, are joined. In a larger one each pair has a member outside the bucket's largest
     component; TILE of those at a time meet the bucket's members, TILE at a time."""
-    few, placed = placed.filter(F.col("n") <= PAIRED).select("key", "id", "comp"), placed.filter(F.col("n") > PAIRED)
-    met = few.withColumnsRenamed({"id": "a", "comp": "ca"}).join(few.withColumnsRenamed({"id": "b", "comp": "cb"}), "key").filter("a < b and ca <> cb")
+    few, placed = placed.filter(F.col("n") <= PAIRED).select("key", "id", "comp", "size"), placed.filter(F.col("n") > PAIRED)
+    x, y = (few.withColumnsRenamed({"id": c, "comp": f"c{c}", "size": f"s{c}"}) for c in "ab")
+    met = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("sa", "sb"))
     few = _passes(met.select("a", "b").distinct(), nodes)
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("size"))
@@ -287,7 +302,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = cut(members.join(sizes, "key"))
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     inside = cut(nodes.join(held.select("id", "dense"), "id").join(degree, "id"))
-    shared = cut(shared.join(inside.select("id", "degree"), "id"))
+    shared = cut(_distinct_buckets(shared).join(inside.select("id", "degree", F.col("n").alias("size")), "id"))
     comps, tested, links, turn, last = None, None, None, 1, False
     while True:
         placed = _placed(shared, comps)

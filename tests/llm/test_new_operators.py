@@ -299,3 +299,10 @@ def test_a_sample_has_one_row_an_id(spark):
     got = labelled.sample(docs, labels, "quality", 4, 9, 3000).collect()
     assert len(got) == 4 and sorted(r.y for r in got) == [0, 0, 1, 1]
     assert labelled.sample(docs, labels, "quality", 4, 9, 1).count() == 2
+
+
+def test_equal_buckets_count_once(spark):
+    """Of buckets with the same members one stays; those that differ in one member stay too."""
+    rows = [(k, i, len(m)) for k, m in ((1, [4, 5]), (2, [4, 5]), (3, [4, 5, 6]), (4, [4, 6]), (5, [4, 5, 6])) for i in m]
+    got = jaccard_join._distinct_buckets(spark.createDataFrame(rows, "key long, id long, n long")).collect()
+    assert sorted((r.key, r.id) for r in got) == [(1, 4), (1, 5), (3, 4), (3, 5), (3, 6), (4, 4), (4, 6)]
