@@ -162,6 +162,13 @@ def _matching(rows: DataFrame, some: DataFrame) -> DataFrame:
     return j.select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in some.columns if c not in ("doc_id", "content")])
 
 
+def _distinct_buckets(shared: DataFrame) -> DataFrame:
+    """(key, id, n) of one bucket of each set of members, that of the first band: the others hold the same pairs, and none of them is the first that a pair shares."""
+    sign = [F.sum(F.shiftrightunsigned(F.xxhash64("id"), 32)).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    one = shared.groupBy("key").agg(F.first("n").alias("n"), F.min("band").alias("band"), *sign).groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("c"))
+    return shared.join(one.select("c.key"), "key", "left_semi").select("key", "id", "n")
+
+
 def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
@@ -261,15 +268,15 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     sketched = cut(_sketched(docs))
     nodes = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count("*").alias("n"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), "*"))  # written once, so the ids stay
-    members = nodes.select(F.explode("bands").alias("key"), "id")
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "id")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(members.join(sizes, "key"))  # (key, id, n) of the buckets with more than one member
+    shared = cut(members.join(sizes, "key"))  # (key, band, id, n) of the buckets with more than one member
     inside = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "content", "bands")
     inside = cut(inside)
     shingles = cut(_shingles(docs, inside.select("id", "doc_id", "content")))
     # The text that meets most others in its buckets is the likeliest original of a group of edited copies.
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    shared = cut(shared.join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
+    shared = cut(_distinct_buckets(shared).join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
     comps, tested, links, turn, last = None, None, None, 1, False
     while True:
         if last:

@@ -306,3 +306,12 @@ def test_equal_buckets_count_once(spark):
     rows = [(k, i, len(m)) for k, m in ((1, [4, 5]), (2, [4, 5]), (3, [4, 5, 6]), (4, [4, 6]), (5, [4, 5, 6])) for i in m]
     got = jaccard_join._distinct_buckets(spark.createDataFrame(rows, "key long, id long, n long")).collect()
     assert sorted((r.key, r.id) for r in got) == [(1, 4), (1, 5), (3, 4), (3, 5), (3, 6), (4, 4), (4, 6)]
+
+
+def test_equal_buckets_of_bands_count_once(spark):
+    """Of near-duplicate buckets with the same members that of the first band stays, whatever its key."""
+    from quarry.llm import near_duplicates
+
+    rows = [(k, b, i, len(m)) for k, b, m in ((9, 0, [4, 5]), (2, 1, [4, 5]), (3, 2, [4, 5, 6]), (7, 3, [4, 6])) for i in m]
+    got = near_duplicates._distinct_buckets(spark.createDataFrame(rows, "key long, band int, id long, n long")).collect()
+    assert sorted((r.key, r.id) for r in got) == [(3, 4), (3, 5), (3, 6), (7, 4), (7, 6), (9, 4), (9, 5)]
