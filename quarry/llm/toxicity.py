@@ -2,13 +2,14 @@
 
 Each word scores the log-odds of its most telling unit (the word or a prefix of it) between toxic and other labelled text, with
 an informative Dirichlet prior from the unit's frequency in the whole corpus; units without significant odds share one negative
-background score. One linear scan finds all maximal segments, each a passage that no extension improves. A segment of score s
+background score. Words recur within a text, so significance counts texts, not occurrences; and as toxic texts may have more of one language or subject
+than others, which lifts all its words a little, a unit must also be LEAST times as likely in toxic text. One linear scan finds all maximal segments, each a passage that no extension improves. A segment of score s
 in a text of n words is expected K n exp(-lambda s) times by chance; the logarithms of that, for the best and for all significant
 passages, are calibrated to a probability.
 
 A word that recurs says less each time: its k-th occurrence in a text scores a k-th of the first.
 
-Units are learned from a bounded sample of labelled rows (`PER_CLASS` of each label); prior counts cover all documents.
+Units are learned from a bounded sample of labelled rows (`PER_CLASS` of each label, one of near copies); prior counts cover all documents.
 
 Defined cases: null and empty texts have no passage; without labels (an empty table, null labels or ids) no unit is significant and all
 scores are equal; a repeated label counts once, of contradicting ones the higher; every input row gives one row, repeated rows too; very long texts
@@ -29,14 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, probability
-from .common import cut, text_of, with_python
+from .common import SHINGLE_WORDS, cut, text_of, with_python
+from .hashing import GOLDEN, ascii_words, grams, mix
 from .labelled import fold, sample
 
 PER_CLASS = 4000
 #: Prior strength in words; least z-score and least number of toxic sample texts of a unit.
 PRIOR, MIN_Z, MIN_TEXTS = 1000.0, 3.0, 4
+#: A language or subject that toxic texts favour by less than this makes no unit.
+LEAST = 4.0
 #: Occurrences of a unit that count in a sample text: one text that repeats a word is no evidence against the word.
 PER_TEXT = 2
+#: Min-hashes in a band, and bands: texts are near copies if they share a band.
+BAND, BANDS = 2, 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MEMORY_WORDS = 600_000
 #: Count vectors that one task adds up, and vectors that the driver adds at last.
@@ -122,9 +128,26 @@ class Model:
         return self.__dict__ | {"_known": {}}
 
 
+def _originals(rows: DataFrame) -> DataFrame:
+    """rows (id, text, y, half) without near copies of other texts of their label, which would make their own words seem telling: such as share all
+    min-hashes of five-word shingles in one of BANDS bands with a row of lower id. The sample is bounded, and so are its copies."""
+
+    def bands(text):
+        sets = [grams(w, SHINGLE_WORDS) for w in ascii_words(text)]
+        salts = np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * GOLDEN
+        low = [np.array([mix(s ^ x).min() for x in salts]) if len(s) else np.zeros(0, np.uint64) for s in sets]
+        return None, [[[int(grams(m[b * BAND :][:BAND], BAND).view(np.int64)[0]) ^ b for b in range(BANDS) if len(m)] for m in low]]
+
+    keys = with_python(rows, [F.col("id"), F.col("y")], [F.col("text")], "keys array<long>", bands).select(F.col("k0").alias("id"), F.col("k1").alias("y"), F.explode("keys").alias("key"))
+    keys = cut(keys)
+    first = keys.groupBy("y", "key").agg(F.min("id").alias("first"))
+    copies = keys.join(first, ["y", "key"]).filter("id <> first").select("id").distinct()
+    return rows.join(F.broadcast(copies), "id", "left_anti")
+
+
 def _sample_counts(rows: DataFrame) -> pd.DataFrame:
-    """By unit (index) and half of the sample (columns): other, tox, texts: occurrences in other and in toxic texts, number of toxic texts;
-    of the units in MIN_TEXTS toxic texts."""
+    """By unit (index) and half of the sample (columns): other, tox, clean, texts: occurrences in other and in toxic texts, number of other and of
+    toxic texts; of the units in MIN_TEXTS toxic texts."""
 
     def run(text, y, half):
         n = {}
@@ -136,24 +159,32 @@ def _sample_counts(rows: DataFrame) -> pd.DataFrame:
                     u[x] += k
             u[""] = sum(min(k, PER_TEXT) for k in u.values())
             for x, k in u.items():
-                at = n.setdefault((x, h), [0, 0, 0])
+                at = n.setdefault((x, h), [0, 0, 0, 0])
                 at[y] += min(k, PER_TEXT) if x else k
-                at[2] += y
-        return np.zeros(len(n), np.int64), [[x for x, _ in n], [h for _, h in n], *([v[i] for v in n.values()] for i in range(3))]
+                at[2 + y] += 1
+        return np.zeros(len(n), np.int64), [[x for x, _ in n], [h for _, h in n], *([v[i] for v in n.values()] for i in range(4))]
 
-    c = with_python(rows, [], [F.col("text"), F.col("y"), F.col("half")], "unit string, half int, other long, tox long, texts long", run)
+    c = with_python(rows, [], [F.col("text"), F.col("y"), F.col("half")], "unit string, half int, other long, tox long, clean long, texts long", run)
     one = lambda name, h: F.sum(F.when(F.col("half") == h, F.col(name)).otherwise(0)).alias(f"{name}{h}")
-    c = c.groupBy("unit").agg(*[one(x, h) for x in ("other", "tox", "texts") for h in (0, 1)])
+    c = c.groupBy("unit").agg(*[one(x, h) for x in ("other", "tox", "clean", "texts") for h in (0, 1)])
     return c.filter(F.col("texts0") + F.col("texts1") >= MIN_TEXTS).toPandas().set_index("unit")
 
 
-def _significant(units: pd.Index, tox: np.ndarray, other: np.ndarray, texts: np.ndarray, corpus: np.ndarray, total: int, all_tox: int, all_other: int) -> dict[str, float]:
-    """Log-odds of the units whose z-score is high enough."""
+def _significant(counts: pd.DataFrame, size: pd.Series, corpus: np.ndarray, total: int) -> dict[str, float]:
+    """Log-odds of the units that are LEAST times as likely in toxic text, significantly so. counts and size (of all units): other, tox, clean, texts.
+
+    The z-score of the odds leaves out words too rare in the corpus to be told; the root of the likelihood ratio
+    of the unit's texts, which also holds for units that no clean text has, those that stand out by chance among so many."""
     a = PRIOR * (corpus + 0.5) / max(1, total)
-    t, o = tox + a, other + a
-    odds = np.log(t / (all_tox + PRIOR - t)) - np.log(o / (max(1, all_other) + PRIOR - o))
-    ok = (texts >= MIN_TEXTS) & (odds > 0) & (odds / np.sqrt(1 / t + 1 / o) >= MIN_Z)
-    return dict(zip(units[ok], odds[ok].tolist()))
+    t, o = counts.tox.to_numpy() + a, counts.other.to_numpy() + a
+    odds = np.log(t / (size.tox + PRIOR - t)) - np.log(o / (max(1, size.other) + PRIOR - o))
+    texts, clean = counts.texts.to_numpy(float), counts.clean.to_numpy(float)
+    share = size.texts / max(1, size.texts + size.clean)
+    part = lambda x, p: x * np.log(np.maximum(x, 1) / np.maximum((texts + clean) * p, 1e-9))
+    ratio = np.maximum(0, 2 * (part(texts, share) + part(clean, 1 - share)))
+    z = odds / np.sqrt(1 / (texts + a) + 1 / (clean + a))
+    ok = (texts >= MIN_TEXTS) & (odds >= math.log(LEAST)) & (z >= MIN_Z) & (ratio >= 2 * math.log(max(1, len(counts))))
+    return dict(zip(counts.index[ok], odds[ok].tolist()))
 
 
 def _corpus_counts(docs: DataFrame, units: list[str]) -> tuple[np.ndarray, int]:
@@ -226,7 +257,8 @@ def _features(rows: DataFrame, model: Model) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Model:
     """Units of the whole sample. The calibration sees texts as new ones are seen: each half is scored by the units of the other half."""
-    rows = cut(sample(docs, labels, "toxic", n, held, per_class).withColumn("half", (F.crc32(F.col("text").cast("binary")) % 2).cast("int")))
+    half = (F.crc32(F.col("text").cast("binary")) % 2).cast("int").alias("half")
+    rows = cut(_originals(cut(sample(docs, labels, "toxic", n, held, per_class).select(F.monotonically_increasing_id().alias("id"), "text", "y", half))))
     counts = _sample_counts(rows)
     if "" not in counts.index:
         return Model()
@@ -234,8 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, n: int = 3, held: int = 1, per_cla
     corpus, total = _corpus_counts(docs, list(counts.index))
 
     def units(*halves: int) -> dict[str, float]:
-        of = lambda name: sum(counts[f"{name}{h}"].to_numpy() for h in halves)
-        return _significant(counts.index, of("tox"), of("other"), of("texts"), corpus, total, *(sum(size[f"{x}{h}"] for h in halves) for x in ("tox", "other")))
+        of = lambda c: pd.concat([sum(c[f"{x}{h}"] for h in halves).rename(x) for x in ("other", "tox", "clean", "texts")], axis=1)
+        return _significant(of(counts), of(size.to_frame().T).iloc[0], corpus, total)
 
     if not (whole := units(0, 1)):
         return Model()

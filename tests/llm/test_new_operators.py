@@ -315,3 +315,19 @@ def test_equal_buckets_of_bands_count_once(spark):
     rows = [(k, b, i, len(m)) for k, b, m in ((9, 0, [4, 5]), (2, 1, [4, 5]), (3, 2, [4, 5, 6]), (7, 3, [4, 6])) for i in m]
     got = near_duplicates._distinct_buckets(spark.createDataFrame(rows, "key long, band int, id long, n long")).collect()
     assert sorted((r.key, r.id) for r in got) == [(3, 4), (3, 5), (3, 6), (7, 4), (7, 6), (9, 4), (9, 5)]
+
+
+def test_no_language_and_no_copied_text_is_toxic(spark):
+    """Toxic texts have twice the share of a language, and twenty near copies of one text with words of its own: only the insults are units."""
+    from quarry.llm import toxicity
+
+    rnd, insults = random.Random(8), ["scoundrel", "wretchkin", "blockhead", "nitwitted"]
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(5))
+    langs = [[word(x) for _ in range(150)] for x in ("abcde", "vwxyz")]
+    text = lambda lang, more: " ".join(rnd.sample(w := [*(rnd.choice(langs[lang]) for _ in range(60)), *more], len(w)))
+    rows = [(i, text(i % 12 < (4 if i < 400 else 2), rnd.sample(insults, 2) if i < 400 else ()), i < 400) for i in range(1400)]
+    own = [word("fghij") for _ in range(60)]
+    rows += [(2000 + i, " ".join([*own, insults[i % 4], word("klmno")]), True) for i in range(20)]
+    docs, labels = table(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows], LABELS)
+    units = toxicity.train(docs, labels).units
+    assert set(insults) <= set(units) <= {u for w in insults for u in toxicity.units_of(w)}
