@@ -331,3 +331,21 @@ def test_no_language_and_no_copied_text_is_toxic(spark):
     docs, labels = table(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows], LABELS)
     units = toxicity.train(docs, labels).units
     assert set(insults) <= set(units) <= {u for w in insults for u in toxicity.units_of(w)}
+
+
+def test_few_cells_are_raked_in_a_few_queries(spark):
+    """Both forms of the raking meet the same shares; the one for few cells takes no query a margin and round."""
+    from quarry.llm import mixing
+
+    rnd = random.Random(3)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", rnd.randint(1, 10**6)) for a in range(6) for b in range(3) for c in range(4) if rnd.random() < 0.8]
+    cells = mixing.cut(spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long"))
+    targets = {m: mixing.cut(mixing.tempered(cells, m)) for m in mixing.MARGINS}
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    shares = {}
+    for few in (0, 1000):
+        sc.setJobGroup(f"rake{few}", "")
+        shares[few] = {r[:3]: r.share for r in mixing.rake(cells, targets, **({} if few else {"few": 0})).collect()}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert shares[0].keys() == shares[1000].keys() and all(abs(shares[0][k] - v) < 1e-5 for k, v in shares[1000].items())
+    assert len(tracker.getJobIdsForGroup("rake1000")) < 45 < len(tracker.getJobIdsForGroup("rake0"))
