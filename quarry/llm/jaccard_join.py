@@ -14,7 +14,7 @@ enough segments of its own.
 Partners then pass two tests: a dense sketch, about a bit for each shingle, whose Hamming distance may not exceed d, and the count of all shingles.
 
 Components. Exact copies are one node from the start. In a bucket members are first held against its hub, then against the best members of a few more
-components each round, which joins groups of copies cheaply; when rounds no longer pay, the open buckets are finished: every pair of members of
+components each round, which joins groups of copies cheaply; a bucket whose components a round leaves as they were has no more rounds. When rounds no longer pay, the open buckets are finished: every pair of members of
 different components is tested on sketches, inside tasks that hold two tiles of a bucket, and what passes is verified. So no link between components
 is lost, and no task or the driver holds a whole group.
 
@@ -42,10 +42,9 @@ from .near_duplicates import BROADCAST_NODES, components
 PERCENT = 80
 #: Counters of segments; their number bounds what is gathered and broadcast.
 SLOT_BITS = 16
-#: Buckets of up to so many members are held against all their components at once; in larger ones each round adds so many hubs; rounds end
-#: when fewer than this share of the tested pairs link.
-SMALL, HUBS, YIELD = 8, 3, 0.001
-#: In the end, pairs of buckets of up to PAIRED members are joined as rows; larger buckets are compared inside tasks, in tiles of so many members.
+#: Each round after the first adds so many hubs; rounds end when fewer than this share of the tested pairs link.
+HUBS, YIELD = 3, 0.001
+#: Buckets of up to PAIRED members take part in the first round only: in the end their pairs are joined as rows; larger buckets are compared inside tasks, in tiles of so many members.
 PAIRED, TILE = 24, 512
 #: Vectors that a task adds up, and that are left for the driver.
 FAN_IN, LAST = 32, 8
@@ -229,16 +228,26 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _by_hubs(placed: DataFrame, hubs: int, small: bool) -> DataFrame:
-    """Pairs (a < b) of members and the best members of other components of their bucket: of the `hubs` first components, or of all of a small bucket."""
-    reps = placed.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"), "size")).alias("c"), F.first("n").alias("n"))
+def _paying(placed: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets for which another round of hubs may pay, and these buckets' number of components (key, parts): such as are too large for their
+    pairs to be joined and, after a round on the buckets `before`, have fewer components than then. The others wait for the end, which compares all their pairs."""
+    large = placed.filter(F.col("n") > PAIRED)
+    parts = large.groupBy("key", "comp").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("parts"))
+    if before is not None:
+        parts = parts.join(before.withColumnRenamed("parts", "were"), "key").filter("parts < were").drop("were")
+    parts = cut(parts)
+    return large.join(parts.select("key"), "key", "left_semi"), parts
+
+
+def _by_hubs(placed: DataFrame, hubs: int) -> DataFrame:
+    """Pairs (a < b) of members and the best members of other components of their bucket: of the `hubs` first components."""
+    reps = placed.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"), "size")).alias("c"))
     if hubs == 1:
         chosen = reps.groupBy("key").agg(F.max(F.struct("c.degree", "c.x", "comp", "c.size")).alias("c"))
         chosen = chosen.select("key", F.col("c.comp").alias("other"), (-F.col("c.x")).alias("rep"), F.col("c.size").alias("rep_size"))
     else:
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c.degree"), F.desc("c.x")))
-        most = F.when(F.col("n") <= SMALL, SMALL).otherwise(hubs) if small else F.lit(hubs)
-        chosen = reps.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("comp").alias("other"), (-F.col("c.x")).alias("rep"), F.col("c.size").alias("rep_size"))
+        chosen = reps.withColumn("rank", rank).filter(F.col("rank") <= hubs).select("key", F.col("comp").alias("other"), (-F.col("c.x")).alias("rep"), F.col("c.size").alias("rep_size"))
     pairs = placed.select("key", "id", "comp", "size").join(chosen, "key").filter((F.col("comp") != F.col("other")) & _sized("size", "rep_size"))
     return pairs.select(*_pair("id", "rep")).distinct()
 
@@ -303,13 +312,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     inside = cut(nodes.join(held.select("id", "dense"), "id").join(degree, "id"))
     shared = cut(_distinct_buckets(shared).join(inside.select("id", "degree", F.col("n").alias("size")), "id"))
-    comps, tested, links, turn, last = None, None, None, 1, False
+    comps, tested, links, parts, turn, last = None, None, None, None, 1, False
     while True:
         placed = _placed(shared, comps)
         if last:
             pairs = _finished(placed, inside)
         else:
-            pairs = _passes(_by_hubs(placed, 1 if turn == 1 else HUBS * (turn - 1), turn > 1), inside)
+            if turn > 1:
+                placed, parts = _paying(placed, parts)
+            pairs = _passes(_by_hubs(placed, 1 if turn == 1 else HUBS * (turn - 1)), inside)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = cut(_verified(pairs, docs, inside))

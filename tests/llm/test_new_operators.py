@@ -349,3 +349,30 @@ def test_few_cells_are_raked_in_a_few_queries(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert shares[0].keys() == shares[1000].keys() and all(abs(shares[0][k] - v) < 1e-5 for k, v in shares[1000].items())
     assert len(tracker.getJobIdsForGroup("rake1000")) < 45 < len(tracker.getJobIdsForGroup("rake0"))
+
+
+def test_rounds_of_hubs_leave_out_buckets_that_gain_nothing(spark, monkeypatch):
+    """After the first round no small bucket is held against hubs again, and a large one only while its components become fewer; nothing is lost."""
+    rnd, seen, by_hubs = random.Random(6), [], jaccard_join._by_hubs
+
+    def spy(placed, *more):
+        seen.append({r[0]: r[1] for r in placed.groupBy("key").agg({"n": "max"}).collect()})
+        return by_hubs(placed, *more)
+
+    monkeypatch.setattr(jaccard_join, "_by_hubs", spy)
+    shared = " ".join(f"s{i}" for i in range(9))
+    rows = [(i, shared + " " + " ".join(f"w{rnd.randint(0, 999)}" for _ in range(3)), "x") for i in range(40)]  # 5 of 8 to 10 shingles in common
+    rows += [(100 + i, f"other{i // 2} text{i // 2} of six words " + " ".join(f"v{i // 2}-{k}" for k in range(20 + i % 2)), "x") for i in range(20)]
+    rows += [(200 + i, "another text of " + " ".join(f"u{k}" for k in range(8)) + f" end{i}", "x") for i in range(12)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table(spark, rows)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, _ in rows for w in [t.split()]}
+    near = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
+    for _ in range(len(near)):
+        near = {i: set().union(*(near[j] for j in s)) for i, s in near.items()} if _ < 6 else near
+    assert got == {i: min(s) for i, s in near.items()}
+    assert seen[0] and all(n > jaccard_join.PAIRED for later in seen[1:] for n in later.values())
+    placed = spark.createDataFrame([(1, i, 30, 9 if i < 20 else i) for i in range(30)] + [(2, i, 30, i) for i in range(30)] + [(3, i, 5, i) for i in range(5)], "key long, id long, n long, comp long")
+    large, parts = jaccard_join._paying(placed, None)
+    assert {r.key: r.parts for r in parts.collect()} == {1: 11, 2: 30} and large.count() == 60
+    again = spark.createDataFrame([(1, 12), (2, 30)], "key long, parts long")
+    assert {r.key for r in jaccard_join._paying(placed, again)[0].collect()} == {1}
