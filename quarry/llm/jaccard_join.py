@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, cut, longs, text_of, with_python
 from .hashing import GOLDEN, ascii_words, grams, mix
-from .near_duplicates import BROADCAST_NODES, components
+from .near_duplicates import BROADCAST_NODES, merged
 
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -162,7 +162,8 @@ def _small(df: DataFrame) -> DataFrame:
 def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, shingles of the nodes given as (id, doc_id, f1, f2), read from their texts again."""
     key = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("of")
-    src = docs.select(key(), text_of().alias("text")).join(_small(nodes.select(key()).distinct()), "of", "left_semi")
+    held = F.broadcast if nodes.count() <= BROADCAST_NODES else lambda x: x
+    src = docs.select(key(), text_of().alias("text")).join(held(nodes.select(key())), "of", "left_semi")
 
     def run(text):
         sets = [shingle_set(w) for w in ascii_words(text)]
@@ -170,7 +171,7 @@ def _shingles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return None, [[a for a, _ in ids], [b for _, b in ids], [s.view(np.int64) for s in sets]]
 
     out = with_python(src, [F.col("of")], [F.col("text")], "f1 long, f2 long, shingles array<long>", run).withColumnRenamed("k0", "of")
-    return cut(out.join(_small(nodes.select(key(), "f1", "f2", "id")), ["of", "f1", "f2"]).select("id", "shingles").dropDuplicates(["id"]))
+    return cut(out.join(held(nodes.select(key(), "f1", "f2", "id")), ["of", "f1", "f2"]).select("id", "shingles").dropDuplicates(["id"]))
 
 
 def _passes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -312,7 +313,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     inside = cut(nodes.join(held.select("id", "dense"), "id").join(degree, "id"))
     shared = cut(_distinct_buckets(shared).join(inside.select("id", "degree", F.col("n").alias("size")), "id"))
-    comps, tested, links, parts, turn, last = None, None, None, None, 1, False
+    # Before the first round each member is a component.
+    parts = shared.filter(F.col("n") > PAIRED).groupBy("key").agg(F.first("n").alias("parts"))
+    comps, tested, late, turn, last = None, None, None, 1, False
     while True:
         placed = _placed(shared, comps)
         if last:
@@ -325,14 +328,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = cut(_verified(pairs, docs, inside))
         found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if found:
-            comps = cut(components(links))
-        if last:
+        ends, last = last, not last and turn > 1 and found <= YIELD * pairs.count()
+        if last and found:  # few: they wait for those of the end
+            late = new
+        elif found or ends and late is not None:
+            comps = merged(comps, new if late is None else new.unionByName(late))
+        if ends:
             break
-        last = turn > 1 and found <= YIELD * pairs.count()
         turn += 1
-    comps = comps if comps is not None else links.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty
+    comps = comps if comps is not None else new.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty
     whole = nodes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = whole.join(least, "comp").select(*same, "component_id")

@@ -19,8 +19,11 @@ ignored. A class id is the least doc_id of the class, null if it has none; ids p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ TILE, TILE_SHINGLES = 256, 400_000
 GROUP_WORDS = 300_000
 #: Nodes whose ids are broadcast to pick out their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
+#: Links whose components one partition may find.
+FEW_LINKS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -180,8 +185,12 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return with_python(j, [F.col("a"), F.col("b")], [F.col("sa"), F.col("sb")], "", run).withColumnsRenamed({"k0": "a", "k1": "b"})
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every linked node: alternating large-star and small-star rounds, until every link leads to its component's least id."""
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
+    """(id, comp) of every linked node: alternating large-star and small-star rounds, until every link leads to its component's least id. Up to
+    `few` (FEW_LINKS) links, whatever the documents, lie in one partition and need no rounds."""
+    links = links.select("a", "b")
+    if links.count() <= (FEW_LINKS if few is None else few):
+        return links.coalesce(1).mapInArrow(_joined, "id long, comp long")
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -196,6 +205,37 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp) of the nodes of these links (a, b)."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    ids = list(up)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "comp": pa.array([top(x) for x in ids], pa.int64())})
+
+
+def merged(comps: DataFrame | None, links: DataFrame, few: int | None = None) -> DataFrame:
+    """The components (id, comp) that further links (a, b) make of `comps`, written: only what the links join is gone through again, each component as one node."""
+    if comps is None:
+        return cut(components(links, few))
+    held = F.broadcast if links.count() <= FEW_LINKS else lambda x: x
+    placed = comps.join(held(links.select(F.explode(F.array("a", "b")).alias("id"))), "id", "left_semi")
+    of = lambda c: held(placed.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")))
+    ends = cut(links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left"))
+    over = cut(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), few))
+    fresh = ends.filter("ca is null").select(F.col("a").alias("id")).unionByName(ends.filter("cb is null").select(F.col("b").alias("id")))
+    to = held(over.select(F.col("id").alias("comp"), F.col("comp").alias("to")))
+    return cut(comps.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")).unionByName(over.join(held(fresh), "id", "left_semi")))
+
+
 def _candidates(shared: DataFrame, comps: DataFrame | None, hubs: int, small: bool, least: float) -> DataFrame:
     """Pairs (a < b): in each bucket, members against the most central member of other components, of the `hubs` most central
     components in it; of all components (if `small`) in buckets of up to SMALL members. Pairs whose registers differ too often are left out."""
@@ -277,7 +317,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     # The text that meets most others in its buckets is the likeliest original of a group of edited copies.
     degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     shared = cut(_distinct_buckets(shared).join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
-    comps, tested, links, turn, last = None, None, None, 1, False
+    comps, tested, late, turn, last = None, None, None, 1, False
     while True:
         if last:
             new = cut(_finished(shared, comps, inside.select("id", "bands").join(shingles, "id"), similarity))
@@ -287,15 +327,16 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             tested = tested.unionByName(pairs) if tested else pairs
             new = cut(_verified(pairs, shingles, similarity))
         found = new.count()
-        links = links.unionByName(new) if links else new
-        if found:
-            comps = cut(components(links))
-        if last:
+        ends, last = last, not last and turn > 1 and found <= YIELD * pairs.count()
+        if last and found:  # few: they wait for those of the end
+            late = new
+        elif found or ends and late:
+            comps = merged(comps, new.unionByName(late) if late else new)
+        if ends:
             break
-        last = turn > 1 and found <= YIELD * pairs.count()
         turn += 1
     if comps is None:
-        comps = links.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty
+        comps = new.select(F.col("a").alias("id"), F.col("a").alias("comp"))  # empty
     classes = nodes.select("id", "content", "doc_id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     ids = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"))
     return sketched, cut(classes.select("comp", "content").join(ids, "comp").select("content", "comp", "class_id", "n_class"))
