@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, columns_of, cut, longs, renamed, text_of, with_python
+from .common import SHINGLE_WORDS, SIMILARITY, columns_of, cut, longs, release, renamed, text_of, with_python
 from .hashing import GOLDEN, grams, groups, mix
 
 BANDS, ROWS = 32, 8
@@ -319,6 +319,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     shared = cut(_distinct_buckets(shared).join(degree.join(nodes.select("id", "bits"), "id"), "id").select("key", "id", "n", "degree", "bits"))
     comps, tested, late, turn, last = None, None, None, 1, False
     while True:
+        release(docs.sparkSession)
         if last:
             new = cut(_finished(shared, comps, inside.select("id", "bands").join(shingles, "id"), similarity))
         else:

@@ -27,3 +27,12 @@ def test_further_links_join_components(spark, monkeypatch, few):
     assert {r.id: r.comp for r in rows} == brute(FIRST + MORE)
     assert len(rows) == len(brute(FIRST + MORE))
     assert gone_through == [len(FIRST), len(MORE)]
+
+
+def test_released_objects_leave_the_driver(spark):
+    from quarry.llm.common import release
+
+    jvm = spark.sparkContext._jvm
+    weak = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    release(spark)
+    assert weak.get() is None
