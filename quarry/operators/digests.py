@@ -97,7 +97,7 @@ def environment_hash(files: DataFrame, by: str = "project_id") -> DataFrame:
     kind = F.when(F.col("directory"), "directory").otherwise("file")
     content = F.when(~F.col("directory"), F.col("content_hash"))
     seen = F.when(~(java & F.col("inventoried")) & ~foreign, content)
-    one = tree_digest(files, [by], "path", field(kind, F.col("path"), content)).select(by, F.col("digest").alias("complete"))
-    two = tree_digest(files, [by], "path", field(kind, F.col("path"), seen)).select(by, F.col("digest").alias("environment"))
+    one = tree_digest(files, [by], "path", field(kind, F.col("path"), content), levels=LEVELS).select(by, F.col("digest").alias("complete"))
+    two = tree_digest(files, [by], "path", field(kind, F.col("path"), seen), levels=LEVELS).select(by, F.col("digest").alias("environment"))
     full = files.groupBy(by).agg(F.bool_and(~(java & ~F.col("directory")) | F.col("inventoried")).alias("java_complete"))
     return one.join(two, by).join(full, by)

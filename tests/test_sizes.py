@@ -32,3 +32,11 @@ def test_manifests_have_two_levels_whatever_their_size(spark):
         top = two_levels([field(f"p{i:08d}", "REGULAR_FILE", i, "h") for i in range(n)])
         want[k] = (sha(field("p", "", top, n, n * (n - 1) // 2)), n)
     assert {r.snapshot_id: (r.digest, r.files) for r in G.manifest_digest(df, "p").collect()} == want
+
+
+def test_environments_have_two_levels_whatever_their_size(spark):
+    from quarry.operators import digests as G
+
+    df = spark.range(MANY).select(F.lit(1).alias("project_id"), F.format_string("p%08d.txt", "id").alias("path"), F.lit(False).alias("directory"), F.col("id").cast("string").alias("content_hash"), F.lit(True).alias("inventoried"))
+    top = two_levels([field("file", f"p{i:08d}.txt", i) for i in range(MANY)])
+    assert [(r.complete, r.environment, r.java_complete) for r in G.environment_hash(df).collect()] == [(top, top, True)]
