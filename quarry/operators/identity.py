@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import staged
+
 TYPES = ("CLASS", "INTERFACE", "ENUM", "ANNOTATION")
 
 
@@ -48,11 +51,13 @@ def resolve_note_refs(refs: DataFrame, files: DataFrame, nodes: DataFrame, commi
     """note, kind, target, subject of refs (note, kind, target): the least id that a reference means, else null.
 
     The other tables are (key, id): a file's path, a node's name (or what follows a # in it, in any case), the start of a commit's
-    hash, a task's number, the title of another note. All kinds are one equi-join."""
+    hash, a task's number, the title of another note. All kinds are one equi-join, of which the other side is first brought down to the keys that references
+    have, and to the two least ids of each: the second is for a note that has its own title in mind. It runs jobs while it is built (references and their keys are written)."""
     lower = lambda c: F.lower(F.col(c))
 
     def as_keys(df: DataFrame, kind: str, key: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), key.cast("string").alias("k"), F.col("key").cast("string").alias("whole"), F.col("id").cast("string").alias("id"))
+        whole = F.col("key").cast("string") if kind == "COMMIT" else F.lit("")
+        return df.select(F.lit(kind).alias("kind"), key.cast("string").alias("k"), whole.alias("whole"), F.col("id").cast("string").alias("id"))
 
     parts = F.split(lower("key"), "#")
     tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "#"))
@@ -64,10 +69,12 @@ def resolve_note_refs(refs: DataFrame, files: DataFrame, nodes: DataFrame, commi
         as_keys(tasks, "TASK", F.col("key")),
         as_keys(notes, "NOTE", F.col("key")),
     ]
-    table = reduce(DataFrame.unionByName, known)
     wanted = F.when(F.col("kind") == "COMMIT", F.array(F.substring(lower("target"), 1, 7))).when(F.col("kind") == "NODE", F.array("target", F.concat(F.lit("#"), lower("target")))).otherwise(F.array("target"))
-    r = refs.select("note", "kind", "target").distinct()
-    j = r.withColumn("k", F.explode(wanted)).join(table, ["kind", "k"])
+    r = staged(refs.select("note", "kind", "target").distinct())
+    r_keys = r.withColumn("k", F.explode(wanted))
+    table = reduce(DataFrame.unionByName, known).join(staged(r_keys.select("kind", "k").distinct()), ["kind", "k"], "left_semi").filter("id is not null").distinct()
+    place = F.row_number().over(W.partitionBy("kind", "k", "whole").orderBy("id"))
+    j = r_keys.join(table.withColumn("place", place).filter("place <= 2").drop("place"), ["kind", "k"])
     j = j.filter((F.col("kind") != "COMMIT") | F.startswith(lower("whole"), lower("target"))).filter((F.col("kind") != "NOTE") | (F.col("id") != F.col("note").cast("string")))
     return r.join(j.groupBy("note", "kind", "target").agg(F.min("id").alias("subject")), ["note", "kind", "target"], "left")
 

@@ -72,3 +72,35 @@ def test_masking_literal_cases():
         "",
     ):
         assert m(same) == same
+
+
+def test_references_to_many_of_one_key_do_not_meet_them_all(spark):
+    t = lambda *r: spark.createDataFrame(list(r), "key string, id string")
+    n = 4000
+    refs = spark.range(n).select(F.concat(F.lit("n"), "id").alias("note"), F.lit("FILE").alias("kind"), F.lit("a.md").alias("target"))
+    refs = refs.unionByName(spark.createDataFrame([("t1", "NOTE", "me"), ("t2", "NOTE", "me"), ("x", "COMMIT", "abcdef13")], refs.schema))
+    files = spark.range(n).select(F.lit("a.md").alias("key"), F.col("id").cast("string").alias("id"))
+    commits = t(*[(f"abcdef{i}", str(i)) for i in (1299, 1399, 1377)])
+    got = I.resolve_note_refs(refs, files, t(("A", "1")), commits, t(("1", "1")), t(("me", "t1"), ("me", "t1"), ("me", None), ("me", "t2"), ("me", "t3")))
+    out = got.collect()
+    assert {(r.kind, r.subject) for r in out if r.kind == "FILE"} == {("FILE", "0")} and len(out) == n + 3
+    assert {r.note: r.subject for r in out if r.kind != "FILE"} == {"t1": "t2", "t2": "t1", "x": "1377"}
+    joined = [m["value"] for m in _join_rows(got)]
+    assert joined and max(joined) <= 2 * (n + 3)
+
+
+def _join_rows(df):
+    """Rows that each join of a collected query gave."""
+    out, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        p = open_.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            open_.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            open_.append(p.plan())
+        elif "Join" in p.nodeName():
+            m = p.metrics().get("numOutputRows")
+            out += [{"name": p.nodeName(), "value": m.get().value()}] if m.isDefined() else []
+        c = p.children()
+        open_ += [c.apply(i) for i in range(c.size())]
+    return out
