@@ -241,3 +241,18 @@ def test_a_scan_replaces_what_belongs_to_its_commits(spark):
         max_commits=3,
     )
     assert rows(out, "kind", "project_id", "key", "child", "detail") == [("BRANCH", 1, "main", None, "c"), ("COMMIT", 1, "a", None, "old"), ("COMMIT", 1, "b", None, "new"), ("COMMIT", 1, "c", None, "new"), ("COMMIT", 2, "a", None, "other"), ("FILE", 1, "a", "x", "ADD"), ("FILE", 1, "c", "q", "ADD"), ("FILE", 2, "a", "z", "ADD"), ("TAG", 2, "t", None, "a")]
+
+
+def test_histories_are_folded_in_a_stream_of_events(spark):
+    files = [(p, f"db/migration/V{v}_{t}__x.sql", text) for p in (1, None) for t in range(12) for v, text in ((1, f"create table t{t} (\n  id int\n);"), (2, f"alter table t{t} add column b text, add column c text, drop column id;"), (3, f"alter table t{t} rename to u{t};"))]
+    df = spark.createDataFrame(files, "project long, path string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = M.replay_migrations(df)
+        got = rows(out, "project", "table", "kind", "position", "name")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(1, f"u{t}", k, i, n.format(t)) for t in range(12) for k, i, n in (("TABLE", 0, "u{}"), ("COLUMN", 1, "b"), ("COLUMN", 2, "c"))]
+    assert [r for r in got if r[0] == 1] == sorted(want, key=repr)
+    # Calls of Python follow the rows, not the tables.
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
