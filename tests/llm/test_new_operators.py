@@ -376,3 +376,26 @@ def test_rounds_of_hubs_leave_out_buckets_that_gain_nothing(spark, monkeypatch):
     assert {r.key: r.parts for r in parts.collect()} == {1: 11, 2: 30} and large.count() == 60
     again = spark.createDataFrame([(1, 12), (2, 30)], "key long, parts long")
     assert {r.key for r in jaccard_join._paying(placed, again)[0].collect()} == {1}
+
+
+def test_raking_goes_on_until_the_margins_are_met(spark):
+    """Topics that nearly follow the languages need many rounds; margins that contradict each other end with a warning; a budget that fills cell after cell is met."""
+    import warnings
+
+    from quarry.llm import mixing
+
+    cells = lambda rows: spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    wanted = lambda **t: {m: spark.createDataFrame(list(t[m].items()), "_value string, target double") for m in mixing.MARGINS}
+    slow = cells([("s", f"l{a}", f"t{b}", 10**7 if a == b else 30) for a in range(3) for b in range(3)])
+    targets = wanted(source={"s": 1.0}, lang={"l0": 0.6, "l1": 0.3, "l2": 0.1}, topic={"t0": 0.1, "t1": 0.3, "t2": 0.6})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.rake(slow, targets).toPandas()
+    assert abs(got.groupby("_lang").share.sum()["l0"] - 0.6) < 1e-6 and abs(got.groupby("_topic").share.sum()["t2"] - 0.6) < 1e-6
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.rake(cells([("s", "l0", "t0", 5), ("s", "l1", "t1", 5)]), wanted(source={"s": 1.0}, lang={"l0": 0.6, "l1": 0.4}, topic={"t0": 0.2, "t1": 0.8})).collect()
+    n = 14
+    steps = spark.createDataFrame([("s", "l", f"t{i}", 4**i, 3.0**i) for i in range(n)], "_source string, _lang string, _topic string, tokens long, share double")
+    total = steps.agg({"share": "sum"}).first()[0]
+    kept = mixing.probabilities(steps.selectExpr("_source", "_lang", "_topic", "tokens", f"share / {total} AS share"), 0.9).selectExpr("sum(keep * tokens) / sum(tokens)").first()[0]
+    assert abs(kept - 0.9) < 1e-9
