@@ -308,3 +308,19 @@ def test_topics_follow_the_words_and_not_the_size(spark, monkeypatch):
     groups = [{got[i] for i in range(120) if i % 3 == v} for v in range(3)]
     assert not groups[0] & groups[1] and not groups[0] & groups[2] and not groups[1] & groups[2] and "topic:none" not in set.union(*groups)
     assert {x.topic_class[:6] for x in queries.op8_mixing(spark, SF).select("topic_class").distinct().collect()} == {"topic:"}
+
+
+def test_the_pipelines_mixing_meets_its_margins_however_many_rounds_it_takes(spark, monkeypatch):
+    """Topics that nearly follow the languages: the cells between them are small and must grow a thousandfold."""
+    from pyspark.sql import functions as F
+
+    words = [("l0", "t0", 1000, 20), ("l0", "t1", 1000, 20), ("l1", "t2", 1000, 20), ("l1", "t0", 3, 1), ("l0", "t2", 3, 1)]
+    rows = [(1000 * k + i, "w " * n, lang, topic, 2 * n) for k, (lang, topic, n, many) in enumerate(words) for i in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(mixing, "topics", lambda d: F.col("source"))
+    share = {(r.lang, r.topic_class): r.cell_share for r in queries.stage_mixing(spark, docs, SF).collect()}
+    assert {("l0", "t0"), ("l0", "t1"), ("l1", "t2"), ("l1", "t0")} <= set(share)  # ("l0", "t2") shrinks to almost nothing
+    for at, names in ((0, ("l0", "l1")), (1, ("t0", "t1", "t2"))):
+        p = {v: sum(w[2] * w[3] for w in words if w[at] == v) ** mixing.TEMPER for v in names}
+        for v in names:
+            assert abs(sum(s for k, s in share.items() if k[at] == v) - p[v] / sum(p.values())) < 1e-5
